@@ -23,10 +23,13 @@ from flowgauge.table import FlowTable
 DIRECTIONS = {"receipts": 1, "deliveries": -1}
 
 
-def direction_sign(name: str) -> int:
-    if name.lower() not in DIRECTIONS:
+def direction_sign(name: str | int) -> int:
+    """Sign of a direction given by name or as the sign itself."""
+    if name in DIRECTIONS.values():
+        return int(name)
+    if str(name).lower() not in DIRECTIONS:
         raise ValueError(f"unknown transaction type '{name}'; use receipts or deliveries")
-    return DIRECTIONS[name.lower()]
+    return DIRECTIONS[str(name).lower()]
 
 
 def in_years(table: FlowTable, first: int, last: int | None = None) -> Column:
@@ -71,13 +74,19 @@ def _term(table: FlowTable, name: str, value: Any) -> Column:
         if key == "transaction_type":
             return table.sign == direction_sign(value)
     column = table.column(name)
-    if isinstance(table.data_type(column), (T.TimestampType, T.TimestampNTZType)):
+    kind = table.data_type(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         if isinstance(value, str) and len(value.strip()) <= 10:
             value = dt.date.fromisoformat(value.strip())
         if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
             return _between_days(table, column, value, value + dt.timedelta(days=1))
-    if isinstance(table.data_type(column), (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.col(column) == _moment(table, column, value)
+    # The literal takes the kind of the column: a cast on the column would not reach the scan.
+    if isinstance(kind, T.StringType):
+        value = str(value)
+    elif isinstance(kind, T.NumericType) and isinstance(value, str):
+        value = float(value)
     return F.col(column) == F.lit(value)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler
@@ -22,10 +24,14 @@ from flowgauge.table import FlowTable, with_keys
 
 Filters = Mapping[str, Any] | None
 
-# Periods of a profile, first seed, restarts, members shown per cluster.
+# Periods of a profile, first seed, restarts (and how many run at a time),
+# most iterations of one, size of a partition to fit, members shown per cluster.
 PERIODS = {"monthly": 12, "quarterly": 4, "weekly": 53}
 SEED = 42
 RESTARTS = 10
+PARALLEL_RESTARTS = 5
+MAX_ITERATIONS = 300
+ENTITIES_PER_PARTITION = 10_000
 SAMPLE_MEMBERS = 5
 
 # Periods in which a peak makes a winter or a summer profile.
@@ -68,18 +74,14 @@ def perform_clustering(
     the lowest cost wins. Entities are ranged and sorted by key first, because the initial
     centres depend on how rows are laid out."""
     by = table.column(by)
-    spark = table.raw.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    profiles = cut_lineage(
-        _wide_profiles(table, by, grain, filters)
-        .repartitionByRange(partitions, by)
-        .sortWithinPartitions(by)
-    )
+    profiles = cut_lineage(_wide_profiles(table, by, grain, filters))
     entities = profiles.count()
     if not 2 <= n_clusters < entities:
         raise ValueError(f"{n_clusters} clusters need more than {n_clusters} entities "
                          f"and at least 2 clusters; there are {entities} entities")
-    features = profiles.withColumn("raw", array_to_vector("profile"))
+    partitions = entities // ENTITIES_PER_PARTITION + 1
+    ordered = profiles.repartitionByRange(partitions, by).sortWithinPartitions(by)
+    features = ordered.withColumn("raw", array_to_vector("profile"))
     if normalize:
         scaler = StandardScaler(inputCol="raw", outputCol="features",
                                 withMean=True, withStd=True)
@@ -106,10 +108,14 @@ def _wide_profiles(table: FlowTable, by: str, grain: str, filters: Filters) -> D
 
 
 def _best_of(features: DataFrame, n_clusters: int) -> KMeansModel:
-    models = [
-        KMeans(k=n_clusters, seed=SEED + restart, featuresCol="features").fit(features)
-        for restart in range(RESTARTS)
-    ]
+    """Restarts do not depend on each other, so several are submitted at a time."""
+    def fit(restart: int) -> KMeansModel:
+        kmeans = KMeans(k=n_clusters, seed=SEED + restart, maxIter=MAX_ITERATIONS)
+        return kmeans.fit(features)
+
+    in_session = inheritable_thread_target(features.sparkSession)
+    with ThreadPool(PARALLEL_RESTARTS) as pool:
+        models = pool.map(in_session(fit), range(RESTARTS))
     return min(models, key=lambda model: model.summary.trainingCost)
 
 

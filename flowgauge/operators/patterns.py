@@ -140,7 +140,8 @@ def calculate_correlation(
     filters: Mapping[str, Any] | None = None,
 ) -> DataFrame:
     """One row: Pearson r, r squared, regression line, t, significance and labels. No row
-    with fewer than two points; a constant metric leaves r and its labels null."""
+    with fewer than two points. A constant metric leaves r and all that follows from it null;
+    a perfect correlation has no t but is significant."""
     points = correlation_points(table, x_metric, y_metric, grain=grain, filters=filters)
     x, y = F.col("x"), F.col("y")
     fitted = points.agg(
@@ -155,8 +156,7 @@ def calculate_correlation(
     return fitted.select(
         "points", "r", (r * r).alias("r_squared"), "slope", "intercept",
         t.alias("t_statistic"),
-        F.when(n > 2, F.coalesce(perfect | (F.abs(t) > stats.SIGNIFICANT_T), F.lit(False)))
-        .alias("significant"),
+        F.when(perfect, True).otherwise(F.abs(t) > stats.SIGNIFICANT_T).alias("significant"),
         stats.label_above(F.abs(r), stats.CORRELATION_STRENGTH, "Very Weak").alias("strength"),
         F.when(r > 0, "Positive").when(r.isNotNull(), "Negative").alias("direction"),
     )
@@ -236,28 +236,23 @@ def _quarterly_activity(table: FlowTable) -> DataFrame:
 
 
 def _activity(table: FlowTable, grain: str) -> DataFrame:
-    """Volumes and numbers of active locations, pipelines and partners per period.
-
-    The rows are first reduced to one per combination of the counted columns; the several
-    distinct counts, which multiply their input rows, then run on those.
-    """
-    counted = {
-        "active_locations": table.roles.require("location"),
-        "active_pipelines": table.roles.require("pipeline"),
-        "active_partners": table.roles.require("partner"),
-    }
+    """Volumes and numbers of active locations, pipelines and partners per period. The
+    distinct counts are reduced to one row per period and value before any shuffle."""
     rows = with_keys(
         table.rows(dedup=True).withColumn("period", period(table.time, grain)), "period"
     )
-    combinations = rows.groupBy("period", *counted.values()).agg(
-        F.sum(table.measure).alias("volume"), F.count(table.measure).alias("transactions")
-    )
-    return combinations.groupBy("period").agg(
-        F.bround(total(F.col("volume")), 2).alias("total_volume"),
-        F.bround(F.try_divide(F.sum("volume"), F.sum("transactions")), 2)
-        .alias("average_volume"),
-        F.sum("transactions").alias("transaction_count"),
-        *[F.count_distinct(F.col(c)).alias(name) for name, c in counted.items()],
+    return rows.groupBy("period").agg(
+        F.bround(total(table.measure), 2).alias("total_volume"),
+        F.bround(F.avg(table.measure), 2).alias("average_volume"),
+        F.count(table.measure).alias("transaction_count"),
+        *[
+            F.count_distinct(F.col(table.roles.require(role))).alias(name)
+            for name, role in (
+                ("active_locations", "location"),
+                ("active_pipelines", "pipeline"),
+                ("active_partners", "partner"),
+            )
+        ],
     )
 
 

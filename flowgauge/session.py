@@ -7,23 +7,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and read on from there,
-    so that an iterative job neither recomputes its input nor depends on executors living on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application for checkpoints and intermediate tables.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where it names none,
-    a local session gets a temporary one; on a cluster that would not be shared, so it raises.
+    It lies in the one the session names in ``spark.checkpoint.dir``. Where it names none, a
+    local session gets a temporary one; on a cluster that would not be shared, so it raises.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        _use_local_folder(spark)
-    return df.checkpoint()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowgauge-"))
+    return context.getCheckpointDir()
 
 
-def _use_local_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="flowgauge-checkpoint-"))
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read on from there, so that an
+    iterative job neither recomputes its input nor depends on executors living on."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -3,8 +3,9 @@
 from flowgauge.sources.flow_table import (
     as_flow_table,
     read_flow_table,
+    spread,
     table_size,
     write_distinct,
 )
 
-__all__ = ["as_flow_table", "read_flow_table", "table_size", "write_distinct"]
+__all__ = ["as_flow_table", "read_flow_table", "spread", "table_size", "write_distinct"]

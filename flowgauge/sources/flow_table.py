@@ -16,10 +16,24 @@ def read_flow_table(
     roles: FlowSchema | None = None,
     *,
     distinct_path: str | None = None,
+    schema: str | T.StructType | None = None,
 ) -> FlowTable:
-    """Read a Parquet fact table; ``distinct_path`` names a copy made by ``write_distinct``."""
-    distinct = spark.read.parquet(distinct_path) if distinct_path else None
-    return as_flow_table(spark.read.parquet(path), roles, distinct=distinct)
+    """Read a Parquet fact table; ``distinct_path`` names a copy made by ``write_distinct``.
+    A given ``schema`` saves the job that reads it from the files."""
+    distinct = _read(spark, distinct_path, schema) if distinct_path else None
+    return as_flow_table(_read(spark, path, schema), roles, distinct=distinct)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than there are cores (a few large row groups),
+    so that what follows uses all of them. Larger scans stay as they are. For small files
+    only: looking at the splits costs a listing of all files."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def _read(spark: SparkSession, path: str, schema: str | T.StructType | None) -> DataFrame:
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
 def as_flow_table(

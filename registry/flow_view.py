@@ -3,19 +3,37 @@ exact duplicates. FIXTURES.md describes it; both definitions below say the same.
 
 from __future__ import annotations
 
+import uuid
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge import FlowSchema, FlowTable
-from flowgauge.sources import as_flow_table, read_flow_table
+from flowgauge.session import shared_folder
+from flowgauge.sources import as_flow_table, read_flow_table, spread, write_distinct
+
+# The columns read from each table; stating them saves a schema job per table and query.
+SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "customer": "c_custkey BIGINT, c_name STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+}
 
 
 def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     joined = (
-        table("lineitem")
+        spread(table("lineitem"))
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -46,7 +64,40 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy")
 
 
+FLOW_SCHEMA = (
+    "pipeline_name STRING, loc_name STRING, connecting_pipeline STRING, "
+    "connecting_entity STRING, rec_del_sign INT, category_short STRING, country_name STRING, "
+    "state_abb STRING, county_name STRING, latitude STRING, longitude STRING, "
+    "eff_gas_day TIMESTAMP_NTZ, scheduled_quantity DOUBLE"
+)
+_written: dict[tuple[str, str], str] = {}
+_lock = Lock()
+
+
+def write_flow_table(spark: SparkSession, sf_dir: str) -> str:
+    """Derive the flow table and its distinct copy once and write both to the shared folder:
+    the joins and the whole-row shuffle are then not repeated by every analysis."""
+    folder = f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
+    flow_rows(spark, sf_dir).write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(FLOW_SCHEMA).parquet(f"{folder}/rows")
+    write_distinct(as_flow_table(rows), f"{folder}/distinct")
+    return folder
+
+
 def flow(spark: SparkSession, sf_dir: str) -> FlowTable:
+    """The flow table of an application and its distinct copy, written at first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _lock:
+        if key not in _written:
+            _written[key] = write_flow_table(spark, sf_dir)
+    read = spark.read.schema(FLOW_SCHEMA).parquet
+    return as_flow_table(
+        read(f"{_written[key]}/rows"), distinct=read(f"{_written[key]}/distinct")
+    )
+
+
+def flow_in_place(spark: SparkSession, sf_dir: str) -> FlowTable:
+    """The flow table as a plan over the given tables, duplicates removed on the way."""
     return as_flow_table(flow_rows(spark, sf_dir))
 
 
@@ -59,7 +110,8 @@ EVENT_ROLES = FlowSchema(
 
 
 def events(spark: SparkSession, sf_dir: str) -> FlowTable:
-    return read_flow_table(spark, f"{sf_dir}/events.parquet", EVENT_ROLES)
+    return read_flow_table(spark, f"{sf_dir}/events.parquet", EVENT_ROLES,
+                           schema=SCHEMAS["events"])
 
 
 FLOW_CTE = """

@@ -76,20 +76,22 @@ def _activity(period: str) -> str:
     )
 
 
-def _correlation(period: str) -> str:
+def _correlation(period: str, x: str = "count(DISTINCT loc_name)") -> str:
+    varies = "var_samp(x) > 0 AND var_samp(y) > 0"
     return _flow(
         """SELECT points, round(r, 6) AS r, round(r * r, 6) AS r_squared,
           round(slope, 6) AS slope, round(intercept, 6) AS intercept,
-          round(t, 6) AS t_statistic, abs(t) > 2 AS significant,
+          round(t, 6) AS t_statistic, (1 - r * r <= 1e-12 OR abs(t) > 2) AS significant,
           CASE WHEN abs(r) > 0.8 THEN 'Very Strong' WHEN abs(r) > 0.6 THEN 'Strong'
             WHEN abs(r) > 0.4 THEN 'Moderate' WHEN abs(r) > 0.2 THEN 'Weak'
-            ELSE 'Very Weak' END AS strength,
-          CASE WHEN r > 0 THEN 'Positive' ELSE 'Negative' END AS direction
-        FROM (SELECT *, r * sqrt((points - 2) / (1 - r * r)) AS t FROM fitted)""",
-        f"points AS (SELECT {period} AS period, count(DISTINCT loc_name) AS x, "
-        f"sum({Q}) AS y FROM flow GROUP BY 1)",
-        "fitted AS (SELECT count(*) AS points, corr(y, x) AS r, regr_slope(y, x) AS slope, "
-        "regr_intercept(y, x) AS intercept FROM points)",
+            WHEN r IS NOT NULL THEN 'Very Weak' END AS strength,
+          CASE WHEN r > 0 THEN 'Positive' WHEN r IS NOT NULL THEN 'Negative' END AS direction
+        FROM (SELECT *, CASE WHEN 1 - r * r > 1e-12 AND points > 2
+          THEN r * sqrt((points - 2) / (1 - r * r)) END AS t FROM fitted)""",
+        f"points AS (SELECT {period} AS period, {x} AS x, sum({Q}) AS y FROM flow GROUP BY 1)",
+        f"fitted AS (SELECT count(*) AS points, CASE WHEN {varies} THEN corr(y, x) END AS r, "
+        "CASE WHEN var_samp(x) > 0 THEN regr_slope(y, x) END AS slope, "
+        "CASE WHEN var_samp(x) > 0 THEN regr_intercept(y, x) END AS intercept FROM points)",
     )
 
 
@@ -307,14 +309,14 @@ def _retrieval() -> dict[str, str]:
             _daily("loc_name", where=f"{IN_1997} AND rec_del_sign = 1"),
         ),
         "multi_dim_monthly_sum": _dimensions(
-            {"time_period": "month(eff_gas_day)::INTEGER", "category_short": "category_short",
+            {"time_period": "CAST(month(eff_gas_day) AS INTEGER)", "category_short": "category_short",
              "state_abb": "state_abb"}, total
         ),
         "multi_dim_daily_count": _dimensions(
             {"time_period": DAY, "category_short": "category_short"}, count, "raw"
         ),
         "multi_dim_quarterly_mean": _dimensions(
-            {"time_period": "quarter(eff_gas_day)::INTEGER", "state_abb": "state_abb"},
+            {"time_period": "CAST(quarter(eff_gas_day) AS INTEGER)", "state_abb": "state_abb"},
             f"round({mean}, 6)"
         ),
         "multi_dim_seasonal_mean": _dimensions(
@@ -437,6 +439,7 @@ def _patterns() -> dict[str, str]:
         "correlation_weekly": _correlation(WEEK),
         "correlation_monthly": _correlation(MONTH),
         "correlation_quarterly": _correlation(QUARTER),
+        "correlation_quarterly_transactions": _correlation(QUARTER, "count(*)"),
         "correlation_points": _flow(
             f"SELECT {MONTH} AS period, CAST(count(DISTINCT connecting_entity) AS DOUBLE) AS x, "
             f"round(avg({Q}), 6) AS y FROM flow WHERE state_abb = 'NATION_3' "

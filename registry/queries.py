@@ -43,9 +43,9 @@ def _on_events(analysis: Callable[[FlowTable], DataFrame]) -> Query:
     return lambda spark, sf_dir: analysis(events(spark, sf_dir))
 
 
-def _correlation(grain: str) -> Query:
+def _correlation(grain: str, x_metric: str = "active_locations") -> Query:
     return _on_flow(lambda t: _rounded(
-        patterns.calculate_correlation(t, "active_locations", "volume", grain=grain),
+        patterns.calculate_correlation(t, x_metric, "volume", grain=grain),
         "r", "r_squared", "slope", "intercept", "t_statistic",
     ))
 
@@ -179,6 +179,7 @@ _PATTERNS: dict[str, Query] = {
     "correlation_weekly": _correlation("weekly"),
     "correlation_monthly": _correlation("monthly"),
     "correlation_quarterly": _correlation("quarterly"),
+    "correlation_quarterly_transactions": _correlation("quarterly", "transaction_count"),
     "correlation_points": _on_flow(lambda t: _rounded(patterns.correlation_points(
         t, "unique_entities", "average_quantity", grain="monthly",
         filters={"state": STATE, "transaction_type": "receipts"},
