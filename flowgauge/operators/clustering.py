@@ -24,12 +24,11 @@ from flowgauge.table import FlowTable, with_keys
 
 Filters = Mapping[str, Any] | None
 
-# Periods of a profile, first seed, restarts (and how many run at a time),
-# most iterations of one, size of a partition to fit, members shown per cluster.
+# Periods of a profile, first seed, restarts, most iterations of one, size of a
+# partition to fit, members shown per cluster.
 PERIODS = {"monthly": 12, "quarterly": 4, "weekly": 53}
 SEED = 42
 RESTARTS = 10
-PARALLEL_RESTARTS = 5
 MAX_ITERATIONS = 300
 ENTITIES_PER_PARTITION = 10_000
 SAMPLE_MEMBERS = 5
@@ -71,8 +70,8 @@ def perform_clustering(
     filters: Filters = None,
 ) -> Clustering:
     """K-means over seasonal profiles. Fitting runs Spark jobs right away; the restart with
-    the lowest cost wins. Entities are ranged and sorted by key first, because the initial
-    centres depend on how rows are laid out."""
+    the lowest cost wins. Entities are first laid out by key, always the same way, because the
+    initial centres depend on it."""
     by = table.column(by)
     profiles = cut_lineage(_wide_profiles(table, by, grain, filters))
     entities = profiles.count()
@@ -80,7 +79,7 @@ def perform_clustering(
         raise ValueError(f"{n_clusters} clusters need more than {n_clusters} entities "
                          f"and at least 2 clusters; there are {entities} entities")
     partitions = entities // ENTITIES_PER_PARTITION + 1
-    ordered = profiles.repartitionByRange(partitions, by).sortWithinPartitions(by)
+    ordered = profiles.repartition(partitions, by).sortWithinPartitions(by)
     features = ordered.withColumn("raw", array_to_vector("profile"))
     if normalize:
         scaler = StandardScaler(inputCol="raw", outputCol="features",
@@ -108,13 +107,13 @@ def _wide_profiles(table: FlowTable, by: str, grain: str, filters: Filters) -> D
 
 
 def _best_of(features: DataFrame, n_clusters: int) -> KMeansModel:
-    """Restarts do not depend on each other, so several are submitted at a time."""
+    """Restarts do not depend on each other, so they run at the same time."""
     def fit(restart: int) -> KMeansModel:
         kmeans = KMeans(k=n_clusters, seed=SEED + restart, maxIter=MAX_ITERATIONS)
         return kmeans.fit(features)
 
     in_session = inheritable_thread_target(features.sparkSession)
-    with ThreadPool(PARALLEL_RESTARTS) as pool:
+    with ThreadPool(RESTARTS) as pool:
         models = pool.map(in_session(fit), range(RESTARTS))
     return min(models, key=lambda model: model.summary.trainingCost)
 

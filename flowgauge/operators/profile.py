@@ -45,11 +45,7 @@ def profile_columns(table: FlowTable) -> DataFrame:
 def profile_shape(table: FlowTable) -> DataFrame:
     """One row: rows, columns, surplus duplicate rows, numbers of numeric and text columns."""
     kinds = [_kind(f.dataType) for f in table.raw.schema.fields]
-    copies = table.raw.groupBy(*table.raw.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    return copies.agg(
-        F.coalesce(F.sum("__copies"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_count"),
-    ).select(
+    return _rows_and_duplicates(table).select(
         "row_count",
         F.lit(len(kinds)).alias("column_count"),
         "duplicate_count",
@@ -58,6 +54,21 @@ def profile_shape(table: FlowTable) -> DataFrame:
     )
 
 
+def _rows_and_duplicates(table: FlowTable) -> DataFrame:
+    rows = F.count(F.lit(1))
+    if table.distinct is not None:
+        # Two counts from file footers instead of a shuffle of whole rows.
+        kept = table.distinct.agg(rows).scalar()
+        return table.raw.agg(rows.alias("row_count")).withColumn(
+            "duplicate_count", F.col("row_count") - kept
+        )
+    copies = table.raw.groupBy(*table.raw.columns).agg(rows.alias("__copies"))
+    return copies.agg(
+        F.coalesce(F.sum("__copies"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_count"),
+    )
+
+
 def distinct_values(table: FlowTable, column: str) -> DataFrame:
     """The non-null values of a column, e.g. the categories a rule check may name."""
     column = table.column(column)

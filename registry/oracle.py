@@ -705,4 +705,12 @@ def _event_queries() -> dict[str, str]:
 
 
 def oracle_statements() -> dict[str, str]:
-    return {**_retrieval(), **_patterns(), **_quality(), **_questions(), **_event_queries()}
+    statements = {
+        **_retrieval(), **_patterns(), **_quality(), **_questions(), **_event_queries()
+    }
+    return {
+        **statements,
+        "distinct_rows": _flow("SELECT * FROM flow"),
+        "profile_shape_in_place": statements["profile_shape"],
+        "net_flows_by_state_in_place": statements["net_flows_by_state"],
+    }

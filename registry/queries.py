@@ -12,7 +12,7 @@ from flowgauge import FlowTable
 from flowgauge.operators import anomaly, clustering, patterns, profile, quality, retrieval
 from flowgauge.plans import questions
 from flowgauge.sources import table_size
-from registry.flow_view import events, flow
+from registry.flow_view import events, flow, flow_in_place
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def _on_flow(analysis: Callable[[FlowTable], DataFrame]) -> Query:
     return lambda spark, sf_dir: analysis(flow(spark, sf_dir))
 
 
+def _in_place(analysis: Callable[[FlowTable], DataFrame]) -> Query:
+    """On a table without a distinct copy: duplicates are removed within the query."""
+    return lambda spark, sf_dir: analysis(flow_in_place(spark, sf_dir))
+
+
 def _on_events(analysis: Callable[[FlowTable], DataFrame]) -> Query:
     return lambda spark, sf_dir: analysis(events(spark, sf_dir))
 
@@ -301,6 +306,14 @@ _QUESTIONS: dict[str, Query] = {
     ),
 }
 
+_IN_PLACE: dict[str, Query] = {
+    "distinct_rows": _in_place(lambda t: t.rows(dedup=True)),
+    "profile_shape_in_place": _in_place(profile.profile_shape),
+    "net_flows_by_state_in_place": _in_place(
+        lambda t: retrieval.net_flows(t, YEAR, "state", None)
+    ),
+}
+
 _EVENTS: dict[str, Query] = {
     "events_monthly_sum": _on_events(lambda t: _rounded(
         retrieval.time_series(t, grain="monthly"), "value"
@@ -320,4 +333,4 @@ _EVENTS: dict[str, Query] = {
 
 @cache
 def all_queries() -> dict[str, Query]:
-    return {**_RETRIEVAL, **_PATTERNS, **_QUALITY, **_QUESTIONS, **_EVENTS}
+    return {**_RETRIEVAL, **_PATTERNS, **_QUALITY, **_QUESTIONS, **_IN_PLACE, **_EVENTS}
