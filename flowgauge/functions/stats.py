@@ -60,55 +60,61 @@ def student_t(n1: Column, mean1: Column, var1: Column,
     return F.try_divide(mean1 - mean2, F.sqrt(pooled * (1 / n1 + 1 / n2)))
 
 
-def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| >= |t|) for Student's t: the regularised incomplete beta I_x(df/2, 1/2) at
-    x = df / (df + t^2), by the continued fraction of Abramowitz & Stegun 26.5.8 in the
-    modified Lentz scheme. NaN in, NaN out; accurate for tiny p as well."""
-    t = np.asarray(t, dtype=float)
-    df = np.asarray(df, dtype=float)
-    x = df / (df + t * t)
-    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        # The fraction converges fast left of the mean of the beta distribution; right of
-        # it the mirrored fraction does.
-        mirrored = x > (df / 2 + 1) / (df / 2 + 2.5)
-        a = np.where(mirrored, 0.5, df / 2)
-        b = np.where(mirrored, df / 2, 0.5)
-        at = np.where(mirrored, t * t / (df + t * t), x)
-        log_beta = np.array([
-            math.lgamma(p) + math.lgamma(0.5) - math.lgamma(p + 0.5) if p > 0 else np.nan
-            for p in df / 2
-        ])
-        front = np.exp(a * np.log(at) + b * np.log1p(-at) - log_beta) / a
-        tail = front * _beta_fraction(a, b, at)
-        p = np.where(mirrored, 1 - tail, tail)
-    return np.where(t == 0, 1.0, np.clip(p, 0.0, 1.0))
-
-
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    tiny = 1e-300
-    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
-    c = np.ones_like(x)
-    d = 1 / guard(1 - (a + b) * x / (a + 1))
-    value = d
-    for m in range(1, 500):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        step = 1.0
-        for term in (even, odd):
-            d = 1 / guard(1 + term * d)
-            c = guard(1 + term / c)
-            step = c * d
-            value = value * step
-        if np.all(~(np.abs(step - 1) > 1e-15)):
-            break
-    return value
-
-
-@F.pandas_udf(T.DoubleType())
-def t_test_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p of a t statistic (Spark has no Student distribution); it only ever sees
-    aggregated rows, one per comparison."""
-    return pd.Series(two_sided_p(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))
+def _student():
+    """The p-value as a function and as a Pandas UDF. Both are made inside a function, so that
+    they travel to the executors whole and need no package there but NumPy and pandas."""
+
+    def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+        def nonzero(v: np.ndarray) -> np.ndarray:
+            return np.where(np.abs(v) < 1e-300, 1e-300, v)
+
+        c = np.ones_like(x)
+        d = 1 / nonzero(1 - (a + b) * x / (a + 1))
+        value = d
+        for m in range(1, 500):
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            step = np.ones_like(x)
+            for term in (even, odd):
+                d = 1 / nonzero(1 + term * d)
+                c = nonzero(1 + term / c)
+                step = c * d
+                value = value * step
+            if not np.any(np.abs(step - 1) > 1e-15):
+                break
+        return value
+
+    def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """P(|T| >= |t|) for Student's t: the regularised incomplete beta I_x(df/2, 1/2) at
+        x = df / (df + t^2), by the continued fraction of Abramowitz & Stegun 26.5.8 in the
+        modified Lentz scheme. NaN in, NaN out; accurate for tiny p as well."""
+        t = np.asarray(t, dtype=float)
+        df = np.asarray(df, dtype=float)
+        x = df / (df + t * t)
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            # The fraction converges fast left of the mean of the beta distribution; right
+            # of it the mirrored fraction does.
+            mirrored = x > (df / 2 + 1) / (df / 2 + 2.5)
+            a = np.where(mirrored, 0.5, df / 2)
+            b = np.where(mirrored, df / 2, 0.5)
+            at = np.where(mirrored, t * t / (df + t * t), x)
+            log_beta = np.array([
+                math.lgamma(h) + math.lgamma(0.5) - math.lgamma(h + 0.5) if h > 0 else np.nan
+                for h in df / 2
+            ])
+            front = np.exp(a * np.log(at) + b * np.log1p(-at) - log_beta) / a
+            tail = front * beta_fraction(a, b, at)
+            p = np.where(mirrored, 1 - tail, tail)
+        return np.where(t == 0, 1.0, np.clip(p, 0.0, 1.0))
+
+    def p_of(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(two_sided_p(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))
+
+    return two_sided_p, F.pandas_udf(p_of, T.DoubleType())
+
+
+# Spark has no Student distribution. The UDF only sees aggregated rows, one per comparison.
+two_sided_p, t_test_p_value = _student()
 
 
 def p_value(t: Column, df: Column) -> Column:

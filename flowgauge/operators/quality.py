@@ -118,9 +118,9 @@ def entity_conflict_values(
 ) -> DataFrame:
     """Every conflicting entity, one row per value it appears with."""
     keys = [table.column(c) for c in entity]
-    values = _entity_values(table, entity, dimensions, filters)
+    values = _entity_values(table, entity, dimensions, filters).where("value IS NOT NULL")
     conflicts = _value_counts(values, table, entity).where("n_values > 1")
-    return values.where(F.col("value").isNotNull()).join(conflicts, ["dimension", *keys])
+    return values.join(conflicts, ["dimension", *keys])
 
 
 def _category_rows(table: FlowTable, category: str, filters: Filters) -> DataFrame:

@@ -17,12 +17,20 @@ from flowgauge.table import FlowTable, with_keys
 
 def total_volume(table: FlowTable, year: int) -> DataFrame:
     """Volume of a year, with the number of distinct rows in the year and in the table."""
-    chosen = in_years(table, year)
-    return table.rows(dedup=True).agg(
+    chosen, rows = in_years(table, year), table.rows(dedup=True)
+    size = F.count(F.lit(1))
+    if table.distinct is not None:
+        # Only the year is read; the size of the whole copy is known from file footers.
+        return rows.where(chosen).agg(
+            F.lit(int(year)).alias("year"),
+            total(table.measure).alias("total_volume"),
+            size.alias("rows_after"),
+        ).withColumn("rows_before", rows.agg(size).scalar())
+    return rows.agg(
         F.lit(int(year)).alias("year"),
         total(F.when(chosen, table.measure)).alias("total_volume"),
         F.count_if(chosen).alias("rows_after"),
-        F.count(F.lit(1)).alias("rows_before"),
+        size.alias("rows_before"),
     )
 
 

@@ -96,5 +96,10 @@ def missing(table: FlowTable, column: str, *, empty_is_missing: bool = False) ->
 
 
 def with_keys(rows: DataFrame, *keys: str) -> DataFrame:
-    """Drop rows in which a grouping key is null (such rows belong to no group)."""
-    return rows.na.drop(subset=list(keys)) if keys else rows
+    """Drop rows in which a grouping key is missing (such rows belong to no group)."""
+    for key in keys:
+        present = F.col(key).isNotNull()
+        if isinstance(rows.schema[key].dataType, (T.DoubleType, T.FloatType)):
+            present = present & ~F.isnan(key)
+        rows = rows.where(present)
+    return rows
