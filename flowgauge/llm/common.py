@@ -96,22 +96,31 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**64, 256, np.uint64, endpoint=False)
-_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least n + 1 of each."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        inverse = pow(_MULTIPLIER, -1, 2**64)
-        _powers[:] = [_running_product(m, size) for m in (_MULTIPLIER, inverse)]
-    return _powers[0], _powers[1]
+class _Powers:
+    """Powers of the multiplier and of its inverse modulo 2**64; each process makes its own."""
 
+    def __init__(self) -> None:
+        self.up = self.down = np.empty(0, np.uint64)
 
-def _running_product(m: int, size: int) -> np.ndarray:
-    out = np.full(size, np.uint64(m), np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    def __reduce__(self):
+        return _Powers, ()
+
+    def reach(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = max(n, SLICE_BYTES) + 1
+            self.up = self._of(_MULTIPLIER, size)
+            self.down = self._of(pow(_MULTIPLIER, -1, 2**64), size)
+
+    @staticmethod
+    def _of(m: int, size: int) -> np.ndarray:
+        out = np.full(size, m, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,10 +132,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], by differences of one running sum."""
-    up, down = _power_tables(len(data))
+    _powers.reach(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    np.cumsum(_BYTE_VALUES[data] * _powers.up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers.down[starts])
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
