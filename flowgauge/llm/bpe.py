@@ -13,10 +13,9 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +24,9 @@ from pyspark.sql import functions as F
 from flowgauge.llm.common import slices
 
 #: Distinct words whose ids a task remembers at a time; beyond it forgets them and goes on.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 250_000
+#: Pairs of tokens whose compatibility a task remembers at a time.
+REMEMBERED_PAIRS = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,7 +60,7 @@ class WordBpe:
         for a, b in self.rank:
             self.halves.setdefault(a + b, (a, b))
         self.automaton = self._suffix_automaton()
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.pairs: dict[int, bool] = {}
 
     # -- words -------------------------------------------------------------------------------
 
@@ -84,15 +85,13 @@ class WordBpe:
     def _suffix_automaton(self) -> ahocorasick.Automaton:
         """Every token under its symbols. The mark of a token that ends a word is one symbol."""
         automaton = ahocorasick.Automaton()
-        for token in self.id_of:
-            automaton.add_word(self._symbols(token), token)
+        for token, number in self.id_of.items():
+            ends = token.endswith(self.mark) and len(token) > len(self.mark)
+            symbols = token[: -len(self.mark)] + "\0" if ends else token
+            automaton.add_word(symbols, (number, len(symbols)))
         automaton.make_automaton()
         return automaton
 
-    def _symbols(self, token: str) -> str:
-        ends = token.endswith(self.mark) and len(token) > len(self.mark)
-        return token[: -len(self.mark)] + "\0" if ends else token
-
     def _compatible(self, left: str, right: str) -> bool:
         """May ``right`` follow ``left``? Undo the merges of both, latest first: at no step may
         the pair at the border have merged before the merge that is being undone. Equal merges
@@ -113,35 +112,38 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Exact ids of one word (already normalized)."""
-        letters = self.letters
-        text = "".join(letters[b] for b in word.encode("utf-8")) + "\0"
-        n = len(text)
-        ends_at: list[list[str]] = [[] for _ in range(n + 1)]
-        for last, token in self.automaton.iter(text):
-            ends_at[last + 1].append(token)
-        # The mark belongs to the last letter: no prefix ends between them.
-        ends_at[n - 1] = []
-        last_token: list[str | None] = [None] * (n + 1)
-        length = self._length
-        for end in range(1, n + 1):
-            for token in sorted(ends_at[end], key=length, reverse=True):
-                start = end - length(token)
-                if start == 0 or (
-                    (before := last_token[start]) is not None and self.compatible(before, token)
-                ):
-                    last_token[end] = token
-                    break
+        if word.isascii() and word.isprintable():
+            text = word + "\0"
+        else:
+            text = "".join(map(self.letters.__getitem__, word.encode("utf-8"))) + "\0"
+        n, pairs = len(text), self.pairs
+        last = [-1] * (n + 1)
+        lengths = last[:]
+        # Matches come by their end, at one end the longest first: the first that fits is the one.
+        for at, (token, length) in self.automaton.iter(text):
+            end = at + 1
+            if last[end] >= 0 or end == n - 1:  # the mark belongs to the last letter
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                pair = before << 32 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= REMEMBERED_PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self._compatible(self.text_of[before], self.text_of[token])
+                if not fits:
+                    continue
+            last[end], lengths[end] = token, length
         ids, end = [], n
         while end:
-            token = last_token[end]
-            if token is None:
-                return []
-            ids.append(self.id_of[token])
-            end -= length(token)
-        return ids[::-1]
-
-    def _length(self, token: str) -> int:
-        return len(self._symbols(token))
+            ids.append(last[end])
+            end -= lengths[end]
+        ids.reverse()
+        return ids
 
     # -- texts -------------------------------------------------------------------------------
 
@@ -162,11 +164,11 @@ class _Remembered(dict):
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
 
-    def __missing__(self, part: int | str) -> tuple[list[int], str]:
+    def __missing__(self, part: int | str) -> tuple[bytes, str]:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
         ids = [part] if isinstance(part, int) else self.bpe.encode_word(part)
-        self[part] = found = (ids, self.bpe.decode(ids))
+        self[part] = found = (np.array(ids, np.int32).tobytes(), self.bpe.decode(ids))
         return found
 
 
@@ -187,14 +189,15 @@ def encode_decode(
         bpe = WordBpe(spec.value)
         known = _Remembered(bpe)
         for batch, _, _ in slices(batches):
-            flat: list[int] = []
-            offsets, decoded = [0], []
+            coded, decoded = [], []
             for text in batch.column("text").to_pylist():
-                found = [known[part] for part in bpe.parts(text or "")]
-                flat.extend(chain.from_iterable([f[0] for f in found]))
-                offsets.append(len(flat))
+                found = list(map(known.__getitem__, bpe.parts(text or "")))
+                coded.append(b"".join([f[0] for f in found]))
                 decoded.append(" ".join([f[1] for f in found]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            offsets = np.cumsum([0, *map(len, coded)]) // 4
+            ids = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32))
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), ids, pa.array(decoded, pa.string())], ["id", "ids", "decoded"]
             )
