@@ -47,5 +47,38 @@ FROM hits
 """
 
 
+def _decontaminate(width: int = 10) -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def split(table: str, key: str) -> str:
+        return f"""SELECT {key}, regexp_extract_all({_lowered("coalesce(text, '')")}, '{word}') AS w
+  FROM {table}"""
+
+    return f"""
+WITH d AS ({split("documents", "doc_id")}), i AS ({split("benchmark", "item_id")}),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), {width}) AS n, array_to_string(w[k : k + {width - 1}], ' ') AS t
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - {width}, 0) + 2)) AS k FROM i WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+found AS (
+  SELECT p.doc_id, p.k, x.n, x.item_id
+  FROM places p JOIN lengths l ON p.k + l.n - 1 <= len(p.w)
+  JOIN windows x ON x.n = l.n AND x.t = array_to_string(p.w[p.k : p.k + l.n - 1], ' ')
+), hit AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items,
+    sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op6_url_filter": _url_filter()}
+    return {"op4_decontaminate": _decontaminate(), "op6_url_filter": _url_filter()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, html_text, jaccard_join, suffix_dedup, url_filter
+from flowgauge.llm import bpe, decontaminate, html_text, jaccard_join, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,21 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    n_hit = F.aggregate(
+        "hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + F.lit(1).cast("long")
+    )
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "soft_hits", "verdict")
@@ -58,6 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op4_decontaminate": op4_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_text": op8_html_text,
