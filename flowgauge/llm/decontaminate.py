@@ -106,10 +106,10 @@ _HITS = "n_words long, hits array<struct<first:long,last:long,start:long,end:lon
 
 
 def _scan(texts: DataFrame, phrases: Phrases) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(phrases)
+    shared = texts.sparkSession.sparkContext.broadcast(tuple(vars(phrases).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = Phrases(*shared.value)
         for batch, data, offsets in slices(batches):
             data = LOWER[data]
             starts, ends, doc = words(data, offsets, ALNUM)
