@@ -66,8 +66,8 @@ found AS (
   FROM places p JOIN lengths l ON p.k + l.n - 1 <= len(p.w)
   JOIN windows x ON x.n = l.n AND x.t = array_to_string(p.w[p.k : p.k + l.n - 1], ' ')
 ), hit AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM found) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM found) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items,
     sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha
