@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, decontaminate, html_text, jaccard_join, suffix_dedup, url_filter
+from flowgauge.llm import bpe, decontaminate, html_text, jaccard_join, lm_scoring, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select(
@@ -77,5 +82,6 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_text": op8_html_text,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
