@@ -47,6 +47,26 @@ FROM hits
 """
 
 
+def _warc() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    groups = [f"CAST('0x' || substr(sha, {5 * g + 1}, 5) AS BIGINT)" for g in range(8)]
+    base32 = " || ".join(
+        f"substr('{letters}', CAST(1 + (({v} >> {shift}) & 31) AS INTEGER), 1)"
+        for v in groups for shift in (15, 10, 5, 0)
+    )
+    return f"""
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+    sha1(coalesce(html, '')) AS sha
+  FROM pages
+), largest AS (SELECT sha, max(page_id) AS largest FROM payloads GROUP BY sha)
+SELECT page_id, payload_bytes, {base32} AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM payloads JOIN largest USING (sha)
+"""
+
+
 def _decontaminate(width: int = 10) -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,4 +101,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def statements() -> dict[str, str]:
-    return {"op4_decontaminate": _decontaminate(), "op6_url_filter": _url_filter()}
+    return {
+        "op3_warc": _warc(),
+        "op4_decontaminate": _decontaminate(),
+        "op6_url_filter": _url_filter(),
+    }

@@ -3,12 +3,15 @@ its operator with production parameters to a whole table and derives the digest
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, decontaminate, html_text, jaccard_join, lm_scoring, suffix_dedup, url_filter
+from flowgauge.llm import bpe, decontaminate, html_text, jaccard_join, lm_scoring, suffix_dedup, url_filter, warc
+
+from flowgauge.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +32,16 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    entries = warc.read_archives(spark, folder, payloads=False)
+    return entries.where("error IS NULL").select(
+        warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -78,6 +91,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
