@@ -9,7 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, decontaminate, html_text, jaccard_join, lm_scoring, suffix_dedup, url_filter, warc
+from flowgauge.llm import (
+    bpe, decontaminate, html_text, jaccard_join, lm_scoring, quality_rules, site_quality,
+    suffix_dedup, url_filter, warc,
+)
 
 from flowgauge.session import shared_folder
 
@@ -32,6 +35,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -57,6 +64,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "soft_hits", "verdict")
@@ -91,8 +102,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op5_site_quality": op5_site_quality,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_text": op8_html_text,
