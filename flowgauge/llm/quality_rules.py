@@ -21,34 +21,39 @@ WINDOW = 8
 _BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 _BLANK_LETTERS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
+_MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of letters, perhaps quoted and with one mark behind it.
+_NATURAL = r"^[\"'(\[¿¡«„“]?\p{L}[\p{L}'’-]*[\"')\]»”]?[.,;:!?]?[\"')\]»”]?$"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes good below ``good`` and bad above ``bad`` (with ``high`` the other way round);
-    abstains in between and where the measure is null."""
+    """Votes good up to ``good`` and bad from ``bad`` on (with ``high`` the other way round);
+    abstains in between, where the measure is null, and on a side whose bound is None."""
 
     measure: str
-    good: float
-    bad: float
+    good: float | None
+    bad: float | None
     high: bool = False
 
     def vote(self) -> Column:
-        value = F.col(self.measure)
-        good = value >= self.good if self.high else value <= self.good
-        bad = value <= self.bad if self.high else value >= self.bad
+        value, no = F.col(self.measure), F.lit(False)
+        good = no if self.good is None else value >= self.good if self.high else value <= self.good
+        bad = no if self.bad is None else value <= self.bad if self.high else value >= self.bad
         return F.when(good, 1).when(bad, -1).otherwise(0)
 
 
 RULES = (
-    Rule("symbol_share", 0.05, 0.10),
-    Rule("repeat_share", 0.10, 0.25),
-    Rule("duplicate_line_share", 0.0, 0.30),
-    Rule("distinct_share", 0.30, 0.18, high=True),
-    Rule("upper_share", 0.15, 0.40),
-    Rule("exclamation_share", 0.05, 0.30),
-    Rule("word_length_gap", 2.5, 5.0),
-    Rule("closed_share", 0.5, 0.05, high=True),
+    Rule("natural_share", 0.90, 0.60, high=True),
+    Rule("letter_share", 0.90, 0.78, high=True),
+    Rule("closed_share", 0.5, None, high=True),
+    Rule("symbol_share", None, 0.10),
+    Rule("upper_share", None, 0.40),
+    Rule("exclamation_share", None, 0.30),
+    Rule("repeat_share", None, 0.25),
+    Rule("duplicate_line_share", None, 0.30),
+    Rule("distinct_share", None, 0.18, high=True),
+    Rule("word_length_gap", None, 5.0),
 )
 
 
@@ -131,6 +136,8 @@ def measures(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         without(_SYMBOLS).cast("long").alias("n_symbols"),
         without(upper).alias("n_upper"), without(lower).alias("n_lower"), without("!").alias("n_exclaimed"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
+        F.size(F.filter("words", lambda word: word.rlike(_NATURAL))).alias("n_natural"),
+        without(_MARKS).alias("n_marks"),
         F.size(F.split("text", r"[.!?](?=\s|$)")).alias("n_closed"),
         lines.alias("lines"), windows.alias("windows"),
     )
@@ -176,6 +183,8 @@ def judge_quality(
     n = F.col("n_words")
     # Null without words, so that rules abstain.
     measured = written(measures(documents, id_col=id_col, text_col=text_col)).withColumns({
+        "natural_share": F.when(n > 0, F.col("n_natural") / n),
+        "letter_share": F.when(n > 0, 1 - F.col("n_marks") / F.col("word_chars")),
         "symbol_share": F.when(n > 0, F.col("n_symbols") / n),
         "repeat_share": F.when(n > 0, F.col("n_repeat_words") / n),
         "exclamation_share": F.when(n > 0, F.col("n_exclaimed") / n),
