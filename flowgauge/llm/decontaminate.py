@@ -216,6 +216,25 @@ def find_contamination(
     return found.select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
+def remove_contamination(
+    documents: DataFrame, benchmark: DataFrame, width: int = 10, *, id_col: str = "doc_id",
+    text_col: str = "text", **columns: str,
+) -> DataFrame:
+    """``documents`` with each run of hit words replaced by one space; other columns as they are.
+    Ids must be unique; rows without an id keep their text."""
+    found = find_contamination(documents, benchmark, width, id_col=id_col, text_col=text_col, **columns)
+    hits = found.where((F.size("hits") > 0) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_hit_id"), F.col("hits").alias("_hits"))
+    raw = F.col(text_col).cast("binary")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("_hits.end"))
+    ends = F.concat(F.col("_hits.start"), F.array(F.octet_length(text_col).cast("long")))
+    # Runs begin and end with words, so what is left between them is whole characters.
+    pieces = F.zip_with(starts, ends, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    joined = documents.join(hits, F.col(id_col) == F.col("_hit_id"), "left")
+    cleaned = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, " "))
+    return joined.withColumn(text_col, cleaned).select(documents.columns)
+
+
 def _no_phrases(width: int) -> Phrases:
     return Phrases(np.zeros(1, np.uint64), np.zeros((1, width), np.int64), np.array([2**31]),
                    np.array([0, 0]), np.empty(0, np.int64), [])

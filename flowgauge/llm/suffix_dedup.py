@@ -252,8 +252,8 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[np.append(0, new), 0], reach[np.append(new - 1, len(spans) - 1)]], 1)
 
 
-def _cut(keyed: DataFrame) -> DataFrame:
-    """Texts without their ranges."""
+def _cut(keyed: DataFrame, as_text: bool) -> DataFrame:
+    """Texts without their ranges; as text, without the bytes of characters cut in two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -273,16 +273,21 @@ def _cut(keyed: DataFrame) -> DataFrame:
                 removed.append(len(text) - len(kept[-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("n_bytes"), pa.array(removed, pa.int64()),
-                 pa.array(number, pa.int64()), pa.array(kept, pa.binary())],
+                 pa.array(number, pa.int64()),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text
+                 else pa.array(kept, pa.binary())],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return keyed.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = "string" if as_text else "binary"
+    return keyed.mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
 
 
 def remove_repeats(
-    documents: DataFrame, length: int = 100, *, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, length: int = 100, *, id_col: str = "doc_id", text_col: str = "text",
+    as_text: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, ``kept`` (the remaining bytes).
+    """One row per input row: id, n_bytes, n_removed, n_spans, ``kept`` (the remaining bytes, or
+    ``as_text`` as a string, without what is left of a character that was cut in two).
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a text with a
     smaller id, or before it in the same text. Null and empty texts have no bytes. Rows without
@@ -323,6 +328,7 @@ def remove_repeats(
     marked = written(marked)
     out = _cut(
         keyed.join(marked, ["id", "key"], "left").select(
-            "id", "n_bytes", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+            "id", "n_bytes", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "spans"),
+        as_text,
     )
     return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
