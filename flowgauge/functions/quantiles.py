@@ -1,9 +1,10 @@
 """Exact quantiles of a column that may hold any number of distinct values.
 
-Spark's ``median`` / ``percentile`` keep every distinct value of a group in one object. Here
-the values are counted in parallel, a histogram over fixed monotone buckets says which bucket
-holds each wanted rank, that bucket is cut once more, and only the values of the final slice
-are put in order. Nothing is approximated: buckets only decide where to look.
+Spark's ``median`` / ``percentile`` keep every distinct value of a group in one object. Here a
+sketch (``percentile_approx``, combined on the map side) brackets each wanted rank, the rows below
+and inside the bracket are counted, and only the values inside are shuffled and put in order. If a
+rank should lie outside its bracket, the bracket is the whole column: nothing is approximated, the
+sketch only says where to look.
 """
 
 from __future__ import annotations
@@ -11,102 +12,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per unit of log(1 + |value|). Doubles reach a logarithm of 710, so there are never
-# more than 2 * 710 * 1024 buckets, and about 20,000 for values up to a billion.
-_LOG_RESOLUTION = 1024
-# Equal-width slices of the bucket that holds a wanted rank.
+#: Accuracy of the sketch; a bracket reaches two of its rank errors to both sides.
+_ACCURACY = 10_000
+# Equal-width slices of a bracket.
 _SLICES = 4096
 
 
-def value_counts(rows: DataFrame, value: Column) -> DataFrame:
-    """The non-null values ``v`` of a column and how often each occurs, ``n``."""
-    return (
-        rows.select(value.cast("double").alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def exact_quantiles(counts: DataFrame, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: Column, probabilities: list[float]) -> DataFrame:
     """One row with columns ``q0``, ``q1``, ...: the linearly interpolated quantiles of the
-    values of ``value_counts``; all null when there is no value."""
-    counts = counts.withColumn("bucket", _log_bucket(F.col("v")))
-    buckets = _ranked(counts.groupBy("bucket").agg(*_bounds()), Window.orderBy("bucket"))
-    last_rank = F.sum("n").over(Window.partitionBy(F.lit(0))) - 1
-    wanted = _hit(buckets.withColumn("targets", _targets(last_rank, probabilities))).select(
-        "bucket", "targets", F.col("first").alias("base"),
-        F.col("low").alias("bucket_low"), F.col("high").alias("bucket_high"),
-    )
-    # At most two ranks per probability are wanted, so the broadcast sides are a handful of rows.
-    located = counts.join(F.broadcast(wanted), "bucket").withColumn(
-        "slice", _slice(F.col("v"), F.col("bucket_low"), F.col("bucket_high"))
+    non-null values; all null when there is no value."""
+    values = rows.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    brackets = _brackets(values, probabilities)
+    # The brackets are one row, whatever the column holds.
+    held = F.filter("brackets", lambda b: (F.col("v") >= b["low"]) & (F.col("v") <= b["high"]))
+    inside = values.withColumn("brackets", brackets.select("brackets").scalar()).select(
+        "v", F.explode(held).alias("b")
     )
+    counts = inside.groupBy("b.i", "v").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"))
+    sliced = counts.withColumn("slice", _slice(F.col("v"), F.col("b.low"), F.col("b.high")))
     slices = _ranked(
-        located.groupBy("bucket", "slice").agg(
-            *_bounds(), F.first("base").alias("base"), F.first("targets").alias("targets")
-        ),
-        Window.partitionBy("bucket").orderBy("slice"),
-        F.col("base"),
+        sliced.groupBy("i", "slice").agg(F.sum("n").alias("n"), F.first("b").alias("b")),
+        Window.partitionBy("i").orderBy("slice"), F.col("b.below"),
     )
-    found = _hit(slices).select("bucket", "slice", "targets", F.col("first").alias("base"))
-    values = _ranked(
-        located.select("bucket", "slice", "v", "n").join(
-            F.broadcast(found), ["bucket", "slice"]
-        ),
-        Window.partitionBy("bucket", "slice").orderBy("v"),
-        F.col("base"),
+    found = _hit(slices).select("i", "slice", F.col("first").alias("base"))
+    ranked = _ranked(
+        sliced.join(found, ["i", "slice"]), Window.partitionBy("i", "slice").orderBy("v"), F.col("base")
     )
-    hits = _hit(values).select("v", F.explode("targets").alias("t"))
-    return hits.agg(*[
-        _interpolated(i).alias(f"q{i}") for i in range(len(probabilities))
-    ])
+    hits = _hit(ranked).select(
+        "i", "v", F.explode("ranks").alias("rank"), F.col("b.ranks").alias("wanted"),
+        F.col("b.weight").alias("weight"),
+    )
+    return hits.agg(*[_interpolated(i).alias(f"q{i}") for i in range(len(probabilities))])
 
 
-def _log_bucket(v: Column) -> Column:
-    return F.signum(v) * F.floor(F.log1p(F.abs(v)) * _LOG_RESOLUTION)
+def _brackets(values: DataFrame, probabilities: list[float]) -> DataFrame:
+    """One row: for each probability the bracket, the rows below it, the two neighbouring ranks
+    (from 0) and how far the quantile lies between them."""
+    margin = 2 / _ACCURACY
+    edges = [min(max(p + side * margin, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
+    sketch = values.agg(
+        F.percentile_approx("v", F.array(*map(F.lit, edges)), _ACCURACY).alias("edges"),
+        F.min("v").alias("least"), F.max("v").alias("most"),
+    )
+    measured = values.withColumn("sketch", sketch.select(F.struct("*")).scalar()).agg(
+        F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"),
+        *[F.count_if(F.col("v") < F.col("sketch.edges")[2 * i]).alias(f"below{i}")
+          for i in range(len(probabilities))],
+        *[F.count_if(F.col("v") <= F.col("sketch.edges")[2 * i + 1]).alias(f"upto{i}")
+          for i in range(len(probabilities))],
+    )
+    items = []
+    for i, p in enumerate(probabilities):
+        position = (F.col("n") - 1) * F.lit(float(p))
+        low, high = F.floor(position), F.ceil(position)
+        sure = (F.col(f"below{i}") <= low) & (high < F.col(f"upto{i}"))
+        items.append(F.struct(
+            F.lit(i).alias("i"),
+            F.when(sure, F.col("sketch.edges")[2 * i]).otherwise(F.col("sketch.least")).alias("low"),
+            F.when(sure, F.col("sketch.edges")[2 * i + 1]).otherwise(F.col("sketch.most")).alias("high"),
+            F.when(sure, F.col(f"below{i}")).otherwise(0).alias("below"),
+            F.array(low, high).alias("ranks"),
+            (position - low).alias("weight"),
+        ))
+    return measured.select(F.array(*items).alias("brackets"))
 
 
 def _slice(v: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, F.floor((v - low) / (high - low) * _SLICES)).otherwise(0)
 
 
-def _bounds() -> list[Column]:
-    return [F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
-
-
-def _ranked(parts: DataFrame, window, base: Column | None = None) -> DataFrame:
-    """Add the rank of the first value of each part; ranks start at 0."""
-    before = F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0))
-    return parts.withColumn("first", before if base is None else base + before)
+def _ranked(parts: DataFrame, window, base: Column) -> DataFrame:
+    """Add the rank of the first value of each part."""
+    before = F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("first", base + before)
 
 
 def _hit(parts: DataFrame) -> DataFrame:
     """The parts that hold wanted ranks, each with those only."""
     end = F.col("first") + F.col("n")
-    held = F.filter(
-        "targets", lambda t: (t["rank"] >= F.col("first")) & (t["rank"] < end)
-    )
-    return parts.withColumn("targets", held).where(F.size("targets") > 0)
-
-
-def _targets(last_rank: Column, probabilities: list[float]) -> Column:
-    """For each probability the two neighbouring ranks and how far it lies between them."""
-    items = []
-    for i, p in enumerate(probabilities):
-        position = last_rank * F.lit(float(p))
-        low = F.floor(position)
-        for upper, rank in ((False, low), (True, F.ceil(position))):
-            items.append(F.struct(
-                F.lit(i).alias("i"), F.lit(upper).alias("upper"), rank.alias("rank"),
-                (position - low).alias("weight"),
-            ))
-    return F.array(*items)
+    held = F.filter("b.ranks", lambda rank: (rank >= F.col("first")) & (rank < end))
+    return parts.withColumn("ranks", held).where(F.size("ranks") > 0)
 
 
 def _interpolated(i: int) -> Column:
-    low = F.max(F.when((F.col("t.i") == i) & ~F.col("t.upper"), F.col("v")))
-    high = F.max(F.when((F.col("t.i") == i) & F.col("t.upper"), F.col("v")))
-    weight = F.max(F.when(F.col("t.i") == i, F.col("t.weight")))
-    return low + (high - low) * weight
+    here = F.col("i") == i
+    low = F.max(F.when(here & (F.col("rank") == F.col("wanted")[0]), F.col("v")))
+    high = F.max(F.when(here & (F.col("rank") == F.col("wanted")[1]), F.col("v")))
+    return low + (high - low) * F.max(F.when(here, F.col("weight")))

@@ -81,8 +81,8 @@ def _student():
                 step = c * d
                 value = value * step
             if not np.any(np.abs(step - 1) > 1e-15):
-                break
-        return value
+                return value
+        raise ArithmeticError("the continued fraction of the p-value does not settle")
 
     def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
         """P(|T| >= |t|) for Student's t: the regularised incomplete beta I_x(df/2, 1/2) at

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +24,8 @@ from flowgauge.table import FlowTable, with_keys
 
 Filters = Mapping[str, Any] | None
 
-# Periods of a profile, first seed, restarts, most iterations of one, size of a
-# partition to fit, members shown per cluster.
+# Periods of a profile.
 PERIODS = {"monthly": 12, "quarterly": 4, "weekly": 53}
-SEED = 42
-RESTARTS = 10
-MAX_ITERATIONS = 300
-ENTITIES_PER_PARTITION = 10_000
-SAMPLE_MEMBERS = 5
 
 # Periods in which a peak makes a winter or a summer profile.
 WINTER_PEAKS = {"monthly": (12, 1, 2), "quarterly": (1,)}
@@ -41,11 +35,14 @@ SUMMER_PEAKS = {"monthly": (6, 7, 8), "quarterly": (3,)}
 @dataclass(frozen=True)
 class Clustering:
     """``assignments``: entity -> cluster; ``statistics``: one row per cluster, over unscaled
-    volumes; ``quality``: one row. Cluster 0 has the largest mean volume."""
+    volumes; ``quality``: one row, with the iterations of the chosen fit and whether it settled
+    before the most allowed; ``members``: entity, profile, scaled features and cluster. Cluster 0
+    has the largest mean volume."""
 
     assignments: DataFrame
     statistics: DataFrame
     quality: DataFrame
+    members: DataFrame
 
 
 def seasonal_profiles(
@@ -68,17 +65,22 @@ def perform_clustering(
     n_clusters: int = 3,
     normalize: bool = True,
     filters: Filters = None,
+    seed: int = 42,
+    restarts: int = 10,
+    max_iterations: int = 300,
+    partitions: int = 8,
+    sample_members: int = 5,
 ) -> Clustering:
-    """K-means over seasonal profiles. Fitting runs Spark jobs right away; the restart with
-    the lowest cost wins. Entities are first laid out by key, always the same way, because the
-    initial centres depend on it."""
+    """K-means over seasonal profiles. Fitting runs Spark jobs right away; of ``restarts`` fits
+    with at most ``max_iterations`` steps the cheapest wins. Entities are first laid out by key in
+    ``partitions`` parts, always the same way, because the initial centres depend on it. One
+    cluster is allowed and needs no fit; its silhouette is 0."""
     by = table.column(by)
     profiles = cut_lineage(_wide_profiles(table, by, grain, filters))
     entities = profiles.count()
-    if not 2 <= n_clusters < entities:
+    if not 1 <= n_clusters < max(entities, 2) or not entities:
         raise ValueError(f"{n_clusters} clusters need more than {n_clusters} entities "
-                         f"and at least 2 clusters; there are {entities} entities")
-    partitions = entities // ENTITIES_PER_PARTITION + 1
+                         f"and at least 1 cluster; there are {entities} entities")
     ordered = profiles.repartition(partitions, by).sortWithinPartitions(by)
     features = ordered.withColumn("raw", array_to_vector("profile"))
     if normalize:
@@ -89,36 +91,87 @@ def perform_clustering(
         features = features.withColumnRenamed("raw", "features")
     features = features.persist()
     try:
-        model = _best_of(features, n_clusters)
-        predicted = cut_lineage(model.transform(features))
+        if n_clusters == 1:
+            iterations, predicted = 0, cut_lineage(features.withColumn("prediction", F.lit(0)))
+        else:
+            model = _best_of(features, n_clusters, seed, restarts, max_iterations)
+            iterations = model.summary.numIter
+            predicted = cut_lineage(model.transform(features))
     finally:
         features.unpersist()
-    return _describe(predicted, by, grain)
+    fit = (iterations, iterations < max_iterations)
+    return _describe(predicted, by, grain, sample_members, fit)
+
+
+def cluster_checks(clustering: Clustering, by: str) -> DataFrame:
+    """What must hold of any clustering, as (check_name, period, value): entities clustered, more
+    than once, and nearer to the centre of another cluster than to their own (0 after a fit that
+    settled, but for ties in the last bits); and the volume of each period over all clusters."""
+    members = clustering.members
+    points = members.withColumn("point", vector_to_array("features"))
+    by_axis = points.select("cluster", F.posexplode("point").alias("axis", "x"))
+    centre = by_axis.groupBy("cluster", "axis").agg(F.avg("x").alias("c"))
+    # One array per cluster: as many rows as clusters were asked for.
+    table = centre.groupBy("cluster").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("axis", "c"))), lambda s: s["c"]).alias("centre"))
+    all_centres = table.agg(F.collect_list(F.struct("cluster", "centre"))).scalar()
+
+    def distance(centre: Column) -> Column:
+        gaps = F.zip_with("point", centre, lambda a, b: (a - b) * (a - b))
+        return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g)
+
+    ranked = points.withColumn("centres", all_centres).select(
+        by, F.filter("centres", lambda c: c["cluster"] == F.col("cluster"))[0]["centre"].alias("own"),
+        "centres", "point",
+    ).select(by, distance(F.col("own")).alias("own"), F.array_min(
+        F.transform("centres", lambda c: distance(c["centre"]))).alias("nearest"))
+    counted = ranked.agg(
+        F.count(F.lit(1)).alias("entities"),
+        (F.count(F.lit(1)) - F.count_distinct(F.col(by))).alias("repeated"),
+        F.count_if(F.col("own") > F.col("nearest") * (1 + 1e-9) + 1e-12).alias("nearer_elsewhere"),
+    )
+    checks = counted.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.lit(0).alias("period"),
+                 F.col(name).cast("double").alias("value"))
+        for name in ("entities", "repeated", "nearer_elsewhere")
+    ])))
+    volumes = members.select("cluster", F.posexplode("profile").alias("pos", "volume")).groupBy("pos").agg(
+        F.sum("volume").alias("value"))
+    return checks.unionByName(volumes.select(
+        F.lit("volume").alias("check_name"), (F.col("pos") + 1).alias("period"), "value"))
 
 
 def _wide_profiles(table: FlowTable, by: str, grain: str, filters: Filters) -> DataFrame:
     part = calendar_part(table.time, grain)
     rows = with_keys(apply_filters(table, table.rows(dedup=True), filters), by)
-    periods = range(1, PERIODS[grain.lower()] + 1)
-    profile = F.array(*[total(F.when(part == p, table.measure)) for p in periods])
-    return rows.groupBy(by).agg(profile.alias("profile")).where(
+    sums = rows.groupBy(by, part.alias("period")).agg(total(table.measure).alias("volume"))
+    # At most one entry per period of the profile.
+    folded = sums.where("period IS NOT NULL").groupBy(by).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("period").cast("int"), "volume"))).alias("of"))
+    periods = F.sequence(F.lit(1), F.lit(PERIODS[grain.lower()]))
+    profile = F.transform(periods, lambda p: F.coalesce(F.col("of")[p], F.lit(0.0)))
+    return folded.select(by, profile.alias("profile")).where(
         F.exists("profile", lambda volume: volume != 0)
     )
 
 
-def _best_of(features: DataFrame, n_clusters: int) -> KMeansModel:
+def _best_of(
+    features: DataFrame, n_clusters: int, seed: int, restarts: int, max_iterations: int
+) -> KMeansModel:
     """Restarts do not depend on each other, so they run at the same time."""
     def fit(restart: int) -> KMeansModel:
-        kmeans = KMeans(k=n_clusters, seed=SEED + restart, maxIter=MAX_ITERATIONS)
+        kmeans = KMeans(k=n_clusters, seed=seed + restart, maxIter=max_iterations)
         return kmeans.fit(features)
 
     in_session = inheritable_thread_target(features.sparkSession)
-    with ThreadPool(RESTARTS) as pool:
-        models = pool.map(in_session(fit), range(RESTARTS))
+    with ThreadPool(restarts) as pool:
+        models = pool.map(in_session(fit), range(restarts))
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
-def _describe(predicted: DataFrame, by: str, grain: str) -> Clustering:
+def _describe(
+    predicted: DataFrame, by: str, grain: str, sample_members: int, fit: tuple[int, bool]
+) -> Clustering:
     length = PERIODS[grain.lower()]
     groups = predicted.groupBy("prediction").agg(
         F.count(F.lit(1)).alias("entity_count"),
@@ -130,13 +183,14 @@ def _describe(predicted: DataFrame, by: str, grain: str) -> Clustering:
         F.col("mean_total_volume").desc(), "first_member"
     )
     numbered = groups.withColumn("cluster", F.row_number().over(largest_first) - 1)
-    assignments = predicted.join(
+    clustered = predicted.join(
         F.broadcast(numbered.select("prediction", "cluster")), "prediction"
-    ).select(by, "cluster")
+    ).select(by, "cluster", "profile", "features")
+    assignments = clustered.select(by, "cluster")
 
     position = F.row_number().over(Window.partitionBy("cluster").orderBy(by))
     members = assignments.withColumn("position", position).where(
-        F.col("position") <= SAMPLE_MEMBERS
+        F.col("position") <= sample_members
     ).groupBy("cluster").agg(F.array_sort(F.collect_list(by)).alias("sample_members"))
 
     centroid = F.col("centroid")
@@ -155,15 +209,16 @@ def _describe(predicted: DataFrame, by: str, grain: str) -> Clustering:
         .alias("coefficient_of_variation"),
         _usage(peak, grain).alias("usage_pattern"),
     ).join(members, "cluster")
-    return Clustering(assignments, statistics, _quality(predicted))
+    return Clustering(assignments, statistics, _quality(predicted, *fit), clustered)
 
 
-def _quality(predicted: DataFrame) -> DataFrame:
+def _quality(predicted: DataFrame, iterations: int, converged: bool) -> DataFrame:
     spark = predicted.sparkSession
     found = predicted.select("prediction").distinct().count()
     score = ClusteringEvaluator().evaluate(predicted) if found > 1 else 0.0
     return spark.range(1).select(
-        F.lit(float(score)).alias("silhouette_sq_euclidean")
+        F.lit(float(score)).alias("silhouette_sq_euclidean"),
+        F.lit(iterations).alias("iterations"), F.lit(converged).alias("converged"),
     ).withColumn("quality", stats.label_above(
         F.col("silhouette_sq_euclidean"), stats.SILHOUETTE_QUALITY, "Poor"
     ))

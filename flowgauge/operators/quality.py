@@ -85,11 +85,16 @@ def entity_conflicts(
     """Per dimension: how many entities appear with more than one value of it, out of all
     entities, and the share in percent. Entities with a null in a key are left out; a null
     dimension is no value."""
-    counted = _value_counts(_entity_values(table, entity, dimensions, filters), table, entity)
-    return counted.groupBy("dimension").agg(
-        F.count_if(F.col("n_values") > 1).alias("duplicate_count"),
+    names = [table.column(d) for d in dimensions]
+    counted = _conflicting(table, entity, names, filters).agg(
         F.count(F.lit(1)).alias("total_entities"),
-    ).withColumn(
+        *[F.count_if(F.col(f"conflict_{k}")).alias(f"duplicates_{k}") for k in range(len(names))],
+    ).where("total_entities > 0")
+    by_dimension = F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(f"duplicates_{k}").alias("duplicate_count"))
+        for k, d in enumerate(names)
+    ])
+    return counted.select(F.inline(by_dimension), "total_entities").withColumn(
         "duplicate_pct",
         F.bround(F.try_divide(F.col("duplicate_count") * 100.0, F.col("total_entities")), 2),
     )
@@ -102,14 +107,19 @@ def entity_conflict_details(
     """Per dimension the first ``limit`` conflicting entities (by key) with their values as
     a sorted array. ``entity_conflict_values`` lists all conflicts, one row per value."""
     keys = [table.column(c) for c in entity]
-    values = _entity_values(table, entity, dimensions, filters)
-    conflicts = _value_counts(values, table, entity).where("n_values > 1")
+    names = [table.column(d) for d in dimensions]
+    found = _conflicting(table, entity, names, filters)
+    conflicts = found.select(*keys, F.explode(F.filter(
+        F.array(*[F.when(F.col(f"conflict_{k}"), F.lit(d)) for k, d in enumerate(names)]),
+        lambda d: d.isNotNull(),
+    )).alias("dimension"))
     position = F.row_number().over(Window.partitionBy("dimension").orderBy(*keys))
     examples = conflicts.withColumn("position", position).where(F.col("position") <= limit)
-    # At most ``limit`` rows per dimension, so this side is always small.
-    chosen = values.join(F.broadcast(examples.drop("position")), ["dimension", *keys])
-    return chosen.groupBy("dimension", *keys, "n_values").agg(
-        F.array_sort(F.collect_list("value")).alias("values")
+    # Only the values of these few entities are looked at.
+    values = _entity_values(table, entity, dimensions, filters).where("value IS NOT NULL")
+    chosen = values.join(examples.drop("position"), ["dimension", *keys])
+    return chosen.groupBy("dimension", *keys).agg(
+        F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list("value")).alias("values")
     )
 
 
@@ -167,6 +177,21 @@ def _entity_values(
     return rows.select(*keys, F.inline(pairs)).distinct()
 
 
+def _conflicting(
+    table: FlowTable, entity: Sequence[str], names: Sequence[str], filters: Filters
+) -> DataFrame:
+    """One row per entity: for the k-th dimension, whether it has more than one value. Smallest
+    and largest value tell, so no values are gathered and rows are not multiplied."""
+    keys = [table.column(c) for c in entity]
+    rows = with_keys(apply_filters(table, table.raw, filters), *keys)
+    return rows.groupBy(*keys).agg(*[
+        F.coalesce(
+            F.min(F.col(d).cast("string")) != F.max(F.col(d).cast("string")), F.lit(False)
+        ).alias(f"conflict_{k}")
+        for k, d in enumerate(names)
+    ])
+
+
 def _value_counts(values: DataFrame, table: FlowTable, entity: Sequence[str]) -> DataFrame:
     keys = [table.column(c) for c in entity]
     return values.groupBy("dimension", *keys).agg(F.count("value").alias("n_values"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowgauge.functions.buckets import period, report_bucket
 from flowgauge.functions.metrics import aggregate, metric_name, percent_change, total
 from flowgauge.functions.predicates import apply_filters, direction_sign, in_years
-from flowgauge.functions.quantiles import exact_quantiles, value_counts
+from flowgauge.functions.quantiles import exact_quantiles
 from flowgauge.table import FlowTable, with_keys
 
 
@@ -34,8 +34,13 @@ def total_volume(table: FlowTable, year: int) -> DataFrame:
     )
 
 
-def unique_count(table: FlowTable, column: str = "pipeline") -> DataFrame:
-    return table.raw.agg(F.count_distinct(F.col(table.column(column))).alias("unique_count"))
+def unique_count(
+    table: FlowTable, column: str = "pipeline", *, approximate: bool = False
+) -> DataFrame:
+    """Number of distinct values; ``approximate`` estimates it from a sketch."""
+    column = table.column(column)
+    count = F.approx_count_distinct(column) if approximate else F.count_distinct(F.col(column))
+    return table.raw.agg(count.alias("unique_count"))
 
 
 def top_by_activity(table: FlowTable, by: str = "region", limit: int | None = 1) -> DataFrame:
@@ -55,12 +60,23 @@ def top_by_volume(table: FlowTable, by: str = "pipeline", limit: int | None = 10
     return _ranked(totals, F.col("total_volume"), [by], limit)
 
 
-def average_quantity(table: FlowTable) -> DataFrame:
-    """Mean and exact median of the quantity per transaction."""
-    counts = value_counts(table.rows(dedup=True), table.measure)
-    median = exact_quantiles(counts, [0.5]).select("q0").scalar()
-    mean = F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n"))
-    return counts.agg(mean.alias("avg_quantity")).withColumn("median_quantity", median)
+def row_counts(table: FlowTable, filters: Filters = None, *, dedup: bool = False) -> DataFrame:
+    """One row: rows of the table, and those that pass the filters (``dedup``: without exact
+    duplicates). Says how much an analysis with these filters rests on."""
+    size = table.raw.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    chosen = apply_filters(table, table.rows(dedup=dedup), filters)
+    return chosen.agg(F.count(F.lit(1)).alias("rows_after")).withColumn("rows_before", size)
+
+
+def average_quantity(table: FlowTable, *, approximate: bool = False) -> DataFrame:
+    """Mean and median of the quantity per transaction; ``approximate`` takes the median from a
+    sketch instead of the exact one."""
+    rows = table.rows(dedup=True)
+    mean = F.avg(table.measure).alias("avg_quantity")
+    if approximate:
+        return rows.agg(mean, F.percentile_approx(table.measure, 0.5).alias("median_quantity"))
+    median = exact_quantiles(rows, table.measure, [0.5]).select("q0").scalar()
+    return rows.agg(mean).withColumn("median_quantity", median)
 
 
 def direction_counts(table: FlowTable) -> DataFrame:
@@ -224,22 +240,23 @@ def compare_years(
     years = list(range(int(first_year), int(last_year) + 1))
     rows = table.rows(dedup=True).where(in_years(table, first_year, last_year))
 
-    # One aggregate with a sum per year: the zero-filled matrix without joining keys and years.
-    # Rows without a group count for the whole of a year but form no group themselves;
-    # ``grouped`` marks them after the aggregate, so that both uses of it share one shuffle.
-    year = F.year(table.time)
-    sums = rows.groupBy(by).agg(
+    # One sum per group and year, folded into a zero-filled row per group. Rows without a group
+    # count for the whole of a year but form no group themselves; ``grouped`` marks them after
+    # the aggregate, so that both uses of it share one shuffle.
+    sums = rows.groupBy(by, F.year(table.time).alias("year")).agg(
+        total(table.measure).alias("volume"), F.count(F.lit(1)).alias("row_count")
+    )
+    # At most one entry per year of the range.
+    folded = sums.groupBy(by).agg(
         F.max(F.col(by).isNotNull()).alias("grouped"),
-        F.array(*[
-            F.struct(
-                F.lit(y).alias("year"),
-                total(F.when(year == y, table.measure)).alias("volume"),
-                F.count_if(year == y).alias("row_count"),
-            )
-            for y in years
-        ]).alias("cells"),
+        F.map_from_entries(F.collect_list(F.struct("year", F.struct("volume", "row_count")))).alias("of"),
+    )
+    cells = folded.select(by, "grouped", "of", F.explode(F.array(*map(F.lit, years))).alias("year"))
+    cells = cells.select(
+        by, "grouped", "year",
+        F.coalesce(F.col("of")[F.col("year")]["volume"], F.lit(0.0)).alias("volume"),
+        F.coalesce(F.col("of")[F.col("year")]["row_count"], F.lit(0)).alias("row_count"),
     )
-    cells = sums.select(by, "grouped", F.inline("cells"))
     of_year = cells.groupBy("year").agg(
         F.sum("volume").alias("whole"),
         F.sum(F.when(F.col("grouped"), F.col("row_count"))).alias("present"),

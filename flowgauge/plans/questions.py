@@ -13,7 +13,7 @@ from flowgauge.functions import stats
 from flowgauge.functions.buckets import SEASONS
 from flowgauge.functions.metrics import percent_change, total
 from flowgauge.functions.predicates import apply_filters, direction_sign
-from flowgauge.functions.quantiles import exact_quantiles, value_counts
+from flowgauge.functions.quantiles import exact_quantiles
 from flowgauge.operators.anomaly import (
     ROLLING_DAYS,
     anomaly_rolling,
@@ -54,9 +54,7 @@ def quantile_buckets(
         table, _of_direction(table, table.rows(dedup=True), transaction_type), filters
     )
     totals = with_keys(rows, by).groupBy(by).agg(total(table.measure).alias("total_volume"))
-    thirds = exact_quantiles(
-        value_counts(totals, F.col("total_volume")), [1 / 3, 2 / 3]
-    ).select(F.struct("q0", "q1")).scalar()
+    thirds = exact_quantiles(totals, F.col("total_volume"), [1 / 3, 2 / 3]).select(F.struct("q0", "q1")).scalar()
     volume = F.col("total_volume")
     return totals.withColumn("thirds", thirds).withColumn(
         "bucket",
@@ -191,13 +189,21 @@ def spike_codrop_cases(
         & (F.col(pipeline) != F.col("drop_pipeline"))
     )
     strongest_first = [F.col("zscore").desc(), *keys, "day"]
-    chosen = spikes.join(drops, elsewhere, "left_semi").orderBy(*strongest_first).limit(cases)
+    # Another pipeline has dropped there if the first or the last of the dropped ones is another:
+    # one row per region and day meets the spikes.
+    dropped = drops.groupBy("drop_region", "drop_day").agg(
+        F.min("drop_pipeline").alias("first_drop"), F.max("drop_pipeline").alias("last_drop")
+    )
+    same_day = (F.col(region) == F.col("drop_region")) & (F.col("day") == F.col("drop_day"))
+    others = (F.col(pipeline) != F.col("first_drop")) | (F.col(pipeline) != F.col("last_drop"))
+    chosen = spikes.join(dropped, same_day).where(others).select(spikes.columns).orderBy(
+        *strongest_first
+    ).limit(cases)
     numbered = chosen.withColumn(
         "case_no",
         F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*strongest_first)),
     )
-    # ``cases`` rows, so this side is always small.
-    return drops.join(F.broadcast(numbered), elsewhere).drop("drop_region", "drop_day")
+    return drops.join(numbered, elsewhere).drop("drop_region", "drop_day")
 
 
 def _of_direction(table: FlowTable, rows: DataFrame, transaction_type: str) -> DataFrame:

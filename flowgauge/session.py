@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of this application for checkpoints and intermediate tables.
+    """The folder of this application for checkpoints and intermediate tables, deleted when the
+    application ends.
 
     It lies in the one the session names in ``spark.checkpoint.dir``. Where it names none, a
     local session gets a temporary one; on a cluster that would not be shared, so it raises.
@@ -16,10 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowgauge-"))
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +20,36 @@ def read_flow_table(
     distinct_path: str | None = None,
     schema: str | T.StructType | None = None,
 ) -> FlowTable:
-    """Read a Parquet fact table; ``distinct_path`` names a copy made by ``write_distinct``.
-    A given ``schema`` saves the job that reads it from the files."""
-    distinct = _read(spark, distinct_path, schema) if distinct_path else None
-    return as_flow_table(_read(spark, path, schema), roles, distinct=distinct)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than there are cores (a few large row groups),
-    so that what follows uses all of them. Larger scans stay as they are. For small files
-    only: looking at the splits costs a listing of all files."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    """Read a Parquet fact table; ``distinct_path`` names a copy made by ``write_distinct``,
+    which must still fit: if files, rows or types of the table are others than when the copy was
+    made, this raises. A given ``schema`` saves the job that reads it from the files."""
+    raw = _read(spark, path, schema)
+    if not distinct_path:
+        return as_flow_table(raw, roles)
+    made_from = spark.read.parquet(_record_path(distinct_path)).first().asDict()
+    now = _described(raw)
+    changed = sorted(k for k in now if now[k] != made_from[k])
+    if changed:
+        raise ValueError(
+            f"the distinct copy at {distinct_path} was made from another state of the table "
+            f"({', '.join(changed)} changed); write it again"
+        )
+    return as_flow_table(raw, roles, distinct=_read(spark, distinct_path, schema))
+
+
+def _record_path(distinct_path: str) -> str:
+    return f"{distinct_path.rstrip('/')}.made-from"
+
+
+def _described(raw: DataFrame) -> dict[str, str | int]:
+    """What tells one state of a table from another: its files, rows (from the footers of
+    Parquet files) and types."""
+    files = "\n".join(sorted(raw.inputFiles()))
+    return {
+        "files": hashlib.sha256(files.encode()).hexdigest(),
+        "row_count": raw.count(),
+        "types": ", ".join(f"{name} {kind}" for name, kind in sorted(raw.dtypes)),
+    }
 
 
 def _read(spark: SparkSession, path: str, schema: str | T.StructType | None) -> DataFrame:
@@ -66,11 +86,13 @@ def write_distinct(table: FlowTable, path: str, *, files: int | None = None) ->
     volume analyses read that copy instead of removing duplicates again on each call.
 
     Files are ranged by time, so that a year filter skips files. The row hash as second key
-    splits a day that holds a large share of all rows over several files.
+    splits a day that holds a large share of all rows over several files. A record beside the
+    copy says what it was made from.
     """
     spark = table.raw.sparkSession
     keys = [F.col(table.roles.time), F.xxhash64(*table.raw.columns)]
     rows = table.raw.dropDuplicates()
     ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
     ranged.sortWithinPartitions(table.roles.time).write.mode("errorifexists").parquet(path)
+    spark.createDataFrame([Row(**_described(table.raw))]).coalesce(1).write.parquet(_record_path(path))
     return FlowTable(table.raw, table.roles, spark.read.parquet(path))

@@ -32,8 +32,8 @@ class FlowTable:
             raise ValueError(f"'{self.roles.time}' must be a date or timestamp column")
         if not isinstance(types[self.roles.measure], T.NumericType):
             raise ValueError(f"'{self.roles.measure}' must be a numeric column")
-        if self.distinct is not None and set(self.distinct.columns) != set(self.raw.columns):
-            raise ValueError("the distinct copy must have the columns of the table")
+        if self.distinct is not None and set(self.distinct.dtypes) != set(self.raw.dtypes):
+            raise ValueError("the distinct copy must have the columns and types of the table")
 
     def rows(self, dedup: bool) -> DataFrame:
         """The rows an analysis reads: all of them, or each distinct row once.

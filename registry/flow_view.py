@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowgauge import FlowSchema, FlowTable
 from flowgauge.session import shared_folder
-from flowgauge.sources import as_flow_table, read_flow_table, spread, write_distinct
+from flowgauge.sources import as_flow_table, read_flow_table, write_distinct
 
 # The columns read from each table; stating them saves a schema job per table and query.
 SCHEMAS = {
@@ -33,7 +33,7 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     joined = (
-        spread(table("lineitem"))
+        table("lineitem")
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -70,7 +70,7 @@ FLOW_SCHEMA = (
     "state_abb STRING, county_name STRING, latitude STRING, longitude STRING, "
     "eff_gas_day TIMESTAMP_NTZ, scheduled_quantity DOUBLE"
 )
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
 _lock = Lock()
 
 
@@ -78,15 +78,18 @@ def write_flow_table(spark: SparkSession, sf_dir: str) -> str:
     """Derive the flow table and its distinct copy once and write both to the shared folder:
     the joins and the whole-row shuffle are then not repeated by every analysis."""
     folder = f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
-    flow_rows(spark, sf_dir).write.parquet(f"{folder}/rows")
+    # Both copies are laid out by time, so that a year filter skips files.
+    ranged = flow_rows(spark, sf_dir).repartitionByRange("eff_gas_day", F.xxhash64("loc_name", "pipeline_name"))
+    ranged.sortWithinPartitions("eff_gas_day").write.parquet(f"{folder}/rows")
     rows = spark.read.schema(FLOW_SCHEMA).parquet(f"{folder}/rows")
     write_distinct(as_flow_table(rows), f"{folder}/distinct")
     return folder
 
 
 def flow(spark: SparkSession, sf_dir: str) -> FlowTable:
-    """The flow table of an application and its distinct copy, written at first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The flow table of an application and its distinct copy, written at first use and again
+    when the given tables have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state_of(spark, sf_dir))
     with _lock:
         if key not in _written:
             _written[key] = write_flow_table(spark, sf_dir)
@@ -96,6 +99,17 @@ def flow(spark: SparkSession, sf_dir: str) -> FlowTable:
     )
 
 
+def _state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of the tables the flow table is derived from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in SCHEMAS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        for file in path.getFileSystem(conf).listStatus(path):
+            found.append((file.getPath().getName(), file.getLen(), file.getModificationTime()))
+    return tuple(found)
+
+
 def flow_in_place(spark: SparkSession, sf_dir: str) -> FlowTable:
     """The flow table as a plan over the given tables, duplicates removed on the way."""
     return as_flow_table(flow_rows(spark, sf_dir))

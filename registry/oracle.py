@@ -95,21 +95,21 @@ def _correlation(period: str, x: str = "count(DISTINCT loc_name)") -> str:
     )
 
 
-def _sides(period: str, where: str = "TRUE") -> str:
+def _sides(period: str, where: str = "TRUE", metric: str = f"sum({Q})") -> str:
     return (
         "sides AS (SELECT CASE WHEN eff_gas_day < TIMESTAMP '1998-07-01' THEN 'before' "
-        f"ELSE 'after' END AS side, {period} AS period, sum({Q}) AS value, "
+        f"ELSE 'after' END AS side, {period} AS period, {metric} AS value, "
         f"count(*) AS row_count, min({DAY}) AS first_day, max({DAY}) AS last_day "
         f"FROM flow WHERE {where} GROUP BY 1, 2)"
     )
 
 
-def _before_after(period: str) -> str:
+def _before_after(period: str, metric: str = f"sum({Q})") -> str:
     return _flow(
         "SELECT side, round(avg(value), 6) AS mean_value, count(*) AS periods, "
         "CAST(sum(row_count) AS BIGINT) AS row_count, min(first_day) AS first_day, "
         "max(last_day) AS last_day FROM sides GROUP BY 1",
-        _sides(period),
+        _sides(period, metric=metric),
     )
 
 
@@ -135,35 +135,37 @@ def _daily(by: str, source: str = "flow", where: str = "TRUE") -> str:
 
 
 def _rolling(keys: str, frame: str = "ORDER BY day ROWS BETWEEN 89 PRECEDING AND CURRENT ROW",
-             source: str = "daily") -> str:
+             source: str = "daily", percentile: bool = False, name: str = "rolled") -> str:
     window = f"(PARTITION BY {keys} {frame})"
+    quantile = f", quantile_cont(quantity, 0.95) OVER {window} AS roll_percentile" if percentile else ""
     return (
-        f"rolled AS (SELECT *, count(quantity) OVER {window} AS filled, "
+        f"{name} AS MATERIALIZED (SELECT *, count(quantity) OVER {window} AS filled, "
         f"avg(quantity) OVER {window} AS roll_mean, "
-        f"stddev_samp(quantity) OVER {window} AS roll_std, "
-        f"quantile_cont(quantity, 0.95) OVER {window} AS roll_percentile FROM {source})"
+        f"stddev_samp(quantity) OVER {window} AS roll_std{quantile} FROM {source})"
     )
 
 
-def _anomaly_rolling(by: str, keys: str, frame: str | None = None, tail: str = "") -> str:
+def _anomaly_rolling(
+    by: str, keys: str, frame: str | None = None, tail: str = "", where: str = "TRUE"
+) -> str:
     rolled = _rolling(keys) if frame is None else _rolling(keys, frame)
     return _flow(
         f"SELECT {keys}, day, quantity, round(roll_mean, 6) AS roll_mean, "
         "round(roll_std, 6) AS roll_std, "
         "round((quantity - roll_mean) / nullif(roll_std, 0), 6) AS zscore FROM rolled "
         "WHERE filled >= 22 AND (quantity - roll_mean) / nullif(roll_std, 0) > 3 " + tail,
-        _daily(by), rolled,
+        _daily(by, where=where), rolled,
     )
 
 
-def _anomaly_change(by: str, keys: str) -> str:
+def _anomaly_change(by: str, keys: str, tail: str = "") -> str:
     return _flow(
         f"SELECT {keys}, day, quantity, round(roll_mean, 6) AS recent_avg, "
         "round((quantity - roll_mean) / nullif(roll_mean, 0) * 100, 6) AS pct_change, "
         "CASE WHEN quantity > roll_mean THEN 'increase' ELSE 'decrease' END AS kind "
         "FROM rolled WHERE filled >= 22 AND "
         "(abs((quantity - roll_mean) / nullif(roll_mean, 0) * 100) > 50 "
-        "OR (roll_mean = 0 AND quantity <> 0))",
+        "OR (roll_mean = 0 AND quantity <> 0)) " + tail,
         _daily(by, "raw"), _rolling(keys),
     )
 
@@ -172,7 +174,7 @@ def _anomaly_percentile(by: str, keys: str) -> str:
     return _flow(
         f"SELECT {keys}, day, quantity, round(roll_percentile, 6) AS roll_percentile "
         "FROM rolled WHERE filled >= 22 AND quantity > roll_percentile",
-        _daily(by), _rolling(keys),
+        _daily(by), _rolling(keys, percentile=True),
     )
 
 
@@ -198,12 +200,12 @@ def _dimensions(keys: dict[str, str], value: str, source: str = "flow",
     )
 
 
-def _years(by: str, value: str, change: str) -> str:
+def _years(by: str, value: str, change: str, metric: str = "sum") -> str:
     return _flow(
         f"SELECT CAST(year AS INTEGER) AS year, {by}, {value} AS value, {change} AS yoy_change "
         f"FROM (SELECT *, lag(value) OVER (PARTITION BY {by} ORDER BY year) AS previous "
         "FROM filled)",
-        *_year_ctes(by, "percentage" if "6)" in value else "sum"),
+        *_year_ctes(by, metric),
     )
 
 
@@ -345,6 +347,12 @@ def _retrieval() -> dict[str, str]:
             "month(eff_gas_day) IN (12, 1, 2) AND eff_gas_day >= TIMESTAMP '1996-01-01' "
             "AND eff_gas_day < TIMESTAMP '2000-01-01'", None
         ),
+        "filter_rank_month": _top("pipeline_name", total, "month(eff_gas_day) = 3", None),
+        "filter_rank_nothing": _top("pipeline_name", total, "state_abb = 'NOWHERE'", None),
+        "filter_row_counts": _flow(
+            "SELECT (SELECT count(*) FROM raw) AS rows_before, count(*) AS rows_after FROM flow "
+            f"WHERE state_abb = 'NATION_3' AND rec_del_sign = -1 AND {IN_1997}"
+        ),
         "filter_rank_day": _top("pipeline_name", total, f"{DAY} = DATE '1997-06-10'", None),
         "time_series_daily_sum": _flow(_series(DAY, total)),
         "time_series_weekly_sum": _flow(_series(WEEK, total)),
@@ -369,7 +377,7 @@ def _retrieval() -> dict[str, str]:
             "pipeline_name", "value", "round(100 * (value / nullif(previous, 0) - 1), 6)"
         ),
         "compare_years_share": _years(
-            "county_name", "round(value, 6)", "round(value - previous, 6)"
+            "county_name", "round(value, 6)", "round(value - previous, 6)", "percentage"
         ),
         "compare_years_totals": _flow(
             "SELECT CAST(year AS INTEGER) AS year, sum(value) AS total FROM filled GROUP BY 1",
@@ -448,6 +456,21 @@ def _patterns() -> dict[str, str]:
         "before_after_daily": _before_after(DAY),
         "before_after_weekly": _before_after(WEEK),
         "before_after_monthly": _before_after(MONTH),
+        "before_after_transactions": _before_after(MONTH, "count(*)"),
+        "before_after_locations": _before_after(MONTH, "count(DISTINCT loc_name)"),
+        "before_after_average": _before_after(MONTH, f"avg({Q})"),
+        "correlation_monthly_pipelines": _correlation(MONTH, "count(DISTINCT pipeline_name)"),
+        "cluster_checks": _flow(
+            "SELECT 'entities' AS check_name, 0 AS period, CAST(count(DISTINCT pipeline_name) AS DOUBLE) AS value "
+            "FROM clustered UNION ALL SELECT 'repeated', 0, 0.0 "
+            "UNION ALL SELECT 'nearer_elsewhere', 0, 0.0 UNION ALL "
+            "SELECT 'volume', CAST(p.period AS INTEGER), coalesce(sum(volume), 0.0) FROM range(1, 13) p(period) "
+            "LEFT JOIN clustered c ON c.part = p.period GROUP BY p.period",
+            f"sums AS (SELECT pipeline_name, month(eff_gas_day) AS part, sum({Q}) AS volume FROM flow "
+            f"WHERE {IN_1997} AND pipeline_name IS NOT NULL GROUP BY 1, 2)",
+            "clustered AS (SELECT * FROM sums WHERE pipeline_name IN "
+            "(SELECT pipeline_name FROM sums GROUP BY 1 HAVING max(abs(volume)) > 0))",
+        ),
         "before_after_ttest": _flow(
             "SELECT round(m1, 6) AS before_mean, round(m2, 6) AS after_mean, "
             "round(m2 - m1, 6) AS absolute_change, "
@@ -504,6 +527,11 @@ def _quality() -> dict[str, str]:
             f"AS violations, round_even(100.0 * count(*) FILTER (WHERE {violation}) / count(*), 1) "
             "AS pct FROM raw WHERE category_short = 'SMALL'"
         ),
+        "rule_violations_filtered": _flow(
+            f"SELECT 'SMALL' AS category, count(*) AS total, count(*) FILTER (WHERE {violation}) "
+            f"AS violations, round_even(100.0 * count(*) FILTER (WHERE {violation}) / count(*), 1) "
+            "AS pct FROM raw WHERE category_short = 'SMALL' AND state_abb = 'NATION_3' HAVING count(*) > 0"
+        ),
         "rule_violation_examples": _flow(
             "SELECT eff_gas_day, pipeline_name, loc_name, rec_del_sign FROM raw "
             f"WHERE category_short = 'SMALL' AND {violation} ORDER BY ALL LIMIT 10"
@@ -556,6 +584,14 @@ def _quality() -> dict[str, str]:
             "ORDER BY day RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING",
         ),
         "anomaly_change_location": _anomaly_change("loc_name", "loc_name"),
+        "anomaly_rolling_filtered": _anomaly_rolling(
+            "state_abb", "state_abb", where="category_short = 'SMALL'"
+        ),
+        "anomaly_change_limited": _anomaly_change(
+            "loc_name", "loc_name",
+            "ORDER BY coalesce(abs((quantity - roll_mean) / nullif(roll_mean, 0) * 100), "
+            "CAST('infinity' AS DOUBLE)) DESC, loc_name, day LIMIT 10",
+        ),
         "anomaly_change_total": _anomaly_change("'Total System' AS entity", "entity"),
         "anomaly_percentile_location": _anomaly_percentile("loc_name", "loc_name"),
         "anomaly_percentile_total": _anomaly_percentile("'Total System' AS entity", "entity"),
@@ -646,15 +682,16 @@ def _questions() -> dict[str, str]:
             "AND (quantity - roll_mean) / nullif(roll_std, 0) > 2)",
             f"raw_daily AS (SELECT pipeline_name, state_abb, {DAY} AS day, sum({Q}) AS quantity "
             "FROM raw GROUP BY ALL)",
-            _rolling("pipeline_name, state_abb", source="raw_daily")
-            .replace("rolled AS", "raw_rolled AS"),
-            "drops AS (SELECT pipeline_name, state_abb, day, quantity AS drop_quantity, "
+            _rolling("pipeline_name, state_abb", source="raw_daily", name="raw_rolled"),
+            "drops AS MATERIALIZED (SELECT pipeline_name, state_abb, day, quantity AS drop_quantity, "
             "(quantity - roll_mean) / nullif(roll_mean, 0) * 100 AS pct FROM raw_rolled "
             "WHERE filled >= 22 AND (quantity - roll_mean) / nullif(roll_mean, 0) * 100 < -30)",
-            "chosen AS (SELECT *, row_number() OVER (ORDER BY z DESC, pipeline_name, state_abb, "
-            "day) AS case_no FROM spikes s WHERE EXISTS (SELECT 1 FROM drops d WHERE "
-            "d.state_abb = s.state_abb AND d.day = s.day AND d.pipeline_name <> s.pipeline_name) "
-            "QUALIFY case_no <= 3)",
+            "dropped AS (SELECT state_abb, day, min(pipeline_name) AS first_drop, "
+            "max(pipeline_name) AS last_drop FROM drops GROUP BY 1, 2)",
+            "chosen AS MATERIALIZED (SELECT s.*, row_number() OVER (ORDER BY z DESC, "
+            "pipeline_name, state_abb, day) AS case_no FROM spikes s JOIN dropped "
+            "USING (state_abb, day) WHERE pipeline_name <> first_drop "
+            "OR pipeline_name <> last_drop QUALIFY case_no <= 3)",
         ),
         "null_share_by_group": _flow(
             "SELECT state_abb, count(*) AS row_count, " + ", ".join(

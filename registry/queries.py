@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +56,26 @@ def _correlation(grain: str, x_metric: str = "active_locations") -> Query:
     ))
 
 
-def _before_after(grain: str) -> Query:
+def _before_after(grain: str, metric: str = "volume") -> Query:
     return _on_flow(lambda t: _rounded(
-        patterns.before_after_periods(t, CUTOFF, grain=grain), "mean_value"
+        patterns.before_after_periods(t, CUTOFF, metric=metric, grain=grain), "mean_value"
     ))
 
 
+_fitted: dict[tuple, clustering.Clustering] = {}
+_fit_lock = Lock()
+
+
 def _clustering(spark: SparkSession, sf_dir: str) -> clustering.Clustering:
-    return clustering.perform_clustering(
-        flow(spark, sf_dir), "pipeline", n_clusters=3, filters={"year": YEAR}
-    )
+    """One fit for all cluster queries on one state of the flow table."""
+    table = flow(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, *table.raw.inputFiles()[:1])
+    with _fit_lock:
+        if key not in _fitted:
+            _fitted[key] = clustering.perform_clustering(
+                table, "pipeline", n_clusters=3, filters={"year": YEAR}
+            )
+    return _fitted[key]
 
 
 _RETRIEVAL: dict[str, Query] = {
@@ -123,6 +134,15 @@ _RETRIEVAL: dict[str, Query] = {
     "filter_rank_season": _on_flow(lambda t: retrieval.filter_and_rank(
         t, {"season": "winter", "years": (1996, 1999)}, "state", limit=None
     )),
+    "filter_rank_month": _on_flow(lambda t: retrieval.filter_and_rank(
+        t, {"month": 3}, "pipeline", limit=None
+    )),
+    "filter_rank_nothing": _on_flow(lambda t: retrieval.filter_and_rank(
+        t, {"state": "NOWHERE"}, "pipeline", limit=None
+    )),
+    "filter_row_counts": _on_flow(lambda t: retrieval.row_counts(
+        t, {"state": STATE, "year": YEAR, "transaction_type": "deliveries"}, dedup=True
+    )),
     "filter_rank_day": _on_flow(lambda t: retrieval.filter_and_rank(
         t, {"eff_gas_day": "1997-06-10"}, "pipeline", limit=None
     )),
@@ -192,6 +212,10 @@ _PATTERNS: dict[str, Query] = {
     "before_after_daily": _before_after("daily"),
     "before_after_weekly": _before_after("weekly"),
     "before_after_monthly": _before_after("monthly"),
+    "before_after_transactions": _before_after("monthly", "transaction_count"),
+    "before_after_locations": _before_after("monthly", "unique_locations"),
+    "before_after_average": _before_after("monthly", "average_quantity"),
+    "correlation_monthly_pipelines": _correlation("monthly", "unique_pipelines"),
     "before_after_ttest": _on_flow(lambda t: _rounded(
         patterns.before_after_ttest(
             t, CUTOFF, filters={"pipeline": PIPELINE, "transaction_type": "receipts"}
@@ -212,11 +236,17 @@ _PATTERNS: dict[str, Query] = {
     "cluster_statistics": lambda spark, sf_dir: _joined(
         _clustering(spark, sf_dir).statistics, "sample_members"
     ),
+    "cluster_checks": lambda spark, sf_dir: clustering.cluster_checks(
+        _clustering(spark, sf_dir), "pipeline_name"
+    ),
     "cluster_quality": lambda spark, sf_dir: _clustering(spark, sf_dir).quality,
 }
 
 _QUALITY: dict[str, Query] = {
     "rule_violations": _on_flow(lambda t: quality.rule_violations(t, CATEGORY, "receipts")),
+    "rule_violations_filtered": _on_flow(lambda t: quality.rule_violations(
+        t, CATEGORY, "receipts", filters={"state": STATE}
+    )),
     "rule_violation_examples": _on_flow(
         lambda t: quality.rule_violation_examples(t, CATEGORY, "receipts")
     ),
@@ -256,6 +286,13 @@ _QUALITY: dict[str, Query] = {
     "anomaly_change_location": _on_flow(lambda t: _rounded(
         anomaly.anomaly_change(t), "recent_avg", "pct_change"
     )),
+    "anomaly_rolling_filtered": _on_flow(lambda t: _rounded(
+        anomaly.anomaly_rolling(t, "state", filters={"category": CATEGORY}),
+        "roll_mean", "roll_std", "zscore",
+    )),
+    "anomaly_change_limited": _on_flow(lambda t: _rounded(
+        anomaly.anomaly_change(t, limit=10), "recent_avg", "pct_change"
+    )),
     "anomaly_change_total": _on_flow(lambda t: _rounded(
         anomaly.anomaly_change(t, "total"), "recent_avg", "pct_change"
     )),

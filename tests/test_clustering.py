@@ -46,11 +46,30 @@ def test_same_result_twice(two_blocks):
 
 
 def test_number_of_clusters_is_checked(two_blocks):
-    for n in (1, 6, 7):
+    for n in (0, 6, 7):
         with pytest.raises(ValueError):
             clustering.perform_clustering(two_blocks, n_clusters=n)
 
 
+def test_one_cluster_is_the_whole(two_blocks):
+    result = clustering.perform_clustering(two_blocks, n_clusters=1)
+    assert [r["entity_count"] for r in dicts(result.statistics)] == [6]
+    quality = dicts(result.quality)[0]
+    assert (quality["silhouette_sq_euclidean"], quality["iterations"], quality["converged"]) == (0.0, 0, True)
+
+
+def test_a_fit_that_is_cut_short_says_so(two_blocks):
+    result = clustering.perform_clustering(two_blocks, n_clusters=3, max_iterations=1, restarts=1)
+    assert dicts(result.quality)[0]["converged"] is False
+
+
+def test_checks_hold(two_blocks):
+    result = clustering.perform_clustering(two_blocks, n_clusters=2)
+    rows = {(r["check_name"], r["period"]): r["value"] for r in dicts(clustering.cluster_checks(result, "loc_name"))}
+    assert rows["entities", 0] == 6 and rows["repeated", 0] == 0 and rows["nearer_elsewhere", 0] == 0
+    assert rows["volume", 1] == pytest.approx(303 + 300) and rows["volume", 7] == pytest.approx(30 + 3120)
+
+
 def test_profiles_are_complete(two_blocks):
     rows = dicts(clustering.seasonal_profiles(two_blocks, grain="weekly"))
     assert len(rows) == 6 * 53 and "zero" not in {r["loc_name"] for r in rows}

@@ -11,7 +11,7 @@ from registry.flow_view import FLOW_SCHEMA, flow, flow_in_place
 from registry.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-EAGER = {"cluster_assignments", "cluster_statistics", "cluster_quality"}
+EAGER = {"cluster_assignments", "cluster_statistics", "cluster_quality", "cluster_checks"}
 WITH_P_VALUE = {"before_after_ttest", "winter_summer_ttest"}
 
 
@@ -41,6 +41,19 @@ def test_filters_move_below_duplicate_removal(spark):
     assert "GreaterThanOrEqual(l_shipdate" in text
 
 
+def test_exact_median_shuffles_only_the_bracket(spark):
+    """Values reach an exchange only after the filter on the bracket."""
+    text = plan(retrieval.average_quantity(flow(spark, SF_DIR)))
+    assert "percentile_approx" in text
+    for part in re.findall(r"Exchange hashpartitioning\(i#.*?Scan", text, re.DOTALL):
+        assert "brackets" in part and "Generate" in part
+
+
+def test_profiles_sum_one_column(spark):
+    text = plan(all_queries()["profile_weekly"](spark, SF_DIR))
+    assert text.count("partial_sum") == 1
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(quality.rule_violations(flow(spark, SF_DIR), "SMALL", "receipts"))
     read = re.search(r"ReadSchema: struct<(.*?)>", text).group(1)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from conftest import dicts
 from flowgauge.functions import stats
-from flowgauge.functions.quantiles import exact_quantiles, value_counts
+from flowgauge.functions import quantiles
+from flowgauge.functions.quantiles import exact_quantiles
 
 
 def closed_form_p(t: float, df: int) -> float:
@@ -63,19 +64,29 @@ def test_pearson_of_constant_is_null(spark):
     [7.0] * 50 + [1.0],
     [1000 + i * 1e-9 for i in range(500)],
     [float(10 ** (i % 12)) * (-1) ** i for i in range(200)],
+    [1.0] * 3 + [5 + i * 1e-13 for i in range(400)] + [1e15, -1e15, 2e15],
     list(np.random.default_rng(1).lognormal(8, 3, 3000).tolist()),
     list(np.random.default_rng(2).normal(0, 1, 3001).tolist()),
 ])
 def test_exact_quantiles(spark, values):
     probabilities = [0.0, 0.25, 1 / 3, 0.5, 0.95, 1.0]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE")
-    row = exact_quantiles(value_counts(df, F.col("v")), probabilities).first()
+    row = exact_quantiles(df, F.col("v"), probabilities).first()
     assert list(row) == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12)
 
 
 def test_exact_quantiles_without_values(spark):
     df = spark.createDataFrame([(None,)], "v DOUBLE")
-    assert exact_quantiles(value_counts(df, F.col("v")), [0.5]).first()[0] is None
+    assert exact_quantiles(df, F.col("v"), [0.5]).first()[0] is None
+
+
+def test_quantile_outside_its_bracket_is_still_exact(spark, monkeypatch):
+    """With a poor sketch ranks lie outside; then the whole column is the bracket."""
+    monkeypatch.setattr(quantiles, "_ACCURACY", 2)
+    values = np.random.default_rng(5).normal(0, 1, 4000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE").repartition(8)
+    row = exact_quantiles(df, F.col("v"), [0.1, 0.5, 0.77]).first()
+    assert list(row) == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.77])), rel=1e-12)
 
 
 def test_labels(spark):
