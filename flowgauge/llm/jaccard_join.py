@@ -5,10 +5,10 @@ that can reach the threshold are ever touched:
 
 1. Documents with equal n-gram sets are one row of the matrix.
 2. Columns are ordered from rare to common (by a bounded table of counts, ties by hash). Two sets
-   that link share a column among the rarest few of each; how few follows from their sizes.
+   that link share some columns among the rarest of each; how many follows from their sizes.
    Only these incidences are shuffled, by column.
-3. A column with few rows yields candidate pairs within the size bounds, whose overlaps are
-   counted. The rows of a column with many rows are gathered into families; a family is cut into
+3. Columns with few rows yield pairs within the size bounds; those that meet in enough columns
+   are candidates, whose overlaps are counted. The rows of a column with many rows are gathered into families; a family is cut into
    blocks of similar sizes, and the product runs block by block: overlaps are accumulated over
    slices of columns, and a pair is discarded as soon as what it has and what is left lie below
    its bound. A block returns a spanning forest of its links, never all pairs.
@@ -54,12 +54,17 @@ class Similarity:
         if not 0 < self.num <= self.den or self.width < 1:
             raise ValueError("the threshold must be in (0, 1] and the width positive")
 
+    def common(self, n: int) -> int:
+        """How many of the rarest columns a set of this size has in common with any larger set it
+        links with: more than one, so that a chance meeting in one column is no candidate."""
+        return min(1 + n // 32, -(-self.num * n // self.den))
+
     def probe_length(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + self.common(n)
 
     def index_length(self, n: int) -> int:
         """For the smaller set of a pair."""
-        return n - -(-2 * self.num * n // (self.num + self.den)) + 1
+        return n - -(-2 * self.num * n // (self.num + self.den)) + self.common(n)
 
     def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Least overlap of sets of these sizes."""
@@ -179,8 +184,8 @@ def _incidences(texts: DataFrame, counts: np.ndarray, like: Similarity) -> DataF
 
 
 def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
-    """(a, b, many): candidate pairs of columns with few rows, and for columns with many a star
-    that holds their rows together. Rows come sorted by column and size; a task keeps at most
+    """(a, b, many, n): pairs of rows of columns with few of them, with the smaller size, and for
+    columns with many a star that holds their rows together. Rows come sorted by column and size; a task keeps at most
     FEW_ROWS + 1 of them from one batch to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,7 @@ def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
             if hub is not None and gram[0] == hub[0]:
                 hubs = np.where(run_of == 0, hub[1], hubs)
             take = star & (hubs != code)
-            yield hubs[take], code[take], np.ones(int(take.sum()), bool)
+            yield hubs[take], code[take], np.ones(int(take.sum()), bool), n[take]
             closed = ~star & (np.arange(len(gram)) < open_end)
             for d in range(1, FEW_ROWS):
                 left = np.flatnonzero(closed[:-d] & (run_of[:-d] == run_of[d:])) if len(gram) > d else []
@@ -215,7 +220,7 @@ def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
                     break
                 right = left + d
                 ok = core[left] & (like.den * n[left].astype(np.int64) >= like.num * n[right].astype(np.int64))
-                yield code[left[ok]], code[right[ok]], np.zeros(int(ok.sum()), bool)
+                yield code[left[ok]], code[right[ok]], np.zeros(int(ok.sum()), bool), n[left[ok]]
             if last:
                 kept = hub = None
             elif star[-1]:
@@ -224,11 +229,11 @@ def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
                 hub, kept = None, [c[open_end:] for c in (gram, code, n, core)]
 
         def rows(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            for a, b, many in parts:
+            for a, b, many, n in parts:
                 if len(a):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(many)],
-                        ["a", "b", "many"])
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(many), pa.array(n)],
+                        ["a", "b", "many", "n"])
 
         for batch in batches:
             if batch.num_rows:
@@ -240,7 +245,10 @@ def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
             yield from rows(emit(kept, True))
 
     ordered = incidences.repartition("gram").sortWithinPartitions("gram", "n", "code")
-    return ordered.mapInArrow(run, "a long, b long, many boolean")
+    pairs = ordered.mapInArrow(run, "a long, b long, many boolean, n int").groupBy("a", "b").agg(
+        F.max("many").alias("many"), F.count(F.lit(1)).alias("columns"), F.max("n").alias("n"))
+    common = F.expr(f"least(1 + n div 32, (n * {like.num} + {like.den - 1}) div {like.den})")
+    return pairs.where(F.col("many") | (F.col("columns") >= common)).select("a", "b", "many")
 
 
 def _sets(texts: DataFrame, codes: DataFrame, like: Similarity) -> DataFrame:
@@ -442,10 +450,7 @@ def jaccard_components(
     survey = written(_survey(texts, like))
     docs = survey.where("chunk IS NULL").select("id", "code", "n")
     counts = _column_counts(survey)
-    found = written(
-        _column_pairs(_incidences(texts, counts, like), like).groupBy("a", "b").agg(
-            F.max("many").alias("many"))
-    )
+    found = written(_column_pairs(_incidences(texts, counts, like), like))
     family = components(found.where("many").select("a", "b")).select(
         F.col("node").alias("code"), F.col("component").alias("family")
     )
