@@ -46,7 +46,7 @@ class Rule:
 RULES = (
     Rule("natural_share", 0.90, 0.60, high=True),
     Rule("letter_share", 0.90, 0.78, high=True),
-    Rule("closed_share", 0.5, None, high=True),
+    Rule("closed_share", None, 0.05, high=True),
     Rule("symbol_share", None, 0.10),
     Rule("upper_share", None, 0.40),
     Rule("exclamation_share", None, 0.30),
