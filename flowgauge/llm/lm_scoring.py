@@ -28,7 +28,7 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 CHUNK_BITS = 1 << 19
 PROBES = 3
 #: Distinct n-grams that a task holds before it sends them on.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 1_000_000
 #: Words in the broadcast table of exact counts (16 MB).
 TABLE_WORDS = 1 << 20
 
