@@ -138,6 +138,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _powers.down[starts])
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of the ``width`` bytes at every place."""
+    _powers.reach(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _powers.up[: len(data)], out=sums[1:])
+    out = sums[width:] - sums[:-width]
+    out *= _powers.down[: len(out)]
+    return mix(out)
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

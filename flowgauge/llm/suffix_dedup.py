@@ -8,8 +8,10 @@ such pairs, so executors agree on them without exchanging ranks.
 
 Almost all suffixes stand alone in their first bucket and need no refinement. To find the others
 cheaply, each string is filed under its least q-gram; texts are packed into shards, each shard
-sends its least q-grams once, and only strings whose least q-gram occurs twice are refined. Their
-names are sorted, and every string but the first of its bucket marks its bytes.
+sends its least q-grams once, and only strings whose least q-gram occurs twice are refined. Strings
+that follow each other under one q-gram form a stretch: where whole stretches are equal, one name
+stands for all their strings, and only stretches that differ within one q-gram are refined string by
+string. Names are sorted, and every string but the first of its bucket marks its bytes.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import as_long, mix, slices, span_hashes, written
+from flowgauge.llm.common import as_long, mix, slices, span_hashes, window_hashes, written
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 _NO_ID = 2**63 - 1
 
 
@@ -55,7 +57,7 @@ def _shards(kept: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         number = TaskContext.get().partitionId() << 24
-        ids, keys, texts, size, last = [], [], [], 0, None
+        ids, keys, texts, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for t in texts])
@@ -67,8 +69,6 @@ def _shards(kept: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i, key, body in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "body"))):
-                if (i, key) == last:
-                    continue
                 text = unpacker.decompress(body)
                 if texts and size + len(text) > SHARD_BYTES:
                     yield shard()
@@ -78,11 +78,13 @@ def _shards(kept: DataFrame) -> DataFrame:
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
-                last = (i, key)
         if texts:
             yield shard()
 
-    ordered = kept.select("id", "key", "body").sortWithinPartitions("id", "key")
+    # Repeated rows are one document; this also brings them together, whatever the join above did.
+    copy = F.row_number().over(Window.partitionBy("id", "key").orderBy("n_bytes"))
+    single = kept.select("id", "key", "body", copy.alias("copy")).where("copy = 1").drop("copy")
+    ordered = single.sortWithinPartitions("id", "key")
     return ordered.mapInArrow(run, "shard long, ids binary, keys binary, ends binary, body binary")
 
 
@@ -99,8 +101,7 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 def first_buckets(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Name of the q-gram at every position, and of the least q-gram of the string of ``length``
     bytes at every position (0 where the string would leave its text)."""
-    at = np.arange(len(data) - q + 1)
-    grams = span_hashes(data, at, at + q) | np.uint64(1)
+    grams = window_hashes(data, q) | np.uint64(1)
     least = _sliding(grams, length - q + 1, np.minimum)
     starts = np.concatenate([[0], ends[:-1]])
     open_at = np.zeros(len(least) + 1, np.int32)
@@ -146,10 +147,12 @@ def _least_grams(shards: DataFrame, length: int, q: int) -> DataFrame:
     return shards.select("shard", "ends", "body").mapInArrow(run, "gram long, shard long, many boolean")
 
 
-def _strings(filed: DataFrame, length: int, q: int) -> DataFrame:
-    """(name, id, shard, at, run) of the strings whose least q-gram occurs twice. Of strings with
-    one name only the first in the shard is sent (run 0); places of the others are repeats in any
-    case and come as runs of starts under a name of their own."""
+def _segments(filed: DataFrame, length: int, q: int) -> DataFrame:
+    """(gram, name, id, shard, at, run): stretches of ``run`` strings one after the other that are
+    filed under one q-gram, named by their bytes. Of stretches with one name only the first of the
+    shard is sent. Strings that the shard itself has before are repeats in any case; they come as
+    stretches without a q-gram, under names of their own, and a stretch that has no others is not
+    sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -162,33 +165,72 @@ def _strings(filed: DataFrame, length: int, q: int) -> DataFrame:
                 ids = np.frombuffer(ids.as_py(), np.int64)
                 wanted = np.sort(np.ascontiguousarray(wanted.values.to_numpy()).view(np.uint64))
                 grams, least = first_buckets(data, ends, length, q)
-                edges = np.flatnonzero(least[1:] != least[:-1]) + 1
-                edges = np.concatenate([[0], edges])
-                at = np.searchsorted(wanted, least[edges])
+                first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                size = np.diff(np.append(first, len(least)))
+                at = np.searchsorted(wanted, least[first])
                 at[at == len(wanted)] = 0
-                hit = wanted[at] == least[edges]
-                places = np.flatnonzero(np.repeat(hit, np.diff(np.append(edges, len(least)))))
-                names = refine(grams, places, q, length)
-                order = np.argsort(names, kind="stable")
-                sorted_names = names[order]
-                is_first = np.ones(len(order), bool)
-                is_first[1:] = sorted_names[1:] != sorted_names[:-1]
-                first = np.sort(order[is_first])
-                again = np.sort(places[order[~is_first]])
-                cut = np.concatenate([[True], np.diff(again) > 1]) if len(again) else np.empty(0, bool)
+                hit = wanted[at] == least[first]
+                first, size = first[hit], size[hit]
+                places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                is_first = _first_of_name(refine(grams, places, q, length))
+                fresh = np.add.reduceat(is_first, np.cumsum(size) - size) > 0 if len(size) else np.empty(0, bool)
+                names = span_hashes(data, first, first + size + length - 1)
+                sent = fresh & _first_of_name(names)
+                again = places[~is_first]
+                cut = np.flatnonzero(np.append(True, np.diff(again) > 1)) if len(again) else again
+                runs = np.diff(np.append(cut, len(again)))
                 starts = again[cut]
-                runs = np.diff(np.append(np.flatnonzero(cut), len(again)))
-                own = np.concatenate([places[first], starts])
-                n = len(own)
-                loose = mix(starts.astype(np.uint64) + np.uint64(shard.as_py() << 32 & 2**64 - 1))
+                number = np.uint64((shard.as_py() << 32) % 2**64)
+                own = np.concatenate([first[sent], starts])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.concatenate([names[first], loose]))),
+                    [pa.array(np.append(as_long(least[first[sent]]), np.zeros(len(starts), np.int64)),
+                              mask=np.arange(len(own)) >= int(sent.sum())),
+                     pa.array(as_long(np.concatenate([names[sent], mix(starts.astype(np.uint64) + number)]))),
                      pa.array(ids[np.searchsorted(ends, own, "right")]),
-                     pa.array(np.full(n, shard.as_py(), np.int64)), pa.array(own.astype(np.int32)),
-                     pa.array(np.concatenate([np.zeros(len(first)), runs]).astype(np.int32))],
-                    ["name", "id", "shard", "at", "run"])
+                     pa.array(np.full(len(own), shard.as_py(), np.int64)), pa.array(own.astype(np.int32)),
+                     pa.array(np.concatenate([size[sent], runs]).astype(np.int32))],
+                    ["gram", "name", "id", "shard", "at", "run"])
 
-    return filed.mapInArrow(run, "name long, id long, shard long, at int, run int")
+    return filed.mapInArrow(run, "gram long, name long, id long, shard long, at int, run int")
+
+
+def _first_of_name(names: np.ndarray) -> np.ndarray:
+    """Whether each place is the first with its name."""
+    first = np.zeros(len(names), bool)
+    if len(names):
+        order = np.argsort(names, kind="stable")
+        ordered = names[order]
+        first[order[np.append(True, ordered[1:] != ordered[:-1])]] = True
+    return first
+
+
+def _strings(contested: DataFrame, length: int, q: int) -> DataFrame:
+    """(name, id, shard, at) of the strings in the given stretches, the first of each name in the
+    shard; its other places are known as repeats already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for shard, ids, ends, body, stretches in zip(
+                *(batch.column(c) for c in ("shard", "ids", "ends", "body", "stretches"))
+            ):
+                data = np.frombuffer(unpacker.decompress(body.as_py()), np.uint8)
+                ends = np.frombuffer(ends.as_py(), np.int64)
+                ids = np.frombuffer(ids.as_py(), np.int64)
+                pairs = stretches.values
+                first, size = (pairs.field(f).to_numpy().astype(np.int64) for f in ("at", "run"))
+                order = np.argsort(first)
+                first, size = first[order], size[order]
+                places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                names = refine(window_hashes(data, q) | np.uint64(1), places, q, length)
+                own = _first_of_name(names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(as_long(names[own])), pa.array(ids[np.searchsorted(ends, places[own], "right")]),
+                     pa.array(np.full(int(own.sum()), shard.as_py(), np.int64)),
+                     pa.array(places[own].astype(np.int32))],
+                    ["name", "id", "shard", "at"])
+
+    return contested.mapInArrow(run, "name long, id long, shard long, at int")
 
 
 def _covered(repeats: DataFrame, length: int) -> DataFrame:
@@ -228,9 +270,10 @@ def _document_spans(shards: DataFrame, covered: DataFrame) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 pieces = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in parts])
                 merged = merge_spans(pieces)
+                # Ranges never cross texts, but those of neighbours touch where texts go as a whole.
                 doc = np.searchsorted(ends, merged[:, 0], "right")
-                # Ranges never cross texts, but those of two neighbours may touch.
-                for d in np.unique(np.concatenate([doc, np.searchsorted(ends, merged[:, 1] - 1, "right")])):
+                last = np.searchsorted(ends, merged[:, 1] - 1, "right")
+                for d in np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(doc, last)])):
                     own = np.clip(merged, starts[d], ends[d]) - starts[d]
                     own = own[own[:, 1] > own[:, 0]]
                     if len(own):
@@ -316,11 +359,23 @@ def remove_repeats(
         .alias("twice"),
     ).where("twice").groupBy("shard").agg(F.collect_list("gram").alias("grams"))
     filed = written(filed)
-    strings = _strings(shards.drop("keys").join(filed, "shard"), length, q)
-    bucket = Window.partitionBy("name").orderBy(F.col("run") > 0, "id", "shard", "at")
+    packed = shards.drop("keys")
+    segments = _segments(packed.join(filed, "shard"), length, q)
+    stretch = Window.partitionBy("name").orderBy(F.col("gram").isNull(), "id", "shard", "at")
+    judged = written(segments.withColumn("later", F.lag("at").over(stretch).isNotNull()))
+    # A stretch that was there before is a repeat as a whole. The first of its name may still hold
+    # repeated strings, if there are other stretches of the same q-gram.
+    firsts = judged.where("gram IS NOT NULL AND NOT later")
+    several = firsts.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
+    contested = firsts.join(several, "gram", "left_semi").groupBy("shard").agg(
+        F.collect_list(F.struct("at", "run")).alias("stretches"))
+    strings = _strings(packed.join(written(contested), "shard"), length, q)
+    bucket = Window.partitionBy("name").orderBy("id", "shard", "at")
     repeats = strings.select(
-        "shard", "at", "run", F.lag("at").over(bucket).isNotNull().alias("later")
-    ).where("later OR run > 0").select("shard", "at", F.greatest("run", F.lit(1)).alias("run"))
+        "shard", "at", F.lit(1).alias("run"), F.lag("at").over(bucket).isNotNull().alias("later")
+    ).where("later").drop("later").unionByName(
+        judged.where("later OR gram IS NULL").select("shard", "at", "run")
+    )
     covered = written(_covered(repeats, length))
     marked = _document_spans(shards, covered).withColumn("copy", F.lit(False)).unionByName(
         copies.withColumn("copy", F.lit(True)), allowMissingColumns=True
