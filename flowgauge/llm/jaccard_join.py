@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import (
-    LOWER, NOT_SPACE, as_long, as_unsigned, maybe_in, membership_bitmap, mix, slices, span_hashes,
+    LOWER, NOT_SPACE, as_long, maybe_in, membership_bitmap, mix, slices, span_hashes,
     words, written,
 )
 from flowgauge.llm.components import components
