@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowgauge.session import shared_folder
 
 #: Bytes of text that a task works on at a time; a longer single text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -77,6 +77,13 @@ def slices(
             row = end
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Batches of packed texts in parts of a few rows, so that few are unpacked at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
     """Start, end and text number of every maximal run of ``kind`` bytes within a text."""
     if not len(data):

@@ -26,7 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import as_long, mix, slices, span_hashes, window_hashes, written
+from flowgauge.llm.common import (
+    as_long, in_parts, mix, slices, span_hashes, window_hashes, written,
+)
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 1_000_000
@@ -67,7 +69,7 @@ def _shards(kept: DataFrame) -> DataFrame:
                  pa.array([packer.compress(b"".join(texts))])],
                 ["shard", "ids", "keys", "ends", "body"])
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for i, key, body in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "body"))):
                 text = unpacker.decompress(body)
                 if texts and size + len(text) > SHARD_BYTES:
@@ -131,7 +133,7 @@ def _least_grams(shards: DataFrame, length: int, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             for shard, ends, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "ends", "body"))):
                 data = np.frombuffer(unpacker.decompress(body), np.uint8)
                 grams, least = first_buckets(data, np.frombuffer(ends, np.int64), length, q)
@@ -300,7 +302,7 @@ def _cut(keyed: DataFrame, as_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in in_parts(batches):
             kept, removed, number = [], [], []
             columns = (batch.column(c) for c in ("body", "copy", "spans"))
             for body, copy, spans in zip(*columns):
