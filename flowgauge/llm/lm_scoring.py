@@ -2,9 +2,10 @@
 
 All n-grams of the training texts are counted by one shuffle. The filter holds each n-gram with
 its quantised count: a count of level q is entered q times, under the levels 1 to q, and is found by
-probing level after level until one is missing. It is built chunk by chunk, gathered and broadcast;
-scoring is then a scan. The base score uses exact counts: frequent words come from a bounded table,
-all others from a join.
+probing level after level until one is missing. It is built chunk by chunk and grows with what it
+holds. While it is small it is gathered and broadcast, and scoring is a scan; else the distinct
+n-grams of the texts are sent to the chunks, and the levels joined back. The base score uses exact
+counts: frequent words come from a bounded table, all others from a join.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ TABLE_WORDS = 1 << 20
 
 @dataclass(frozen=True)
 class LogBloom:
-    """``base``: step of the count levels. ``bits_per_entry``: size of the filter by what it holds,
-    up to ``max_bytes`` in all; beyond that nothing is left out, only errors become more frequent
-    (``false_rate`` tells). ``min_pairs``: pairs of words seen less often are not in the model.
+    """``base``: step of the count levels. ``bits_per_entry``: size of the filter by what it holds.
+    ``max_bytes``: largest filter that is broadcast; n-grams are sent to a larger one. The scores
+    are the same. ``min_pairs``: pairs of words seen less often are not in the model.
     ``prior``: weight of the single-word model in the smoothing."""
 
     base: float = 2.0
@@ -89,12 +90,12 @@ def chunk_of(grams: np.ndarray, chunks: int) -> np.ndarray:
     return (((grams >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)).astype(np.int64)
 
 
-def lookup(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Level of each n-gram: probe level after level until one is missing."""
-    chunks = len(bits) * 8 // CHUNK_BITS
+def lookup(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, most: int) -> np.ndarray:
+    """Level of each n-gram, whose chunk begins at bit ``base``: probe level after level until one
+    is missing; no n-gram has a level above ``most``."""
     level = np.zeros(len(grams), np.int64)
-    base = chunk_of(grams, chunks) * CHUNK_BITS
-    alive = np.arange(len(grams))
+    base = np.broadcast_to(base, len(grams))
+    alive = np.arange(len(grams) if most else 0)
     while len(alive):
         there = np.ones(len(alive), bool)
         for at in probe_bits(grams[alive], level[alive] + 1):
@@ -102,9 +103,26 @@ def lookup(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
             there &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         alive = alive[there]
         level[alive] += 1
+        alive = alive[level[alive] < most]
     return level
 
 
+def enter(bits: np.ndarray, grams: np.ndarray, level: np.ndarray) -> None:
+    """Set the bits of n-grams of one chunk; a byte for each bit."""
+    for k in range(1, int(level.max(initial=0)) + 1):
+        for at in probe_bits(grams[level >= k], k):
+            bits[at] = 1
+
+
+def find(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each wanted name by the sorted known names, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return values[at], known[at] == wanted
+
+
 def _counts(texts: DataFrame) -> DataFrame:
     """(size, gram, n): size 0 for the start, 1 for words and the end, 2 for pairs."""
 
@@ -141,6 +159,10 @@ def _counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("size", "gram").agg(F.sum("n").alias("n"))
 
 
+def _chunk(chunks: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(chunks), 32).cast("long").alias("chunk")
+
+
 def _filter(counts: DataFrame, chunks: int, model: LogBloom) -> np.ndarray:
     """The filter's bits. Each chunk is made in one task; they reach the driver once, at most
     ``max_bytes`` in all."""
@@ -156,9 +178,7 @@ def _filter(counts: DataFrame, chunks: int, model: LogBloom) -> np.ndarray:
                         yield row(number, bits)
                     number, bits = c, np.zeros(CHUNK_BITS, np.uint8)
                 own = np.flatnonzero(chunk == c)
-                for k in range(1, int(level[own].max()) + 1):
-                    for at in probe_bits(grams[own[level[own] >= k]], k):
-                        bits[at] = 1
+                enter(bits, grams[own], level[own])
         if number is not None:
             yield row(number, bits)
 
@@ -166,8 +186,7 @@ def _filter(counts: DataFrame, chunks: int, model: LogBloom) -> np.ndarray:
         packed = np.packbits(bits, bitorder="little").tobytes()
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed])], ["chunk", "bits"])
 
-    chunk = F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(chunks), 32)
-    dealt = counts.select(chunk.cast("long").alias("chunk"), "gram", "n").repartition("chunk")
+    dealt = counts.select(_chunk(chunks), "gram", "n").repartition("chunk")
     out = np.zeros(chunks * CHUNK_BITS // 8, np.uint8)
     made = dealt.sortWithinPartitions("chunk").mapInArrow(run, "chunk long, bits binary")
     for number, bits in made.toLocalIterator():
@@ -175,6 +194,84 @@ def _filter(counts: DataFrame, chunks: int, model: LogBloom) -> np.ndarray:
     return out
 
 
+def _levels(counts: DataFrame, asked: DataFrame, chunks: int, model: LogBloom, most: int) -> DataFrame:
+    """(gram, n, level) of every n-gram asked for (gram, n), and for each chunk a row without gram
+    whose level is the number of bits set. Chunks are made and read in their tasks; nothing is
+    gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, bits = None, None
+        for batch in batches:
+            chunk, grams, n, ask = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "gram", "n", "ask"))
+            names = as_unsigned(grams)
+            for c in np.unique(chunk).tolist():
+                if c != number:
+                    if number is not None:
+                        yield row([None], [0], [bits.sum(dtype=np.int64)])
+                    number, bits = c, np.zeros(CHUNK_BITS, np.uint8)
+                own = np.flatnonzero((chunk == c) & ~ask)
+                enter(bits, names[own], model.level(n[own]))
+                own = np.flatnonzero((chunk == c) & ask)
+                if len(own):
+                    packed = np.packbits(bits, bitorder="little")
+                    yield row(grams[own], n[own], lookup(packed, 0, names[own], most))
+        if number is not None:
+            yield row([None], [0], [bits.sum(dtype=np.int64)])
+
+    def row(grams, n, level) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in (grams, n, level)], ["gram", "n", "level"])
+
+    both = counts.select("gram", "n", F.lit(False).alias("ask")).unionByName(
+        asked.select("gram", "n", F.lit(True).alias("ask")))
+    dealt = both.select(_chunk(chunks), "gram", "n", "ask").repartition("chunk")
+    return dealt.sortWithinPartitions("chunk", "ask").mapInArrow(run, "gram long, n long, level long")
+
+
+def _by_name(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
+    names = as_unsigned(table.column("gram").to_numpy())
+    order = np.argsort(names)
+    return names[order], table.column(value).to_numpy()[order]
+
+
+def _with_levels(texts: DataFrame, levels: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The texts with ``found``, the levels of their own distinct n-grams but for the most frequent,
+    which come as a table: so no n-gram is joined to many texts."""
+    _, least = _table(levels)
+    table = _by_name(levels.where(F.col("n") >= least).select("gram", F.col("level").cast("byte")).toArrow(), "level")
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch, data, offsets in slices(batches):
+            tokens, doc = token_rows(data, offsets)
+            scored = tokens[1:] != START
+            grams = np.concatenate([tokens, pair_names(tokens)[scored]])
+            owner = np.concatenate([doc, doc[1:][scored]])
+            rare = ~find(*shared.value, grams)[1]
+            grams, owner = grams[rare], owner[rare]
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
+            first = np.ones(len(grams), bool)
+            first[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+            n = batch.num_rows
+            ends = np.cumsum(np.bincount(owner[first], minlength=n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + n)), *(batch.column(c) for c in ("id", "held_out", "text")),
+                 pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(as_long(grams[first])))],
+                ["row", "id", "held_out", "text", "asked"])
+            row += n
+
+    # Written: the numbers of rows must not change between the two uses.
+    numbered = written(texts.select("id", "held_out", "text").mapInArrow(
+        run, "row long, id long, held_out boolean, text string, asked array<long>"))
+    found = numbered.select("row", F.explode("asked").alias("gram")).join(
+        levels.where(F.col("n") < least).select("gram", F.col("level").cast("byte").alias("level")), "gram"
+    ).groupBy("row").agg(F.collect_list(F.struct("gram", "level")).alias("found"))
+    return numbered.drop("asked").join(found, "row", "left").drop("row"), table
+
+
 def _table(singles: DataFrame, base: float = 2.0**0.125) -> tuple[DataFrame, int]:
     """The most frequent words, as many whole frequency classes as fit into the table, and the
     least count among them."""
@@ -194,31 +291,40 @@ def _table(singles: DataFrame, base: float = 2.0**0.125) -> tuple[DataFrame, int
 _SCORES = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
 
 
-def _scan(texts: DataFrame, bits: np.ndarray, table: pa.Table, total: int, distinct: int,
-          model: LogBloom) -> DataFrame:
-    order = np.argsort(as_unsigned(table.column("gram").to_numpy()))
-    shared = texts.sparkSession.sparkContext.broadcast((
-        bits, as_unsigned(table.column("gram").to_numpy())[order], table.column("n").to_numpy()[order]))
+def _scan(texts: DataFrame, bits: np.ndarray | None, frequent: tuple[np.ndarray, np.ndarray] | None,
+          table: pa.Table, total: int, distinct: int, model: LogBloom, most: int) -> DataFrame:
+    """Levels come from the filter's bits, or without them from the table of frequent n-grams and
+    the column ``found``."""
+    shared = texts.sparkSession.sparkContext.broadcast((bits, frequent, *_by_name(table, "n")))
+
+    def levels_of(wanted: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        bits, frequent, _, _ = shared.value
+        if bits is not None:
+            base = chunk_of(wanted, len(bits) * 8 // CHUNK_BITS) * CHUNK_BITS
+            return lookup(bits, base, wanted, most)
+        level, there = find(*frequent, wanted)
+        own = batch.column("found").flatten()
+        names, at = np.unique(as_unsigned(own.field("gram").to_numpy()), return_index=True)
+        other, _ = find(names, own.field("level").to_numpy()[at], wanted)
+        return np.where(there, level, other).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, grams, numbers = shared.value
+        _, _, grams, numbers = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch, data, offsets in slices(batches):
             tokens, doc = token_rows(data, offsets)
             scored = tokens != START
             # The model: every distinct n-gram of the slice is probed once.
             single, place = np.unique(tokens, return_inverse=True)
-            one = model.count(lookup(bits, single))
+            one = model.count(levels_of(single, batch))
             before = one[place[:-1]][scored[1:]]
             word = (one[place[1:]][scored[1:]] + 1) / (total + distinct + 1)
             pair, pair_place = np.unique(pair_names(tokens)[scored[1:]], return_inverse=True)
-            both = np.minimum(model.count(lookup(bits, pair))[pair_place], before)
+            both = np.minimum(model.count(levels_of(pair, batch))[pair_place], before)
             log_p = np.log10((both + model.prior * word) / (before + model.prior))
             # The base: exact counts of the words in the table.
-            at = np.searchsorted(grams, single)
-            at[at == len(grams)] = 0
-            found = grams[at] == single if len(grams) else np.zeros(len(single), bool)
-            log_one = np.where(found, np.log10((numbers[at] + 1 if len(grams) else 1) / (total + distinct + 1)), 0.0)
+            number, found = find(grams, numbers, single)
+            log_one = np.where(found, np.log10((number + 1) / (total + distinct + 1)), 0.0)
             here, owner = place[scored], doc[scored]
             n = batch.num_rows
             rest = ~found[here]
@@ -266,16 +372,25 @@ def score_texts(
     )
     levels = F.floor(F.log(F.col("n").cast("double")) / float(np.log(model.base)) + 1e-9) + 1
     is_single = F.col("size") == 1
-    total, distinct, entries = counts.agg(
+    total, distinct, entries, most = counts.agg(
         F.coalesce(F.sum(F.when(is_single, F.col("n"))), F.lit(0)),
         F.count(F.when(is_single, True)), F.coalesce(F.sum(levels), F.lit(0)),
+        F.coalesce(F.max(levels), F.lit(0)),
     ).first()
-    chunks = min(max(1, -(-int(entries) * model.bits_per_entry // CHUNK_BITS)), model.max_bytes * 8 // CHUNK_BITS)
-    bits = _filter(counts, chunks, model)
-    false_rate = float((np.bitwise_count(bits).sum() / (chunks * CHUNK_BITS)) ** PROBES)
+    chunks = max(1, -(-int(entries) * model.bits_per_entry // CHUNK_BITS))
+    bits = frequent = None
+    if chunks * CHUNK_BITS <= model.max_bytes * 8:
+        bits = _filter(counts, chunks, model)
+        ones = int(np.bitwise_count(bits).sum(dtype=np.int64))
+    else:
+        asked = _counts(texts.select("text")).groupBy("gram").agg(F.sum("n").alias("n"))
+        answers = written(_levels(counts, asked, chunks, model, int(most)))
+        ones = answers.where("gram IS NULL").agg(F.sum("level")).first()[0]
+        texts, frequent = _with_levels(texts, answers.where("gram IS NOT NULL"))
+    false_rate = float((ones / (chunks * CHUNK_BITS)) ** PROBES)
     singles = counts.where(is_single).select("gram", "n")
     table, least = _table(singles)
-    scanned = written(_scan(texts, bits, table.toArrow(), total, distinct, model))
+    scanned = written(_scan(texts, bits, frequent, table.toArrow(), total, distinct, model, int(most)))
     rest = scanned.select("row", F.explode("rest").alias("gram")).join(
         singles.where(F.col("n") < least), "gram", "left"
     )

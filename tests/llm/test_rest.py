@@ -283,6 +283,28 @@ def test_levels_hold_what_was_entered():
     assert model.count(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 
+def test_lm_filter_grows_with_the_corpus(docs_of, monkeypatch):
+    """A filter too large to be broadcast has as few false answers and gives the same scores."""
+    rng = random.Random(8)
+    texts = ["the end " + " ".join(f"v{rng.randrange(3000)}" for _ in range(400)) for _ in range(300)]
+    docs = docs_of(list(enumerate(texts)) + [(300, None), (301, ""), (302, LONG), (None, "unseen words")])
+    held = F.col("doc_id").isNull() | (F.col("doc_id") % 7 == 2)
+    wide = by_id(lm_scoring.score_texts(docs, held, lm_scoring.LogBloom(min_pairs=1)))
+    for table_words in (1 << 20, 3):
+        monkeypatch.setattr(lm_scoring, "TABLE_WORDS", table_words)
+        got = by_id(lm_scoring.score_texts(docs, held, lm_scoring.LogBloom(min_pairs=1, max_bytes=1 << 16)))
+        assert len(got) == len(wide) and got[0]["false_rate"] == wide[0]["false_rate"] < 0.02
+        for i, r in wide.items():
+            assert got[i].pop("score") == pytest.approx(r["score"])
+            assert got[i].pop("base_score") == pytest.approx(r["base_score"])
+            assert got[i] == {k: v for k, v in r.items() if k not in ("score", "base_score")}
+
+
+def test_lookup_of_a_full_filter_ends():
+    grams = np.arange(5, dtype=np.uint64)
+    assert lm_scoring.lookup(np.full(lm_scoring.CHUNK_BITS // 8, 255, np.uint8), 0, grams, 7).tolist() == [7] * 5
+
+
 # ---- BPE -------------------------------------------------------------------------------------
 
 
