@@ -87,7 +87,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), held_out)
+    every_pair = lm_scoring.LogBloom(min_pairs=1)
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), held_out, every_pair)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

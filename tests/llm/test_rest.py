@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.llm import bpe, html_text, lm_scoring, quality_rules, site_quality, url_filter, warc
-from flowgauge.llm.queries import tokenizer_path
+from flowgauge.llm.queries import QUERIES, tokenizer_path
 from llm_rows import by_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -300,6 +300,26 @@ def test_lm_filter_grows_with_the_corpus(docs_of, monkeypatch):
             assert got[i] == {k: v for k, v in r.items() if k not in ("score", "base_score")}
 
 
+def test_lm_query_counts_pairs_seen_once(docs_of, spark, tmp_path):
+    """Against exact counts of all pairs; most pairs of these texts are seen once."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"u{rng.randrange(300)}" for _ in range(40))) for i in range(30)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(QUERIES["op9_lm_scoring"](spark, str(tmp_path)))
+    rows = [(i, t) for i, t in rows if not got[i]["held_out"]]
+    tokens = {i: [*WORD.findall(t), "\0end"] for i, t in rows}
+    counts = Counter(t for own in tokens.values() for t in own)
+    pairs = Counter(p for own in tokens.values() for p in zip(["\0start", *own], own))
+    assert sum(c == 1 for c in pairs.values()) > 0.9 * len(pairs)
+    counts_before = counts + Counter({"\0start": len(rows)})
+    total, distinct = sum(counts.values()), len(counts)
+    for i, own in tokens.items():
+        exact = sum(
+            math.log10((pairs[b, t] + 50 * (counts[t] + 1) / (total + distinct + 1)) / (counts_before[b] + 50))
+            for b, t in zip(["\0start", *own], own))
+        assert got[i]["score"] / len(own) == pytest.approx(exact / len(own), abs=0.1)
+
+
 def test_lookup_of_a_full_filter_ends():
     grams = np.arange(5, dtype=np.uint64)
     assert lm_scoring.lookup(np.full(lm_scoring.CHUNK_BITS // 8, 255, np.uint8), 0, grams, 7).tolist() == [7] * 5
