@@ -2,16 +2,17 @@
 
 Every node of the page's tree gets a composite density: its characters per tag, lowered where
 characters stand in links and raised where tags are not links. The density sum of a node is the
-sum over its children; the main text is the subtree with the largest sum. The smallest density on
-the path from the body to that node is the threshold: below it nothing on the way counts as
-content. Within the chosen subtree, nodes that by their nature are not text are left out.
+sum over its children. The smallest density on the path from the body to the node with the largest
+sum is the threshold. From the body downwards, every branch that reaches the threshold gives its
+subtree with the largest sum to the main text; branches below it are left out. Within the chosen
+subtrees, nodes that by their nature are not text are left out.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -45,6 +46,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes, if it is still open.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -70,7 +72,7 @@ _ATTRIBUTE = re.compile(
 
 class Node:
     __slots__ = ("tag", "parent", "items", "skip", "own", "chars", "tags", "link_chars",
-                 "link_tags", "density", "total")
+                 "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
@@ -152,24 +154,28 @@ def _in_order(root: Node) -> list[Node]:
     return order
 
 
+def _count(node: Node) -> None:
+    chars = tags = link_chars = link_tags = own = text_chars = 0
+    for item in node.items:
+        if item.__class__ is str:
+            text_chars += len(" ".join(item.split()))
+        elif not item.skip:
+            chars += item.chars
+            tags += item.tags + 1
+            link_chars += item.link_chars
+            link_tags += item.link_tags + (item.tag == "a")
+            if item.tag in INLINE and item.tag != "a":
+                own += item.chars
+    node.own, node.chars, node.tags = own + text_chars, chars + text_chars, tags
+    node.link_chars, node.link_tags = link_chars, link_tags
+    if node.tag == "a":
+        node.link_chars, node.link_tags = node.chars, node.tags
+
+
 def measure(order: list[Node], body: Node) -> None:
     """Composite text density of every node, and the sums over children."""
     for node in reversed(order):
-        chars = tags = link_chars = link_tags = own = text_chars = 0
-        for item in node.items:
-            if item.__class__ is str:
-                text_chars += len(" ".join(item.split()))
-            elif not item.skip:
-                chars += item.chars
-                tags += item.tags + 1
-                link_chars += item.link_chars
-                link_tags += item.link_tags + (item.tag == "a")
-                if item.tag in INLINE and item.tag != "a":
-                    own += item.chars
-        node.own, node.chars, node.tags = own + text_chars, chars + text_chars, tags
-        node.link_chars, node.link_tags = link_chars, link_tags
-        if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.tags
+        _count(node)
     body_share = body.link_chars / max(body.chars, 1)
     for node in order:
         node.density = _density(node, body_share)
@@ -195,23 +201,77 @@ def _density(node: Node, body_share: float) -> float:
     return chars / tags * math.log(value) / base
 
 
-def main_node(root: Node) -> Node | None:
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees of the main text in page order."""
     order = _in_order(root)
     body = next((n for n in order if n.tag == "body"), root)
     measure(order, body)
-    inside = [n for n in order if _below(n, body) and n.tag not in INLINE]
-    if not inside:
-        return None
-    best = max(inside, key=lambda n: (n.total, _depth(n)))
-    path = _path(best, body)
-    threshold = min(n.density for n in path)
-    # Content split over sibling blocks: climb while the block around is as dense as the least
-    # dense node on the path, but never to the body itself.
-    for parent in path[1:]:
-        if best.tag in ("article", "main") or parent is body or parent.density < threshold:
-            break
-        best = parent
-    return best
+    for node in reversed(order):
+        node.best = None if node.tag in INLINE else node
+        for item in node.items:
+            if item.__class__ is Node and not item.skip and item.best is not None:
+                if node.best is None or item.best.total >= node.best.total:
+                    node.best = item.best
+    if body.best is None:
+        return []
+    path = _path(body.best, body)
+    least, least_plain = min(n.density for n in path), min(map(_plain, path))
+    return _chosen(body, lambda n: n.density >= least or _plain(n) >= least_plain)
+
+
+def _plain(node: Node) -> float:
+    """Characters outside links per tag. The composite density grows with the size of a node; by
+    this a short section of the same kind of text reaches the threshold too."""
+    return (node.chars - node.link_chars) / max(node.tags, 1)
+
+
+def _chosen(body: Node, dense: Callable[[Node], bool]) -> list[Node]:
+    """Every branch that reaches the threshold gives its subtree with the largest sum, and so does
+    each branch below it. Text that stands between branches is a branch of its own; headings go with
+    what follows them."""
+    body_share = body.link_chars / max(body.chars, 1)
+    chosen, best, way, stack = [], set(), set(), [body]
+    while stack:
+        node = stack.pop()
+        reaches = dense(node)
+        if reaches and node.best is not None and node not in best:
+            best.add(node.best)
+            for up in _path(node.best, node):
+                if up in way:
+                    break
+                way.add(up)
+        if node in best or node.tag in HEADINGS or node.best is None:
+            chosen.append(node)
+            continue
+        found, headings = [], []
+        for branch in _branches(node, body_share):
+            if branch in way or reaches and branch.chars and dense(branch):
+                found += [*headings, branch]
+                headings = []
+            elif reaches and branch.tag in HEADINGS and 2 * branch.link_chars < branch.chars:
+                headings.append(branch)
+            elif branch.chars:
+                headings = []
+        stack.extend(reversed(found))
+    return chosen
+
+
+def _branches(node: Node, body_share: float) -> Iterator[Node]:
+    """The blocks of a node; runs of text and inline elements without blocks are taken together."""
+    run: list[Node | str] = []
+    for item in [*node.items, None]:
+        if item.__class__ is str or item is not None and (item.skip or item.best is None):
+            run.append(item)
+            continue
+        if any(i.__class__ is Node or i.strip() for i in run):
+            text = Node("#text", node, False)
+            text.items, text.best = run, None
+            _count(text)
+            text.density = _density(text, body_share)
+            yield text
+        run = []
+        if item is not None:
+            yield item
 
 
 def _path(node: Node, top: Node) -> list[Node]:
@@ -222,25 +282,10 @@ def _path(node: Node, top: Node) -> list[Node]:
     return path
 
 
-def _depth(node: Node) -> int:
-    depth = 0
-    while (node := node.parent) is not None:
-        depth += 1
-    return depth
-
-
-def _below(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
-def blocks(node: Node) -> list[str]:
+def blocks(nodes: list[Node]) -> list[str]:
     """Text blocks in page order, white space as single spaces."""
     found: list[list[str]] = [[]]
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = nodes[::-1]
     while stack:
         item = stack.pop()
         if item is None:
@@ -261,8 +306,7 @@ def extract(html: str) -> list[str]:
     """The blocks of a page's main text; none if it has no text."""
     if not html:
         return []
-    node = main_node(parse(html))
-    return blocks(node) if node is not None else []
+    return blocks(main_nodes(parse(html)))
 
 
 def extract_text(

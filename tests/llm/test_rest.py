@@ -226,6 +226,25 @@ def test_main_text(html, text):
     assert " ".join(html_text.extract(html or "")) == text
 
 
+def paragraphs(word, n, length=200):
+    return "".join(f"<p>{(word + ' ') * (length // (len(word) + 1))}</p>" for _ in range(n))
+
+
+LINKS = "<div><ul>" + "".join(f"<li><a href='/{i}'>linked page {i}</a>" for i in range(20)) + "</ul></div>"
+
+
+@pytest.mark.parametrize("html, words", [
+    (f"<section>{paragraphs('one', 5)}</section><section>{paragraphs('two', 5)}</section>", {"one", "two"}),
+    (f"<section>{paragraphs('one', 6)}</section><section>{paragraphs('two', 2)}</section>", {"one", "two"}),
+    (f"<main><article>{paragraphs('one', 5)}</article><article>{paragraphs('two', 3)}</article></main>", {"one", "two"}),
+    (f"<div><div>{paragraphs('one', 5)}</div>{LINKS}</div>", {"one"}),
+    (f"<div><h2>Title</h2><div>{paragraphs('one', 5)}</div><h2>More</h2>{LINKS}</div>", {"Title", "one"}),
+    (f"{'loose ' * 100}<b>text</b><div>{paragraphs('one', 9)}</div>{LINKS}", {"loose", "text", "one"}),
+])
+def test_every_dense_branch_is_main_text(html, words):
+    assert set(" ".join(html_text.extract(f"<html><body>{html}</body></html>")).split()) == words
+
+
 def test_page_tables(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE % ARTICLE, "t"), (1, "u", PAGE % ARTICLE, "t"), (None, None, None, None)]
