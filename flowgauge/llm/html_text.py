@@ -30,17 +30,19 @@ RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe",
 #: Elements that never hold main text.
 NEVER = frozenset(
     "head script style noscript template iframe object svg math canvas form button select option "
-    "textarea input label nav header footer aside menu dialog figure audio video".split()
+    "textarea input label nav header footer aside menu dialog audio video".split()
 )
-#: Words of class, id or role that mark boilerplate.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|banner|sponsor|sponsored|promo|nav|navbar|"
-    r"navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|widget|comment|"
-    r"comments|disqus|reply|replies|cookie|cookies|consent|notice|popup|modal|newsletter|"
-    r"subscribe|signup|login|share|social|related|recommended|pagination|pager|search|"
-    r"contentinfo|complementary|toolbar|copyright)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Whole names of class, id or role that speak for boilerplate.
+BOILERPLATE = frozenset(
+    "ad ads advert advertisement banner sponsor sponsored promo nav navbar navigation menu "
+    "breadcrumb breadcrumbs header masthead footer sidebar side widget comment comments disqus "
+    "reply replies cookie cookies consent notice popup modal newsletter subscribe signup login "
+    "share social related recommended pagination pager search contentinfo complementary toolbar "
+    "copyright".split()
 )
+#: A so named subtree with at least this share of the page's text, and no article or main element
+#: beside it, goes only if it is not dense.
+LARGE_SHARE = 0.5
 #: Elements inside a line of text; all others begin and end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s "
@@ -71,26 +73,28 @@ _ATTRIBUTE = re.compile(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "skip", "own", "chars", "tags", "link_chars",
+    __slots__ = ("tag", "parent", "items", "skip", "named", "own", "chars", "tags", "link_chars",
                  "link_tags", "density", "total", "best")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: "Node | None", skip: bool, named: bool = False):
+        self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
         self.items: list["Node | str"] = []
 
 
-def _skipped(tag: str, attributes: str) -> bool:
+def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Never main text; named like boilerplate."""
     if tag in NEVER:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-        if name in ("class", "id", "role") and BOILERPLATE.search(value):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id", "role"):
+            named = named or not BOILERPLATE.isdisjoint(value.lower().split())
+    return False, named
 
 
 def parse(html: str) -> Node:
@@ -111,7 +115,7 @@ def parse(html: str) -> Node:
         elif opening:
             tag = opening.lower()
             node = _close_before(node, tag, root)
-            child = Node(tag, node, _skipped(tag, attributes))
+            child = Node(tag, node, *_judged(tag, attributes))
             node.items.append(child)
             if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
                 continue
@@ -205,6 +209,16 @@ def main_nodes(root: Node) -> list[Node]:
     """The subtrees of the main text in page order."""
     order = _in_order(root)
     body = next((n for n in order if n.tag == "body"), root)
+    if named := [n for n in order if n.named]:
+        for node in reversed(order):
+            _count(node)
+        marked = [n for n in order if n.tag in ("article", "main") and n.chars]
+        around = [set(_path(n, root)) for n in marked]
+        for node in named:
+            own = _path(node, root)
+            beside = any(node not in up and n not in own for n, up in zip(marked, around))
+            node.skip = beside or node.chars < LARGE_SHARE * body.chars
+        order = _in_order(root)
     measure(order, body)
     for node in reversed(order):
         node.best = None if node.tag in INLINE else node
@@ -216,7 +230,14 @@ def main_nodes(root: Node) -> list[Node]:
         return []
     path = _path(body.best, body)
     least, least_plain = min(n.density for n in path), min(map(_plain, path))
-    return _chosen(body, lambda n: n.density >= least or _plain(n) >= least_plain)
+
+    def dense(node: Node) -> bool:
+        return node.density >= least or _plain(node) >= least_plain
+
+    for node in order:
+        if node.named and not dense(node):
+            node.skip = True
+    return _chosen(body, dense)
 
 
 def _plain(node: Node) -> float:

@@ -245,6 +245,19 @@ def test_every_dense_branch_is_main_text(html, words):
     assert set(" ".join(html_text.extract(f"<html><body>{html}</body></html>")).split()) == words
 
 
+@pytest.mark.parametrize("html, words", [
+    *((f"<div class='{name}'>{paragraphs('one', 5)}</div>{LINKS}", {"one"})
+      for name in ("content has-sidebar", "no-sidebar", "search-results", "social-science", "widget")),
+    (f"<div id='search'><div>{paragraphs('one', 5)}</div><div class='comments'>{paragraphs('two', 2)}</div></div>", {"one"}),
+    (f"<div>{paragraphs('one', 5)}</div><div class='box related'>{paragraphs('two', 2)}</div>", {"one"}),
+    (f"<div>{paragraphs('one', 2)}</div><div class='menu'>{LINKS * 9}</div>", {"one"}),
+    ("<div class='ad'>Buy this, it is longer.</div><article><p>one</p></article>", {"one"}),
+    (f"<article>{paragraphs('one', 5)}<figure><img src=x><figcaption>A caption</figcaption></figure></article>", {"one", "A", "caption"}),
+])
+def test_names_are_evidence_only(html, words):
+    assert set(" ".join(html_text.extract(f"<html><body>{html}</body></html>")).split()) == words
+
+
 def test_page_tables(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE % ARTICLE, "t"), (1, "u", PAGE % ARTICLE, "t"), (None, None, None, None)]
