@@ -202,7 +202,10 @@ def find_contamination(
         F.xxhash64(text_col).alias("text_hash"),
     )
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    dealt = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    if blocks > 1:
+        items = items.distinct()
+    # By the text too, so that many rows of one item are spread; items are made distinct later.
+    dealt = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     scans = []
     for k in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(dealt == k).collect()]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from llm_rows import by_id
+from flowgauge.llm import decontaminate
 from flowgauge.llm.decontaminate import find_contamination, remove_contamination
 from flowgauge.llm.fm_index import FmIndex, suffix_array
 
@@ -83,6 +84,19 @@ def test_repeated_rows_and_a_long_text(spark, docs_of):
     ]
 
 
+@pytest.mark.parametrize("name", [7, None])
+def test_rows_of_one_item_are_spread_over_blocks(spark, docs_of, monkeypatch, name):
+    taken, phrases_of = [], decontaminate.phrases_of
+    monkeypatch.setattr(decontaminate, "phrases_of", lambda rows, width: (
+        taken.append(sum(len(text) for _, text in rows)), phrases_of(rows, width))[1])
+    items = [(name, f"k{i} l{i} m{i} n{i} o{i}") for i in range(200)] + [(name, "same words all over")] * 200
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"x {items[i * 9][1]} y {items[300][1]}" if i % 2 else f"k{i} l{i}") for i in range(20)]
+    got = result(decontaminate.find_contamination(docs_of(rows), benchmark, 4, block_bytes=1000))
+    assert len(taken) > 3 and max(taken) < 2000
+    assert got == brute(rows, [("null" if i is None else i, text) for i, text in items], 4)
+
+
 def test_index_finds_every_occurrence():
     rng = np.random.default_rng(1)
     for _ in range(30):
