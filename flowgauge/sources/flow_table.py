@@ -21,14 +21,14 @@ def read_flow_table(
     schema: str | T.StructType | None = None,
 ) -> FlowTable:
     """Read a Parquet fact table; ``distinct_path`` names a copy made by ``write_distinct``,
-    which must still fit: if files, rows or types of the table are others than when the copy was
-    made, this raises. A given ``schema`` saves the job that reads it from the files."""
+    which must still fit: if files (names, sizes or times), rows or types of the table are others
+    than when the copy was made, this raises. A given ``schema`` saves the job that reads it from the files."""
     raw = _read(spark, path, schema)
     if not distinct_path:
         return as_flow_table(raw, roles)
     made_from = spark.read.parquet(_record_path(distinct_path)).first().asDict()
     now = _described(raw)
-    changed = sorted(k for k in now if now[k] != made_from[k])
+    changed = sorted(k for k in now if now[k] != made_from.get(k))
     if changed:
         raise ValueError(
             f"the distinct copy at {distinct_path} was made from another state of the table "
@@ -42,16 +42,29 @@ def _record_path(distinct_path: str) -> str:
 
 
 def _described(raw: DataFrame) -> dict[str, str | int]:
-    """What tells one state of a table from another: its files, rows (from the footers of
-    Parquet files) and types."""
+    """What tells one state of a table from another: its files with sizes and times, rows
+    (from the footers of Parquet files) and types."""
     files = "\n".join(sorted(raw.inputFiles()))
+    states = "\n".join(_states(raw.sparkSession, raw.inputFiles()))
     return {
         "files": hashlib.sha256(files.encode()).hexdigest(),
+        "file_states": hashlib.sha256(states.encode()).hexdigest(),
         "row_count": raw.count(),
         "types": ", ".join(f"{name} {kind}" for name, kind in sorted(raw.dtypes)),
     }
 
 
+def _states(spark: SparkSession, files: list[str]) -> list[str]:
+    """Name, size and modification time of each file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(files):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return found
+
+
 def _read(spark: SparkSession, path: str, schema: str | T.StructType | None) -> DataFrame:
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 

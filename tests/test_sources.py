@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def test_appended_rows_make_the_copy_unusable(spark, written):
         read_flow_table(spark, path, distinct_path=copy)
 
 
+def test_a_file_rewritten_in_place_makes_the_copy_unusable(spark, flow_of, written, tmp_path):
+    path, copy = written
+    rows = [{"pipeline_name": "P1", "scheduled_quantity": float(q)} for q in (1, 1, 3)]
+    flow_of(rows).raw.coalesce(1).write.parquet(str(tmp_path / "corrected"))
+    (new,), (old,) = (list(Path(p).glob("*.parquet")) for p in (tmp_path / "corrected", path))
+    old.write_bytes(new.read_bytes())
+    old.with_name(f".{old.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="write it again"):
+        read_flow_table(spark, path, distinct_path=copy)
+
+
 def test_other_types_make_the_copy_unusable(spark, written, tmp_path):
     path, copy = written
     other = str(tmp_path / "other")
