@@ -183,54 +183,70 @@ def parse_record(data: bytes, at: int) -> Entry:
     return Entry(at, end + 4, headers, payload, size)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at a place; raises ``Damaged``."""
-    unzip = zlib.decompressobj(31)
-    try:
-        content = unzip.decompress(data[at:])
-        content += unzip.flush()
-    except zlib.error as error:
-        raise Damaged(f"gzip: {error}") from None
-    if not unzip.eof:
-        raise Damaged("gzip member without end")
-    return content, len(data) - len(unzip.unused_data)
-
-
-def _read_one(data: bytes, at: int) -> Entry:
-    if not data.startswith(_GZIP, at):
-        return parse_record(data, at)
-    content, end = _member(data, at)
-    entry = parse_record(content, 0)
-    if entry.end != len(content):
-        raise Damaged("member with more than a record")
-    entry.start, entry.end = at, end
-    return entry
-
-
-def _next_start(data: bytes, at: int) -> int:
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at a place. With an error, the content up to the damage."""
+    unzip, found, piece = zlib.decompressobj(31), [], 1 << 16
+    for k in range(at, len(data), piece):
+        before = unzip.copy()
+        try:
+            found.append(unzip.decompress(data[k : k + piece]))
+        except zlib.error as error:
+            try:
+                for j in range(k, min(k + piece, len(data))):
+                    found.append(before.decompress(data[j : j + 1]))
+            except zlib.error:
+                pass
+            return b"".join(found), len(data), f"gzip: {error}"
+        if unzip.eof:
+            return b"".join(found), min(k + piece, len(data)) - len(unzip.unused_data), None
+    return b"".join(found), len(data), "gzip member without end"
+
+
+def _read(data: bytes, at: int, zipped: bool) -> tuple[list[Entry], int]:
+    """The records at a place, or in the gzip member there, and the end; raises ``Damaged`` if there
+    is none. Those of a member all have its bytes as their range."""
+    if not zipped or not data.startswith(_GZIP, at):
+        entry = parse_record(data, at)
+        return [entry], entry.end
+    content, end, error = _member(data, at)
+    entries = list(salvage(content, zipped=False))
+    if error is not None:
+        entries = [e for e in entries if not e.error]
+        end = _next_start(data, at + 1, zipped)
+    if all(e.error for e in entries):
+        raise Damaged(error or (entries[0].error if entries else "empty gzip member"))
+    if error is not None:
+        entries.append(Entry(at, end, {}, error=error))
+    for entry in entries:
+        entry.start, entry.end = at, end
+    return entries, end
+
+
+def _next_start(data: bytes, at: int, zipped: bool) -> int:
     """The next place where a member or a version line begins."""
-    member = data.find(_GZIP, at)
+    member = data.find(_GZIP, at) if zipped else -1
     line = _VERSION.search(data, at)
     found = [p for p in (member, line.start() if line else -1) if p >= 0]
     return min(found, default=len(data))
 
 
-def salvage(data: bytes) -> Iterator[Entry]:
-    """All valid records of an archive in order, and between them the gaps that failed."""
+def salvage(data: bytes, zipped: bool = True) -> Iterator[Entry]:
+    """All valid records of an archive in order, and between them the gaps that failed. Unless
+    ``zipped`` is false, also those in gzip members, of a torn one up to the damage."""
     at, bad_from, reason = 0, None, ""
     while at < len(data):
         try:
-            entry = _read_one(data, at)
+            entries, end = _read(data, at, zipped)
         except Damaged as error:
             if bad_from is None:
                 bad_from, reason = at, str(error)
-            at = _next_start(data, at + 1)
+            at = _next_start(data, at + 1, zipped)
             continue
         if bad_from is not None:
             yield Entry(bad_from, at, {}, error=reason)
             bad_from = None
-        yield entry
-        at = entry.end
+        yield from entries
+        at = end
     if bad_from is not None:
         yield Entry(bad_from, len(data), {}, error=reason)
 

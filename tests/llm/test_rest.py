@@ -181,6 +181,22 @@ def test_salvage_recovers_what_follows_damage(pack):
     assert all(a.end == b.start for a, b in zip(found, found[1:]))  # no byte is unaccounted for
 
 
+def test_salvage_looks_into_gzip_members():
+    rng = random.Random(7)
+    parts = [record(i, " ".join(str(rng.random()) for _ in range(3000))) for i in range(6)]
+    names = lambda data: [e.headers.get("warc-record-id") for e in warc.salvage(data) if not e.error]
+    whole = gzip.compress(b"".join(parts))
+    found = list(warc.salvage(whole))
+    assert [(e.start, e.end, e.error) for e in found] == [(0, len(whole), None)] * 6
+    assert names(whole) == [f"<urn:page:{i}>" for i in range(6)]
+    torn = list(warc.salvage(whole[: len(whole) * 3 // 4]))
+    assert [e.headers.get("warc-record-id") for e in torn if not e.error] == [f"<urn:page:{i}>" for i in range(4)]
+    assert sum(e.error is not None for e in torn) >= 1
+    inner = bytearray(b"".join(parts))
+    inner[len(parts[0]) + 5] = 0
+    assert names(gzip.compress(inner) + gzip.compress(record(9, "after"))) == [f"<urn:page:{i}>" for i in (0, 2, 3, 4, 5, 9)]
+
+
 # ---- URL filter ------------------------------------------------------------------------------
 
 
