@@ -58,11 +58,3 @@ def flow_of(spark):
         return as_flow_table(spark.createDataFrame(records, FLOW_COLUMNS))
 
     return make
-
-
-def day(n: int, start: str = "2024-01-01") -> dt.datetime:
-    return dt.datetime.fromisoformat(start) + dt.timedelta(days=n)
-
-
-def dicts(df):
-    return [row.asDict(recursive=True) for row in df.collect()]

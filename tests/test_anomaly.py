@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from conftest import day, dicts
+from rows import day, dicts
 from flowgauge.operators import anomaly
 from flowgauge.plans import questions
 

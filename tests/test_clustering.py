@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import dicts
+from rows import dicts
 from flowgauge.operators import clustering
 
 

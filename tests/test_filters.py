@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import dicts
+from rows import dicts
 from flowgauge import FlowSchema, FlowTable
 from flowgauge.functions import buckets
 from flowgauge.functions.predicates import apply_filters

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from conftest import day, dicts
+from rows import day, dicts
 from flowgauge.operators import patterns, profile, retrieval
 from flowgauge.sources import table_size, write_distinct
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import dicts
+from rows import dicts
 from flowgauge.functions import stats
 from flowgauge.functions import quantiles
 from flowgauge.functions.quantiles import exact_quantiles
