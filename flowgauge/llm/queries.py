@@ -6,12 +6,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm import (
-    bpe, decontaminate, html_text, jaccard_join, lm_scoring, quality_rules, site_quality,
-    suffix_dedup, url_filter, warc,
+    bpe, decontaminate, fill_middle, html_text, jaccard_join, lm_scoring, prefix_trie, quality_rules,
+    secret_ledger, site_quality, suffix_dedup, url_filter, warc,
 )
 
 from flowgauge.session import shared_folder
@@ -101,6 +101,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restore_texts(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = secret_ledger.new_ledger(shared_folder(spark))
+    found = secret_ledger.find_secrets(_table(spark, sf_dir, "documents"), folder)
+    base = [rule.kind for rule in secret_ledger.BASE_RULES]
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.withColumn("base", F.filter("found", lambda f: f["kind"].isin(base))).select(
+        "doc_id", *map(count, base), F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("found").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -112,4 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_secret_ledger": op13_secret_ledger,
 }
