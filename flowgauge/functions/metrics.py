@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowgauge.functions.sketches import LOG_REGISTERS
 from flowgauge.table import FlowTable
 
 _SYNONYMS = {"average": "mean"}
@@ -35,8 +36,9 @@ def aggregate(table: FlowTable, metric: str) -> Column:
     raise ValueError(f"unknown metric '{metric}'")
 
 
-def period_metric(table: FlowTable, metric: str) -> Column:
-    """Per-period metric of the correlation and before/after analyses."""
+def period_metric(table: FlowTable, metric: str, approximate: bool = False) -> Column:
+    """Per-period metric of the correlation and before/after analyses; with ``approximate`` numbers
+    of distinct values are estimates from sketches (``sketches.relative_error``)."""
     distinct_of = {
         "active_locations": "location",
         "unique_locations": "location",
@@ -44,7 +46,10 @@ def period_metric(table: FlowTable, metric: str) -> Column:
         "unique_entities": "partner",
     }
     if metric in distinct_of:
-        return F.count_distinct(F.col(table.roles.require(distinct_of[metric])))
+        column = F.col(table.roles.require(distinct_of[metric]))
+        if approximate:
+            return F.hll_sketch_estimate(F.hll_sketch_agg(column.cast("string"), LOG_REGISTERS))
+        return F.count_distinct(column)
     plain = {"volume": "sum", "transaction_count": "count", "average_quantity": "mean"}
     if metric in plain:
         return aggregate(table, plain[metric])

@@ -18,11 +18,15 @@ _ACCURACY = 10_000
 _SLICES = 4096
 
 
-def exact_quantiles(rows: DataFrame, value: Column, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(
+    rows: DataFrame, value: Column, probabilities: list[float], *, mean: bool = False
+) -> DataFrame:
     """One row with columns ``q0``, ``q1``, ...: the linearly interpolated quantiles of the
-    non-null values; all null when there is no value."""
+    non-null values; all null when there is no value. ``mean`` adds their mean, which the first pass
+    yields as well."""
     values = rows.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    brackets = _brackets(values, probabilities)
+    sketch = _sketch(values, probabilities)
+    brackets = _brackets(values, sketch, probabilities)
     # The brackets are one row, whatever the column holds.
     held = F.filter("brackets", lambda b: (F.col("v") >= b["low"]) & (F.col("v") <= b["high"]))
     inside = values.withColumn("brackets", brackets.select("brackets").scalar()).select(
@@ -42,19 +46,25 @@ def exact_quantiles(rows: DataFrame, value: Column, probabilities: list[float])
         "i", "v", F.explode("ranks").alias("rank"), F.col("b.ranks").alias("wanted"),
         F.col("b.weight").alias("weight"),
     )
-    return hits.agg(*[_interpolated(i).alias(f"q{i}") for i in range(len(probabilities))])
+    found = hits.agg(*[_interpolated(i).alias(f"q{i}") for i in range(len(probabilities))])
+    # The same subquery as for the brackets, so it runs once.
+    return found.withColumn("mean", sketch.scalar()["mean"]) if mean else found
 
 
-def _brackets(values: DataFrame, probabilities: list[float]) -> DataFrame:
-    """One row: for each probability the bracket, the rows below it, the two neighbouring ranks
-    (from 0) and how far the quantile lies between them."""
+def _sketch(values: DataFrame, probabilities: list[float]) -> DataFrame:
+    """One row and column, from one pass: bracket edges, smallest and largest value, mean."""
     margin = 2 / _ACCURACY
     edges = [min(max(p + side * margin, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
-    sketch = values.agg(
+    return values.agg(
         F.percentile_approx("v", F.array(*map(F.lit, edges)), _ACCURACY).alias("edges"),
-        F.min("v").alias("least"), F.max("v").alias("most"),
-    )
-    measured = values.withColumn("sketch", sketch.select(F.struct("*")).scalar()).agg(
+        F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"),
+    ).select(F.struct("*"))
+
+
+def _brackets(values: DataFrame, sketch: DataFrame, probabilities: list[float]) -> DataFrame:
+    """One row: for each probability the bracket, the rows below it, the two neighbouring ranks
+    (from 0) and how far the quantile lies between them."""
+    measured = values.withColumn("sketch", sketch.scalar()).agg(
         F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"),
         *[F.count_if(F.col("v") < F.col("sketch.edges")[2 * i]).alias(f"below{i}")
           for i in range(len(probabilities))],

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Bounds of the labels, largest first; a value above the bound gets the label.
 CORRELATION_STRENGTH = ((0.8, "Very Strong"), (0.6, "Strong"), (0.4, "Moderate"), (0.2, "Weak"))
@@ -60,67 +58,86 @@ def student_t(n1: Column, mean1: Column, var1: Column,
     return F.try_divide(mean1 - mean2, F.sqrt(pooled * (1 / n1 + 1 / n2)))
 
 
-def _student():
-    """The p-value as a function and as a Pandas UDF. Both are made inside a function, so that
-    they travel to the executors whole and need no package there but NumPy and pandas."""
-
-    def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-        def nonzero(v: np.ndarray) -> np.ndarray:
-            return np.where(np.abs(v) < 1e-300, 1e-300, v)
-
-        c = np.ones_like(x)
-        d = 1 / nonzero(1 - (a + b) * x / (a + 1))
-        value = d
-        for m in range(1, 500):
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            step = np.ones_like(x)
-            for term in (even, odd):
-                d = 1 / nonzero(1 + term * d)
-                c = nonzero(1 + term / c)
-                step = c * d
-                value = value * step
-            if not np.any(np.abs(step - 1) > 1e-15):
-                return value
-        raise ArithmeticError("the continued fraction of the p-value does not settle")
-
-    def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-        """P(|T| >= |t|) for Student's t: the regularised incomplete beta I_x(df/2, 1/2) at
-        x = df / (df + t^2), by the continued fraction of Abramowitz & Stegun 26.5.8 in the
-        modified Lentz scheme. NaN in, NaN out; accurate for tiny p as well."""
-        t = np.asarray(t, dtype=float)
-        df = np.asarray(df, dtype=float)
-        x = df / (df + t * t)
-        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-            # The fraction converges fast left of the mean of the beta distribution; right
-            # of it the mirrored fraction does.
-            mirrored = x > (df / 2 + 1) / (df / 2 + 2.5)
-            a = np.where(mirrored, 0.5, df / 2)
-            b = np.where(mirrored, df / 2, 0.5)
-            at = np.where(mirrored, t * t / (df + t * t), x)
-            log_beta = np.array([
-                math.lgamma(h) + math.lgamma(0.5) - math.lgamma(h + 0.5) if h > 0 else np.nan
-                for h in df / 2
-            ])
-            front = np.exp(a * np.log(at) + b * np.log1p(-at) - log_beta) / a
-            tail = front * beta_fraction(a, b, at)
-            p = np.where(mirrored, 1 - tail, tail)
-        return np.where(t == 0, 1.0, np.clip(p, 0.0, 1.0))
-
-    def p_of(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series(two_sided_p(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))
-
-    return two_sided_p, F.pandas_udf(p_of, T.DoubleType())
-
-
-# Spark has no Student distribution. The UDF only sees aggregated rows, one per comparison.
-two_sided_p, t_test_p_value = _student()
+# ln(G(z + 1/2) / G(z)) - ln(z) / 2 as a series in 1 / z, with its odd powers.
+_HALF_STEP = ((1, -1 / 8), (3, 1 / 192), (5, -1 / 640), (7, 17 / 14336), (9, -31 / 18432))
+#: The series is used this far to the right, where it is good to the last bit.
+_SHIFT = 20
+#: Steps of the continued fraction: more than the square root of any number of periods needs.
+_STEPS = 500
+
+
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each worked out once however often it is used."""
+    bound = F.array(F.struct(*(v.alias(name) for name, v in values.items())))
+    return F.get(F.transform(bound, body), F.lit(0))
+
+
+def _log_beta_half(h: Column) -> Column:
+    """ln B(h, 1/2). The quotient of gamma functions is taken ``_SHIFT`` to the right and brought
+    back by their recurrence."""
+    z = h + _SHIFT
+    series = 0.5 * F.log(z)
+    for power, factor in _HALF_STEP:
+        series = series + factor * F.pow(z, F.lit(-power))
+    back = F.aggregate(
+        F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(0.0),
+        lambda total, k: total + F.log((h + k) / (h + k + 0.5)))
+    return F.lit(0.5 * math.log(math.pi)) - series - back
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of Abramowitz & Stegun 26.5.8, in the modified Lentz scheme, as a fold
+    over its odd and even terms in turn; a fold that has settled is left as it is."""
+    def nonzero(v: Column) -> Column:
+        return F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(s: Column, n: Column) -> Column:
+        m = F.floor((n + 1) / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        moved = _let(
+            lambda v: _let(
+                lambda w: F.struct(
+                    w["c"].alias("c"), w["d"].alias("d"), (s["value"] * w["c"] * w["d"]).alias("value"),
+                    (F.abs(w["c"] * w["d"] - 1) <= 1e-15).alias("settled")),
+                c=nonzero(v["c"]), d=1 / nonzero(v["d"])),
+            c=1 + F.when(n % 2 == 1, even).otherwise(odd) / s["c"],
+            d=1 + F.when(n % 2 == 1, even).otherwise(odd) * s["d"])
+        return F.when(s["settled"], s).otherwise(moved)
+
+    first = 1 / nonzero(1 - (a + b) * x / (a + 1))
+    start = F.struct(
+        F.lit(1.0).alias("c"), first.alias("d"), first.alias("value"), F.lit(False).alias("settled"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * _STEPS)), start, step, lambda s: s["value"])
 
 
 def p_value(t: Column, df: Column) -> Column:
-    """Null in, null out around the p-value function."""
-    p = t_test_p_value(t.cast("double"), df.cast("double"))
-    return F.when(t.isNotNull() & (df > 0), p)
+    """P(|T| >= |t|) for Student's t, two-sided: the regularised incomplete beta I_x(df/2, 1/2) at
+    x = df / (df + t^2). Null in, null out; accurate for tiny p as well."""
+    def of_test(s: Column) -> Column:
+        # The fraction converges fast left of the mean of the beta distribution; right of it the
+        # mirrored fraction does.
+        x, rest = s["df"] / (s["df"] + s["t"] * s["t"]), s["t"] * s["t"] / (s["df"] + s["t"] * s["t"])
+        return _let(of_sides, h=s["df"] / 2, x=x, rest=rest, mirrored=x > (s["df"] / 2 + 1) / (s["df"] / 2 + 2.5))
+
+    def of_sides(s: Column) -> Column:
+        return _let(
+            tail, h=s["h"], mirrored=s["mirrored"],
+            a=F.when(s["mirrored"], 0.5).otherwise(s["h"]), b=F.when(s["mirrored"], s["h"]).otherwise(0.5),
+            at=F.when(s["mirrored"], s["rest"]).otherwise(s["x"]),
+            beyond=F.when(s["mirrored"], s["x"]).otherwise(s["rest"]))
+
+    def tail(s: Column) -> Column:
+        front = F.exp(s["a"] * F.log(s["at"]) + s["b"] * F.log(s["beyond"]) - _log_beta_half(s["h"])) / s["a"]
+        share = front * _beta_fraction(s["a"], s["b"], s["at"])
+        one_sided = F.when(s["mirrored"], 1 - share).otherwise(share)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), one_sided))
+
+    def of_pair(s: Column) -> Column:
+        known = s["t"].isNotNull() & (s["df"] > 0)
+        return F.when(known, F.when(s["t"] == 0, 1.0).otherwise(of_test(s)))
+
+    return _let(of_pair, t=t.cast("double"), df=df.cast("double"))
 
 
 def significance(enough: Column, p: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql.window import WindowSpec
 
 from flowgauge.functions.metrics import total
 from flowgauge.functions.predicates import apply_filters
+from flowgauge.operators.rolling_quantile import with_rolling_quantile
 from flowgauge.table import FlowTable, with_keys
 
 Filters = Mapping[str, Any] | None
@@ -112,9 +113,10 @@ def anomaly_percentile(
     if not 0 <= percentile <= 100:
         raise ValueError("the percentile must lie between 0 and 100")
     daily, keys = daily_volume(table, by, filters=filters, dedup=True)
-    window = rolling(keys, days, frame, include_current)
-    quantile = F.percentile("quantity", float(percentile) / 100)
-    scored = daily.withColumn("roll_percentile", _if_filled(quantile, window, days))
+    scored = with_rolling_quantile(
+        daily, keys, "roll_percentile", days=days, share=float(percentile) / 100, frame=frame,
+        include_current=include_current, needed=_needed(days),
+    )
     flagged = scored.where(F.col("quantity") > F.col("roll_percentile"))
     return _strongest(flagged, F.col("quantity"), keys, limit)
 
@@ -147,10 +149,14 @@ def rolling(keys: Sequence[str], days: int, frame: str, include_current: bool) -
     raise ValueError(f"unknown frame '{frame}'; use rows or days")
 
 
+def _needed(days: int) -> int:
+    """A quarter of the window's rows, five at least (or all, if fewer)."""
+    return min(days, max(5, days // 4))
+
+
 def _if_filled(value: Column, window: WindowSpec, days: int) -> Column:
-    """Null until the window holds a quarter of its rows, five at least (or all, if fewer)."""
-    needed = min(days, max(5, days // 4))
-    return F.when(F.count("quantity").over(window) >= needed, value.over(window))
+    """Null until the window holds the rows needed."""
+    return F.when(F.count("quantity").over(window) >= _needed(days), value.over(window))
 
 
 def _strongest(

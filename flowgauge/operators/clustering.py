@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +15,8 @@ from flowgauge.functions import stats
 from flowgauge.functions.buckets import calendar_part
 from flowgauge.functions.metrics import total
 from flowgauge.functions.predicates import apply_filters
+from flowgauge.operators import kmeans
+from flowgauge.operators.silhouette import silhouettes
 from flowgauge.session import cut_lineage
 from flowgauge.table import FlowTable, with_keys
 
@@ -35,7 +33,8 @@ SUMMER_PEAKS = {"monthly": (6, 7, 8), "quarterly": (3,)}
 @dataclass(frozen=True)
 class Clustering:
     """``assignments``: entity -> cluster; ``statistics``: one row per cluster, over unscaled
-    volumes; ``quality``: one row, with the iterations of the chosen fit and whether it settled
+    volumes; ``quality``: one row, with mean silhouettes by Euclidean (which the label goes by) and by
+    squared Euclidean distance, and the iterations of the chosen fit and whether it settled
     before the most allowed; ``members``: entity, profile, scaled features and cluster. Cluster 0
     has the largest mean volume."""
 
@@ -68,39 +67,55 @@ def perform_clustering(
     seed: int = 42,
     restarts: int = 10,
     max_iterations: int = 300,
-    partitions: int = 8,
+    partitions: int | None = None,
     sample_members: int = 5,
 ) -> Clustering:
     """K-means over seasonal profiles. Fitting runs Spark jobs right away; of ``restarts`` fits
-    with at most ``max_iterations`` steps the cheapest wins. Entities are first laid out by key in
-    ``partitions`` parts, always the same way, because the initial centres depend on it. One
-    cluster is allowed and needs no fit; its silhouette is 0."""
+    with at most ``max_iterations`` steps the cheapest wins. The result is the same however the
+    entities are dealt out; ``partitions`` asks for a number of parts. One cluster is allowed and
+    needs no fit; its silhouette is 0."""
     by = table.column(by)
     profiles = cut_lineage(_wide_profiles(table, by, grain, filters))
     entities = profiles.count()
     if not 1 <= n_clusters < max(entities, 2) or not entities:
         raise ValueError(f"{n_clusters} clusters need more than {n_clusters} entities "
                          f"and at least 1 cluster; there are {entities} entities")
-    ordered = profiles.repartition(partitions, by).sortWithinPartitions(by)
-    features = ordered.withColumn("raw", array_to_vector("profile"))
-    if normalize:
-        scaler = StandardScaler(inputCol="raw", outputCol="features",
-                                withMean=True, withStd=True)
-        features = scaler.fit(features).transform(features).drop("raw")
-    else:
-        features = features.withColumnRenamed("raw", "features")
-    features = features.persist()
+    if partitions:
+        profiles = profiles.repartition(partitions, by)
+    points, step = kmeans.on_grid(profiles, by, "profile", normalize)
+    points = points.persist()
     try:
         if n_clusters == 1:
-            iterations, predicted = 0, cut_lineage(features.withColumn("prediction", F.lit(0)))
+            iterations, converged = 0, True
+            found = points.withColumn("prediction", F.lit(0))
         else:
-            model = _best_of(features, n_clusters, seed, restarts, max_iterations)
-            iterations = model.summary.numIter
-            predicted = cut_lineage(model.transform(features))
+            seeds = [seed + restart for restart in range(restarts)]
+            best = min(kmeans.fit_all(points, n_clusters, seeds, max_iterations), key=lambda fit: fit.cost)
+            iterations, converged = best.iterations, best.converged
+            found = kmeans.assigned(points, best.centres)
+        features = F.transform("point", lambda x: x * F.lit(step))
+        predicted = cut_lineage(found.select(by, "profile", features.alias("features"), "prediction"))
     finally:
-        features.unpersist()
-    fit = (iterations, iterations < max_iterations)
-    return _describe(predicted, by, grain, sample_members, fit)
+        points.unpersist()
+    return _describe(predicted, by, grain, sample_members, (iterations, converged))
+
+
+def profile_silhouettes(
+    table: FlowTable, by: str, group: str, *, grain: str = "monthly", filters: Filters = None
+) -> DataFrame:
+    """How well a given grouping of entities (the smallest ``group`` value of each) fits their
+    seasonal profiles: entity, group, mean Euclidean distances and silhouette. Entities without a
+    volume or a group are left out."""
+    by, group = table.column(by), table.column(group)
+    labels = with_keys(apply_filters(table, table.raw, filters), by, group).groupBy(by).agg(
+        F.min(group).alias(group))
+    profiles = cut_lineage(_wide_profiles(table, by, grain, filters).join(labels, by))
+    # Groups are numbered; there are far fewer of them than entities.
+    numbers = profiles.select(group).distinct().withColumn(
+        "cluster", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group)))
+    numbers = cut_lineage(numbers)
+    scored = silhouettes(profiles.join(numbers, group), by, "cluster", "profile")
+    return scored.join(numbers, "cluster").drop("cluster")
 
 
 def cluster_checks(clustering: Clustering, by: str) -> DataFrame:
@@ -108,7 +123,7 @@ def cluster_checks(clustering: Clustering, by: str) -> DataFrame:
     than once, and nearer to the centre of another cluster than to their own (0 after a fit that
     settled, but for ties in the last bits); and the volume of each period over all clusters."""
     members = clustering.members
-    points = members.withColumn("point", vector_to_array("features"))
+    points = members.withColumnRenamed("features", "point")
     by_axis = points.select("cluster", F.posexplode("point").alias("axis", "x"))
     centre = by_axis.groupBy("cluster", "axis").agg(F.avg("x").alias("c"))
     # One array per cluster: as many rows as clusters were asked for.
@@ -155,20 +170,6 @@ def _wide_profiles(table: FlowTable, by: str, grain: str, filters: Filters) -> D
     )
 
 
-def _best_of(
-    features: DataFrame, n_clusters: int, seed: int, restarts: int, max_iterations: int
-) -> KMeansModel:
-    """Restarts do not depend on each other, so they run at the same time."""
-    def fit(restart: int) -> KMeansModel:
-        kmeans = KMeans(k=n_clusters, seed=seed + restart, maxIter=max_iterations)
-        return kmeans.fit(features)
-
-    in_session = inheritable_thread_target(features.sparkSession)
-    with ThreadPool(restarts) as pool:
-        models = pool.map(in_session(fit), range(restarts))
-    return min(models, key=lambda model: model.summary.trainingCost)
-
-
 def _describe(
     predicted: DataFrame, by: str, grain: str, sample_members: int, fit: tuple[int, bool]
 ) -> Clustering:
@@ -209,18 +210,21 @@ def _describe(
         .alias("coefficient_of_variation"),
         _usage(peak, grain).alias("usage_pattern"),
     ).join(members, "cluster")
-    return Clustering(assignments, statistics, _quality(predicted, *fit), clustered)
+    return Clustering(assignments, statistics, _quality(predicted, by, *fit), clustered)
 
 
-def _quality(predicted: DataFrame, iterations: int, converged: bool) -> DataFrame:
+def _quality(predicted: DataFrame, by: str, iterations: int, converged: bool) -> DataFrame:
     spark = predicted.sparkSession
-    found = predicted.select("prediction").distinct().count()
-    score = ClusteringEvaluator().evaluate(predicted) if found > 1 else 0.0
+    mean, squared = 0.0, 0.0
+    if predicted.select("prediction").distinct().count() > 1:
+        mean = silhouettes(predicted, by, "prediction", "features").agg(F.avg("silhouette")).first()[0]
+        vectors = predicted.withColumn("features", array_to_vector("features"))
+        squared = ClusteringEvaluator().evaluate(vectors)
     return spark.range(1).select(
-        F.lit(float(score)).alias("silhouette_sq_euclidean"),
+        F.lit(float(mean)).alias("silhouette"), F.lit(float(squared)).alias("silhouette_sq_euclidean"),
         F.lit(iterations).alias("iterations"), F.lit(converged).alias("converged"),
     ).withColumn("quality", stats.label_above(
-        F.col("silhouette_sq_euclidean"), stats.SILHOUETTE_QUALITY, "Poor"
+        F.col("silhouette"), stats.SILHOUETTE_QUALITY, "Poor"
     ))
 
 

@@ -13,11 +13,17 @@ from flowgauge.functions import stats
 from flowgauge.functions.buckets import period, season
 from flowgauge.functions.metrics import percent_change, period_metric, total
 from flowgauge.functions.predicates import apply_filters, before
+from flowgauge.functions.sketches import LOG_REGISTERS
 from flowgauge.table import FlowTable, with_keys
 
 # Fixed value: months a pipeline must have rows in before its consistency is judged.
 MIN_ACTIVE_MONTHS = 3
 
+# The numbers of active entities and the roles they are counted by.
+_ACTIVE = {
+    "active_locations": "location", "active_pipelines": "pipeline", "active_partners": "partner",
+}
+
 
 def seasonal_patterns(table: FlowTable) -> DataFrame:
     """Per calendar season: volumes (2 decimals), transactions, both directions, and whether
@@ -34,10 +40,13 @@ def seasonal_patterns(table: FlowTable) -> DataFrame:
     return seasons.withColumn("is_peak", F.row_number().over(largest_first) == 1)
 
 
-def monthly_trends(table: FlowTable, last: int | None = 12) -> DataFrame:
+def monthly_trends(
+    table: FlowTable, last: int | None = 12, *, approximate: bool = False
+) -> DataFrame:
     """Activity per month and the growth of its volume from the month before; the ``last``
-    months only, or all. The peak and low month are those of ``monthly_trends_summary``."""
-    return _last(_monthly_trends(table), last)
+    months only, or all. The peak and low month are those of ``monthly_trends_summary``. With
+    ``approximate`` the numbers of active entities are estimates."""
+    return _last(_monthly_trends(table, approximate), last)
 
 
 def monthly_trends_summary(table: FlowTable, last: int = 12) -> DataFrame:
@@ -55,9 +64,12 @@ def monthly_trends_summary(table: FlowTable, last: int = 12) -> DataFrame:
     )
 
 
-def quarterly_activity(table: FlowTable, last: int | None = 8) -> DataFrame:
-    """Activity per quarter with the growth of volume and of active locations."""
-    return _last(_quarterly_activity(table), last)
+def quarterly_activity(
+    table: FlowTable, last: int | None = 8, *, approximate: bool = False
+) -> DataFrame:
+    """Activity per quarter with the growth of volume and of active locations. With ``approximate``
+    the numbers of active entities, and the growth of locations with them, are estimates."""
+    return _last(_quarterly_activity(table, approximate), last)
 
 
 def quarterly_activity_summary(table: FlowTable, last: int = 8) -> DataFrame:
@@ -120,14 +132,15 @@ def correlation_points(
     *,
     grain: str = "daily",
     filters: Mapping[str, Any] | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
     """Both metrics per period, for the periods in which both have a value. One aggregate
-    yields both, so nothing needs aligning."""
+    yields both, so nothing needs aligning. ``approximate`` estimates numbers of active entities."""
     rows = apply_filters(table, table.rows(dedup=True), filters)
     rows = with_keys(rows.withColumn("period", period(table.time, grain)), "period")
     return rows.groupBy("period").agg(
-        period_metric(table, x_metric).cast("double").alias("x"),
-        period_metric(table, y_metric).cast("double").alias("y"),
+        period_metric(table, x_metric, approximate).cast("double").alias("x"),
+        period_metric(table, y_metric, approximate).cast("double").alias("y"),
     ).na.drop(subset=["x", "y"])
 
 
@@ -138,11 +151,13 @@ def calculate_correlation(
     *,
     grain: str = "daily",
     filters: Mapping[str, Any] | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
     """One row: Pearson r, r squared, regression line, t, significance and labels. No row
     with fewer than two points. A constant metric leaves r and all that follows from it null;
     a perfect correlation has no t but is significant."""
-    points = correlation_points(table, x_metric, y_metric, grain=grain, filters=filters)
+    points = correlation_points(
+        table, x_metric, y_metric, grain=grain, filters=filters, approximate=approximate)
     x, y = F.col("x"), F.col("y")
     fitted = points.agg(
         F.count(F.lit(1)).alias("points"),
@@ -223,36 +238,62 @@ def before_after_ttest(
     ).drop("enough")
 
 
-def _monthly_trends(table: FlowTable) -> DataFrame:
-    months = _activity(table, "monthly")
+def _monthly_trends(table: FlowTable, approximate: bool = False) -> DataFrame:
+    months = _activity(table, "monthly", approximate)
     return months.withColumn("volume_growth", _growth("total_volume"))
 
 
-def _quarterly_activity(table: FlowTable) -> DataFrame:
-    quarters = _activity(table, "quarterly").drop("transaction_count")
+def _quarterly_activity(table: FlowTable, approximate: bool = False) -> DataFrame:
+    quarters = _activity(table, "quarterly", approximate).drop("transaction_count")
     return quarters.withColumn("volume_growth", _growth("total_volume")).withColumn(
         "location_growth", _growth("active_locations")
     )
 
 
-def _activity(table: FlowTable, grain: str) -> DataFrame:
-    """Volumes and numbers of active locations, pipelines and partners per period. The
-    distinct counts are reduced to one row per period and value before any shuffle."""
+def daily_activity(table: FlowTable) -> DataFrame:
+    """Per day: volume, transactions and sketches of the active locations, pipelines and partners.
+    Some KB a day, from which ``activity_from_days`` makes any longer period; a table that grows by
+    days need only add its new ones."""
+    rows = with_keys(table.rows(dedup=True).withColumn("day", F.to_date(table.time)), "day")
+    names = {name: table.roles.require(role) for name, role in _ACTIVE.items()}
+    return rows.groupBy("day").agg(
+        total(table.measure).alias("volume"),
+        F.count(table.measure).alias("transaction_count"),
+        *(F.hll_sketch_agg(F.col(c).cast("string"), LOG_REGISTERS).alias(name) for name, c in names.items()),
+    )
+
+
+def activity_from_days(days: DataFrame, grain: str) -> DataFrame:
+    """Activity per period from ``daily_activity``; the numbers of active entities are estimates
+    (``sketches.relative_error``)."""
+    return days.withColumn("period", period(F.col("day"), grain)).groupBy("period").agg(
+        F.bround(F.sum("volume"), 2).alias("total_volume"),
+        F.bround(F.try_divide(F.sum("volume"), F.sum("transaction_count")), 2).alias("average_volume"),
+        F.sum("transaction_count").alias("transaction_count"),
+        *(F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in _ACTIVE),
+    )
+
+
+def _activity(table: FlowTable, grain: str, approximate: bool = False) -> DataFrame:
+    """Volumes and numbers of active locations, pipelines and partners per period.
+
+    Rows are first brought down to one per period and combination of the three, on the map side;
+    the distinct counts, which take four copies of each row, start from there. ``approximate``
+    merges daily sketches instead, without any copies."""
+    if approximate:
+        return activity_from_days(daily_activity(table), grain)
     rows = with_keys(
         table.rows(dedup=True).withColumn("period", period(table.time, grain)), "period"
     )
-    return rows.groupBy("period").agg(
-        F.bround(total(table.measure), 2).alias("total_volume"),
-        F.bround(F.avg(table.measure), 2).alias("average_volume"),
-        F.count(table.measure).alias("transaction_count"),
-        *[
-            F.count_distinct(F.col(table.roles.require(role))).alias(name)
-            for name, role in (
-                ("active_locations", "location"),
-                ("active_pipelines", "pipeline"),
-                ("active_partners", "partner"),
-            )
-        ],
+    names = {name: table.roles.require(role) for name, role in _ACTIVE.items()}
+    combined = rows.groupBy("period", *dict.fromkeys(names.values())).agg(
+        F.sum(table.measure).alias("volume"), F.count(table.measure).alias("transactions")
+    )
+    return combined.groupBy("period").agg(
+        F.bround(F.coalesce(F.sum("volume"), F.lit(0.0)), 2).alias("total_volume"),
+        F.bround(F.try_divide(F.sum("volume"), F.sum("transactions")), 2).alias("average_volume"),
+        F.sum("transactions").alias("transaction_count"),
+        *(F.count_distinct(F.col(column)).alias(name) for name, column in names.items()),
     )
 
 

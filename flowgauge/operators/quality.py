@@ -7,6 +7,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +28,16 @@ def rule_violations(
 
 
 def rule_violation_examples(
-    table: FlowTable, category: str, expected: str, filters: Filters = None, limit: int = 10
+    table: FlowTable, category: str, expected: str, filters: Filters = None, limit: int = 10,
+    *, stored: bool = False,
 ) -> DataFrame:
-    """The earliest violations."""
+    """The earliest violations, or with ``stored`` the first ones in the order of the files."""
     roles = table.roles
     columns = [roles.time, roles.require("pipeline"), roles.require("location"),
                roles.require("sign")]
     rows = _category_rows(table, category, filters).where(_violates(table, expected))
+    if stored:
+        return first_stored(rows, columns, limit)
     return rows.select(*columns).orderBy(*columns).limit(limit)
 
 
@@ -63,9 +67,10 @@ def completeness(
 
 def completeness_examples(
     table: FlowTable, category: str, required: Sequence[str], mode: str = "all_missing",
-    filters: Filters = None, limit: int = 10,
+    filters: Filters = None, limit: int = 10, *, stored: bool = False,
 ) -> DataFrame:
-    """Incomplete rows with the list of fields they lack."""
+    """Incomplete rows with the list of fields they lack; with ``stored`` the first ones in the
+    order of the files."""
     names = [table.column(c) for c in required]
     keys = [table.roles.require("pipeline"), table.roles.require("location")]
     fields = F.filter(
@@ -75,6 +80,8 @@ def completeness_examples(
         lambda name: name.isNotNull(),
     )
     rows = _category_rows(table, category, filters).where(_lacks(table, required, mode))
+    if stored:
+        return first_stored(rows, [*keys, fields.alias("missing_fields")], limit)
     examples = rows.select(*keys, fields.alias("missing_fields"))
     return examples.orderBy(*keys, "missing_fields").limit(limit)
 
@@ -102,10 +109,11 @@ def entity_conflicts(
 
 def entity_conflict_details(
     table: FlowTable, entity: Sequence[str], dimensions: Sequence[str],
-    filters: Filters = None, limit: int = 10,
+    filters: Filters = None, limit: int = 10, max_values: int = 1000,
 ) -> DataFrame:
-    """Per dimension the first ``limit`` conflicting entities (by key) with their values as
-    a sorted array. ``entity_conflict_values`` lists all conflicts, one row per value."""
+    """Per dimension the first ``limit`` conflicting entities (by key) with the number of their
+    values and the first ``max_values`` of them as a sorted array. ``entity_conflict_values`` lists
+    all conflicts, one row per value."""
     keys = [table.column(c) for c in entity]
     names = [table.column(d) for d in dimensions]
     found = _conflicting(table, entity, names, filters)
@@ -118,9 +126,14 @@ def entity_conflict_details(
     # Only the values of these few entities are looked at.
     values = _entity_values(table, entity, dimensions, filters).where("value IS NOT NULL")
     chosen = values.join(examples.drop("position"), ["dimension", *keys])
-    return chosen.groupBy("dimension", *keys).agg(
-        F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list("value")).alias("values")
-    )
+    of_entity = Window.partitionBy("dimension", *keys)
+    # Numbered and counted in windows, which can spill; no list is longer than asked for.
+    placed = chosen.withColumns({
+        "place": F.row_number().over(of_entity.orderBy("value")),
+        "n_values": F.count(F.lit(1)).over(of_entity),
+    }).where(F.col("place") <= max_values)
+    return placed.groupBy("dimension", *keys, "n_values").agg(
+        F.array_sort(F.collect_list("value")).alias("values"))
 
 
 def entity_conflict_values(
@@ -133,6 +146,20 @@ def entity_conflict_values(
     return values.join(conflicts, ["dimension", *keys])
 
 
+def first_stored(rows: DataFrame, columns: Sequence[str | Column], limit: int) -> DataFrame:
+    """The first ``limit`` of ``rows`` as they lie in the files: files by name, then rows by their
+    number in the file; with ``position``, counted from 1. ``rows`` must be read from Parquet files,
+    with nothing but filters and projections in between. Each task keeps ``limit`` rows at most, so no
+    more than these are ever sent."""
+    try:
+        placed = rows.select(*columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("__place"))
+    except AnalysisException as error:
+        raise ValueError("only rows that come straight from Parquet files have a stored order") from error
+    first = placed.orderBy("__place").limit(limit)
+    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__place"))
+    return first.withColumn("position", position).drop("__place")
+
+
 def _category_rows(table: FlowTable, category: str, filters: Filters) -> DataFrame:
     column = table.roles.require("category")
     return apply_filters(table, table.raw.where(F.col(column) == category), filters)

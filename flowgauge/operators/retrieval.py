@@ -72,11 +72,11 @@ def average_quantity(table: FlowTable, *, approximate: bool = False) -> DataFram
     """Mean and median of the quantity per transaction; ``approximate`` takes the median from a
     sketch instead of the exact one."""
     rows = table.rows(dedup=True)
-    mean = F.avg(table.measure).alias("avg_quantity")
     if approximate:
+        mean = F.avg(table.measure).alias("avg_quantity")
         return rows.agg(mean, F.percentile_approx(table.measure, 0.5).alias("median_quantity"))
-    median = exact_quantiles(rows, table.measure, [0.5]).select("q0").scalar()
-    return rows.agg(mean).withColumn("median_quantity", median)
+    return exact_quantiles(rows, table.measure, [0.5], mean=True).select(
+        F.col("mean").alias("avg_quantity"), F.col("q0").alias("median_quantity"))
 
 
 def direction_counts(table: FlowTable) -> DataFrame:

@@ -19,6 +19,7 @@ from flowgauge.operators.anomaly import (
     anomaly_rolling,
     rolling_change,
 )
+from flowgauge.operators.near_join import near_join
 from flowgauge.table import FlowTable, with_keys
 
 Filters = Mapping[str, Any] | None
@@ -163,9 +164,11 @@ def partner_start_effect(
 def spike_codrop_cases(
     table: FlowTable, category: str, *, spike_by: str = "location", days: int = ROLLING_DAYS,
     z_threshold: float = 3.0, drop_pct: float = 30.0, cases: int = 3, filters: Filters = None,
+    within_days: int = 0,
 ) -> DataFrame:
-    """The strongest spikes in a category on days when another pipeline of the same region
-    dropped by more than ``drop_pct`` percent, each with all those drops.
+    """The strongest spikes in a category with another pipeline of the same region that dropped by
+    more than ``drop_pct`` percent on the day or up to ``within_days`` days around it, each with all
+    those drops and the distance in days.
 
     Spikes are first thinned to those with a drop at all and cut to the wanted number; only
     these few are paired with drops.
@@ -183,27 +186,29 @@ def spike_codrop_cases(
         F.col(pipeline).alias("drop_pipeline"),
         F.col("quantity").alias("drop_quantity"), "pct_change",
     )
-    elsewhere = (
-        (F.col(region) == F.col("drop_region"))
-        & (F.col("day") == F.col("drop_day"))
-        & (F.col(pipeline) != F.col("drop_pipeline"))
-    )
     strongest_first = [F.col("zscore").desc(), *keys, "day"]
     # Another pipeline has dropped there if the first or the last of the dropped ones is another:
     # one row per region and day meets the spikes.
     dropped = drops.groupBy("drop_region", "drop_day").agg(
         F.min("drop_pipeline").alias("first_drop"), F.max("drop_pipeline").alias("last_drop")
     )
-    same_day = (F.col(region) == F.col("drop_region")) & (F.col("day") == F.col("drop_day"))
     others = (F.col(pipeline) != F.col("first_drop")) | (F.col(pipeline) != F.col("last_drop"))
-    chosen = spikes.join(dropped, same_day).where(others).select(spikes.columns).orderBy(
+    around = {
+        "on": [(region, "drop_region")], "days": ("day", "drop_day"),
+        "before": within_days, "after": within_days,
+    }
+    chosen = near_join(spikes, dropped, extra=others, how="left_semi", **around).orderBy(
         *strongest_first
     ).limit(cases)
     numbered = chosen.withColumn(
         "case_no",
         F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*strongest_first)),
     )
-    return drops.join(numbered, elsewhere).drop("drop_region", "drop_day")
+    elsewhere = F.col(pipeline) != F.col("drop_pipeline")
+    paired = near_join(numbered, drops, extra=elsewhere, **around)
+    if not within_days:
+        return paired.drop("drop_region", "drop_day")
+    return paired.withColumn("days_apart", F.datediff("drop_day", "day")).drop("drop_region")
 
 
 def _of_direction(table: FlowTable, rows: DataFrame, transaction_type: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgauge.schema import FlowSchema
+from flowgauge.sources.files import data_files, state_of
 from flowgauge.table import FlowTable
 
 
@@ -42,29 +41,18 @@ def _record_path(distinct_path: str) -> str:
 
 
 def _described(raw: DataFrame) -> dict[str, str | int]:
-    """What tells one state of a table from another: its files with sizes and times, rows
+    """What tells one state of a table from another: its files with names, sizes and times, rows
     (from the footers of Parquet files) and types."""
-    files = "\n".join(sorted(raw.inputFiles()))
-    states = "\n".join(_states(raw.sparkSession, raw.inputFiles()))
+    names = raw.inputFiles()
+    files, state = state_of(data_files(raw.sparkSession, names)) if names else (0, "")
     return {
-        "files": hashlib.sha256(files.encode()).hexdigest(),
-        "file_states": hashlib.sha256(states.encode()).hexdigest(),
+        "files": files,
+        "file_states": state,
         "row_count": raw.count(),
         "types": ", ".join(f"{name} {kind}" for name, kind in sorted(raw.dtypes)),
     }
 
 
-def _states(spark: SparkSession, files: list[str]) -> list[str]:
-    """Name, size and modification time of each file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for name in sorted(files):
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    return found
-
-
 def _read(spark: SparkSession, path: str, schema: str | T.StructType | None) -> DataFrame:
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 

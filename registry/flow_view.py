@@ -28,7 +28,8 @@ SCHEMAS = {
 }
 
 
-def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flow_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The flow columns and, on request, ``more`` of the given tables' columns or the copy number."""
     def table(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +62,8 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.alias("longitude"),
         F.col("l_shipdate").alias("eff_gas_day"),
         F.col("l_quantity").alias("scheduled_quantity"),
-    ).drop("copy")
+        *(F.col(c) for c in more if c != "copy"),
+    ).drop(*({"copy"} - set(more)))
 
 
 FLOW_SCHEMA = (
@@ -78,8 +80,11 @@ def write_flow_table(spark: SparkSession, sf_dir: str) -> str:
     """Derive the flow table and its distinct copy once and write both to the shared folder:
     the joins and the whole-row shuffle are then not repeated by every analysis."""
     folder = f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
+    # The joins run once; what looks at the rows again, as ranging does, reads what they made.
+    flow_rows(spark, sf_dir).write.parquet(f"{folder}/joined")
+    joined = spark.read.schema(FLOW_SCHEMA).parquet(f"{folder}/joined")
     # Both copies are laid out by time, so that a year filter skips files.
-    ranged = flow_rows(spark, sf_dir).repartitionByRange("eff_gas_day", F.xxhash64("loc_name", "pipeline_name"))
+    ranged = joined.repartitionByRange("eff_gas_day", F.xxhash64("loc_name", "pipeline_name"))
     ranged.sortWithinPartitions("eff_gas_day").write.parquet(f"{folder}/rows")
     rows = spark.read.schema(FLOW_SCHEMA).parquet(f"{folder}/rows")
     write_distinct(as_flow_table(rows), f"{folder}/distinct")
@@ -110,6 +115,28 @@ def _state_of(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(found)
 
 
+def stored_flow(spark: SparkSession, sf_dir: str) -> FlowTable:
+    """The flow table in files whose order is known: by order, line, copy and the line's content."""
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    keys = ("l_orderkey", "l_linenumber", "copy", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    rows = flow_rows(spark, sf_dir, *keys)
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).write.parquet(folder)
+    return as_flow_table(spark.read.schema(FLOW_SCHEMA).parquet(folder))
+
+
+def text_time_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow table with text for times: ISO days, days in another format, none, and no days."""
+    rows = flow_rows(spark, sf_dir)
+    day, quantity = F.to_date("eff_gas_day"), F.col("scheduled_quantity")
+    return rows.withColumn(
+        "eff_gas_day",
+        F.when(quantity == 13, "n/a").when(quantity == 17, "  ").when(quantity == 18, F.lit(None))
+        .when(quantity == 19, F.date_format(day, "dd/MM/yyyy"))
+        .when(quantity == 23, F.concat(F.date_format(day, "yyyy"), F.lit("-02-30")))
+        .otherwise(F.date_format(day, "yyyy-MM-dd")),
+    )
+
+
 def flow_in_place(spark: SparkSession, sf_dir: str) -> FlowTable:
     """The flow table as a plan over the given tables, duplicates removed on the way."""
     return as_flow_table(flow_rows(spark, sf_dir))

@@ -714,6 +714,128 @@ def _questions() -> dict[str, str]:
     }
 
 
+def _grown() -> dict[str, str]:
+    early, late = "eff_gas_day < TIMESTAMP '1998-07-01'", "eff_gas_day >= TIMESTAMP '1998-01-01'"
+    return {
+        "distinct_rows_grown": _flow("SELECT * FROM flow"),
+        "distinct_growth_log": _flow(
+            "SELECT CAST(0 AS BIGINT) AS batch_no, "
+            f"(SELECT count(*) FROM raw WHERE {early}) AS rows_read, "
+            f"(SELECT count(*) FROM flow WHERE {early}) AS rows_new UNION ALL "
+            "SELECT CAST(1 AS BIGINT) AS batch_no, "
+            f"(SELECT count(*) FROM raw WHERE {late}) AS rows_read, "
+            f"(SELECT count(*) FROM flow WHERE {late} AND NOT {early}) AS rows_new"
+        ),
+    }
+
+
+# The flow rows with what they are ordered by: order, line, copy and the line's content.
+_STORED = """stored AS (
+  SELECT f.*, l.*, copy FROM lineitem l
+  JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey,
+  LATERAL (SELECT s_name AS pipeline_name, p_name AS loc_name, p_type AS category_short,
+    l_shipdate AS eff_gas_day, CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS rec_del_sign,
+    l_linenumber <= 5 AS no_partner_pipeline, l_orderkey % 8 = 0 OR l_orderkey % 16 = 1 AS no_partner) f,
+  LATERAL (SELECT unnest(CASE WHEN l_orderkey % 59 = 0 THEN [1, 2] ELSE [1] END) AS copy)
+  WHERE category_short = 'SMALL'
+)"""
+
+
+def _text_times() -> dict[str, str]:
+    text = (
+        f"CASE WHEN {Q} = 13 THEN 'n/a' WHEN {Q} = 17 THEN '  ' WHEN {Q} = 18 THEN NULL "
+        f"WHEN {Q} = 19 THEN strftime(eff_gas_day, '%d/%m/%Y') "
+        f"WHEN {Q} = 23 THEN strftime(eff_gas_day, '%Y') || '-02-30' ELSE strftime(eff_gas_day, '%Y-%m-%d') END"
+    )
+    text_rows = f"text_rows AS (SELECT * REPLACE ({text} AS eff_gas_day) FROM raw)"
+    good = (
+        f"parsed AS (SELECT * REPLACE (CASE WHEN {Q} NOT IN (17, 18) THEN eff_gas_day END AS eff_gas_day) "
+        f"FROM raw WHERE {Q} NOT IN (13, 23))"
+    )
+    return {
+        "text_times_daily": _flow(
+            f"SELECT {DAY} AS period, sum({Q}) AS value FROM (SELECT DISTINCT * FROM parsed) "
+            "WHERE eff_gas_day IS NOT NULL GROUP BY 1", good),
+        "text_times_rows": _flow("SELECT * FROM parsed", good),
+        "text_times_quarantined": _flow(f"SELECT * FROM text_rows WHERE {Q} IN (13, 23)", text_rows),
+        "text_times_counts": _flow(
+            "SELECT unnest(['rows', 'parsed', 'missing', 'failed']) AS name, unnest([count(*), "
+            f"count(*) FILTER ({Q} NOT IN (13, 17, 18, 23)), count(*) FILTER ({Q} IN (17, 18)), "
+            f"count(*) FILTER ({Q} IN (13, 23))]) AS n FROM raw"),
+    }
+
+
+def _robust() -> dict[str, str]:
+    def sketches(period: str) -> str:
+        names = ("active_locations", "active_pipelines", "active_partners")
+        return _flow(
+            "SELECT period, TRUE AS same_volume, " + ", ".join(names) + ", "
+            + ", ".join(f"TRUE AS {n}_within" for n in names) + " FROM activity", _activity(period))
+
+    place = (
+        "row_number() OVER (ORDER BY l_orderkey, l_linenumber, copy, l_partkey, l_suppkey, l_shipdate, l_quantity)"
+    )
+    profile = ", ".join(f"coalesce(sum({Q}) FILTER (month(eff_gas_day) = {m}), 0) AS m{m}" for m in range(1, 13))
+    square = " + ".join(f"(a.m{m} - b.m{m}) ** 2" for m in range(1, 13))
+    drops = (
+        "drops AS MATERIALIZED (SELECT pipeline_name, state_abb, day, quantity AS drop_quantity, "
+        "(quantity - roll_mean) / nullif(roll_mean, 0) * 100 AS pct FROM raw_rolled "
+        "WHERE filled >= 22 AND (quantity - roll_mean) / nullif(roll_mean, 0) * 100 < -30)"
+    )
+    near = (
+        "d.state_abb = s.state_abb AND d.pipeline_name <> s.pipeline_name "
+        "AND d.day BETWEEN s.day - INTERVAL 2 DAY AND s.day + INTERVAL 2 DAY"
+    )
+    return {
+        **_text_times(),
+        "monthly_sketches": sketches(MONTH),
+        "quarterly_sketches": sketches(QUARTER),
+        "rule_violations_stored_order": (
+            f"WITH {_STORED} SELECT eff_gas_day, pipeline_name, loc_name, rec_del_sign, "
+            f"CAST({place} AS INTEGER) AS position FROM stored WHERE rec_del_sign <> 1 "
+            "QUALIFY position <= 25"
+        ),
+        "completeness_stored_order": (
+            f"WITH {_STORED} SELECT pipeline_name, loc_name, concat_ws('|', CASE WHEN no_partner_pipeline "
+            "THEN 'connecting_pipeline' END, CASE WHEN no_partner THEN 'connecting_entity' END) "
+            f"AS missing_fields, CAST({place} AS INTEGER) AS position FROM stored "
+            "WHERE no_partner_pipeline OR no_partner QUALIFY position <= 25"
+        ),
+        "silhouette_by_state": _flow(
+            "SELECT pipeline_name, state_abb, round(own, 6) AS own_distance, round(other, 6) AS other_distance, "
+            "CASE WHEN n = 1 OR greatest(own, other) = 0 THEN 0.0 ELSE round((other - own) / greatest(own, other), 6) END "
+            "AS silhouette FROM scored",
+            f"profiles AS (SELECT pipeline_name, min(state_abb) AS state_abb, {profile} FROM flow "
+            f"WHERE {IN_1997} GROUP BY 1 HAVING sum({Q}) <> 0)",
+            f"sums AS (SELECT a.pipeline_name, a.state_abb, b.state_abb AS met, count(*) AS n, sum(sqrt({square})) AS total "
+            "FROM profiles a, profiles b GROUP BY 1, 2, 3)",
+            "scored AS (SELECT pipeline_name, state_abb, max(n) FILTER (met = state_abb) AS n, "
+            "max(total / greatest(n - 1, 1)) FILTER (met = state_abb) AS own, "
+            "min(total / n) FILTER (met <> state_abb) AS other FROM sums GROUP BY 1, 2)",
+        ),
+        "spike_codrop_near": _flow(
+            "SELECT CAST(case_no AS INTEGER) AS case_no, s.pipeline_name, s.state_abb, s.day, "
+            "spike_quantity, round(z, 6) AS zscore, d.pipeline_name AS drop_pipeline, "
+            "drop_quantity, round(d.pct, 6) AS pct_change, d.day AS drop_day, "
+            "CAST(date_diff('day', s.day, d.day) AS INTEGER) AS days_apart "
+            f"FROM chosen s JOIN drops d ON {near}",
+            _daily("pipeline_name, state_abb", where="category_short = 'SMALL'"),
+            _rolling("pipeline_name, state_abb"),
+            "spikes AS (SELECT pipeline_name, state_abb, day, quantity AS spike_quantity, "
+            "(quantity - roll_mean) / nullif(roll_std, 0) AS z FROM rolled WHERE filled >= 22 "
+            "AND (quantity - roll_mean) / nullif(roll_std, 0) > 2)",
+            f"raw_daily AS (SELECT pipeline_name, state_abb, {DAY} AS day, sum({Q}) AS quantity "
+            "FROM raw GROUP BY ALL)",
+            _rolling("pipeline_name, state_abb", source="raw_daily", name="raw_rolled"),
+            drops,
+            "chosen AS MATERIALIZED (SELECT s.*, row_number() OVER (ORDER BY z DESC, pipeline_name, "
+            f"state_abb, day) AS case_no FROM spikes s WHERE EXISTS (SELECT 1 FROM drops d WHERE {near}) "
+            "QUALIFY case_no <= 10)",
+        ),
+    }
+
+
 def _event_queries() -> dict[str, str]:
     window = "(PARTITION BY event_type ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
     return {
@@ -743,7 +865,8 @@ def _event_queries() -> dict[str, str]:
 
 def oracle_statements() -> dict[str, str]:
     statements = {
-        **_retrieval(), **_patterns(), **_quality(), **_questions(), **_event_queries()
+        **_retrieval(), **_patterns(), **_quality(), **_questions(), **_robust(), **_grown(),
+        **_event_queries()
     }
     return {
         **statements,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 from threading import Lock
@@ -10,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge import FlowTable
+from flowgauge.functions.sketches import relative_error
 from flowgauge.operators import anomaly, clustering, patterns, profile, quality, retrieval
 from flowgauge.plans import questions
-from flowgauge.sources import table_size
-from registry.flow_view import events, flow, flow_in_place
+from flowgauge.session import shared_folder
+from flowgauge.sources import DistinctStore, ParsedTimes, parse_times, table_size
+from registry.flow_view import FLOW_SCHEMA, events, flow, flow_in_place, stored_flow, text_time_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 YEAR = 1997
 YEARS = (1995, 2001)
 CUTOFF = "1998-07-01"
+SECOND_PART = "1998-01-01"
 STATE = "NATION_3"
 PIPELINE = "Supplier#000000003"
 CATEGORY = "SMALL"
@@ -78,6 +82,12 @@ def _clustering(spark: SparkSession, sf_dir: str) -> clustering.Clustering:
     return _fitted[key]
 
 
+def forget_fits() -> None:
+    """Let the next cluster query fit again."""
+    with _fit_lock:
+        _fitted.clear()
+
+
 _RETRIEVAL: dict[str, Query] = {
     "table_size": _on_flow(table_size),
     "profile_columns": _on_flow(profile.profile_columns),
@@ -343,6 +353,75 @@ _QUESTIONS: dict[str, Query] = {
     ),
 }
 
+def _grown(spark: SparkSession, sf_dir: str) -> DistinctStore:
+    """The distinct copy of a table that came in two parts; the second repeats rows of the first."""
+    folder = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
+    rows = flow(spark, sf_dir).raw
+    store = DistinctStore(spark, f"{folder}/rows", f"{folder}/store", schema=FLOW_SCHEMA)
+    rows.where(F.col("eff_gas_day") < CUTOFF).write.parquet(f"{folder}/rows")
+    store.grow()
+    rows.where(F.col("eff_gas_day") >= SECOND_PART).write.mode("append").parquet(f"{folder}/rows")
+    store.grow()
+    return store
+
+
+def _text_times(spark: SparkSession, sf_dir: str) -> ParsedTimes:
+    folder = f"{shared_folder(spark)}/times-{uuid.uuid4().hex}"
+    return parse_times(text_time_rows(spark, sf_dir), folder, formats=["dd/MM/yyyy"])
+
+
+def _text_time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _text_times(spark, sf_dir).counts
+    return spark.createDataFrame([tuple(counts.items())[k] for k in range(len(counts))], "name string, n long")
+
+
+def _sketch_check(grain: str) -> Query:
+    """Exact numbers of active entities, and whether the estimates from daily sketches are within
+    three standard errors."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = flow(spark, sf_dir)
+        analysis = patterns.monthly_trends if grain == "monthly" else patterns.quarterly_activity
+        names = ("active_locations", "active_pipelines", "active_partners")
+        exact = analysis(table, last=None).select("period", "total_volume", *names)
+        near = analysis(table, last=None, approximate=True).select(
+            "period", F.col("total_volume").alias("volume"), *(F.col(n).alias(f"near_{n}") for n in names))
+        bound = 3 * relative_error()
+        return exact.join(near, "period").select(
+            "period", (F.col("total_volume") == F.col("volume")).alias("same_volume"), *names,
+            *((F.abs(F.col(f"near_{n}") - F.col(n)) <= F.ceil(F.col(n) * bound)).alias(f"{n}_within") for n in names),
+        )
+    return query
+
+
+_ROBUST: dict[str, Query] = {
+    "text_times_daily": lambda spark, sf_dir: retrieval.time_series(_text_times(spark, sf_dir).table),
+    "text_times_rows": lambda spark, sf_dir: _text_times(spark, sf_dir).table.raw,
+    "text_times_quarantined": lambda spark, sf_dir: _text_times(spark, sf_dir).quarantine,
+    "text_times_counts": _text_time_counts,
+    "monthly_sketches": _sketch_check("monthly"),
+    "quarterly_sketches": _sketch_check("quarterly"),
+    "rule_violations_stored_order": lambda spark, sf_dir: quality.rule_violation_examples(
+        stored_flow(spark, sf_dir), CATEGORY, "receipts", limit=25, stored=True
+    ),
+    "completeness_stored_order": lambda spark, sf_dir: _joined(quality.completeness_examples(
+        stored_flow(spark, sf_dir), CATEGORY, PARTNERS, "any_missing", limit=25, stored=True
+    ), "missing_fields"),
+    "silhouette_by_state": _on_flow(lambda t: _rounded(
+        clustering.profile_silhouettes(t, "pipeline", "state", filters={"year": YEAR}),
+        "own_distance", "other_distance", "silhouette",
+    )),
+    "spike_codrop_near": _on_flow(lambda t: _rounded(
+        questions.spike_codrop_cases(
+            t, CATEGORY, spike_by="pipeline", z_threshold=2.0, within_days=2, cases=10),
+        "zscore", "pct_change",
+    )),
+}
+
+_GROWN: dict[str, Query] = {
+    "distinct_rows_grown": lambda spark, sf_dir: _grown(spark, sf_dir).rows(),
+    "distinct_growth_log": lambda spark, sf_dir: _grown(spark, sf_dir).log().drop("files", "buckets_touched"),
+}
+
 _IN_PLACE: dict[str, Query] = {
     "distinct_rows": _in_place(lambda t: t.rows(dedup=True)),
     "profile_shape_in_place": _in_place(profile.profile_shape),
@@ -370,4 +449,4 @@ _EVENTS: dict[str, Query] = {
 
 @cache
 def all_queries() -> dict[str, Query]:
-    return {**_RETRIEVAL, **_PATTERNS, **_QUALITY, **_QUESTIONS, **_IN_PLACE, **_EVENTS}
+    return {**_RETRIEVAL, **_PATTERNS, **_QUALITY, **_QUESTIONS, **_ROBUST, **_GROWN, **_IN_PLACE, **_EVENTS}

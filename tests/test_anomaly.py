@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import datetime as dt
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rows import day, dicts
 from flowgauge.operators import anomaly
+from flowgauge.operators.near_join import near_join
 from flowgauge.plans import questions
 
 
@@ -133,3 +138,70 @@ def test_winter_against_summer(flow_of):
     assert tests["TX"]["significance"] == "Significant" and tests["TX"]["p_value"] < 1e-10
     assert tests["PA"]["significance"] == "Insufficient data"
     assert tests["PA"]["p_value"] is None
+
+
+# ---- sliding quantiles and near days ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("frame", ["rows", "days"])
+@pytest.mark.parametrize("include_current", [True, False])
+def test_sliding_quantile_is_that_of_each_frame(flow_of, frame, include_current):
+    draw = random.Random(5)
+    days, width, rows = sorted(draw.sample(range(200), 90)), 12, []
+    for entity in ("L1", "L2"):
+        rows += [{"loc_name": entity, "eff_gas_day": day(n), "scheduled_quantity": float(draw.choice([1, 2, 2, 5, 9]))}
+                 for n in days]
+    expected = {}
+    for entity in ("L1", "L2"):
+        own = [(r["eff_gas_day"], r["scheduled_quantity"]) for r in rows if r["loc_name"] == entity]
+        for k, (at, value) in enumerate(own):
+            last = k + 1 if include_current else k
+            if frame == "rows":
+                window = [v for _, v in own[max(0, last - width) : last]]
+            else:
+                reach = width - 1 if include_current else width
+                window = [v for d, v in own[:last] if (at - d).days <= reach]
+            if len(window) >= 5 and value > np.quantile(window, 0.8):
+                expected[entity, str(at.date())] = np.quantile(window, 0.8)
+    made = dicts(anomaly.anomaly_percentile(
+        flow_of(rows), days=width, percentile=80.0, frame=frame, include_current=include_current))
+    assert {(r["loc_name"], str(r["day"])): r["roll_percentile"] for r in made} == pytest.approx(expected)
+    assert expected
+
+
+def test_near_join_finds_every_pair_once(spark):
+    draw = random.Random(9)
+    base = dt.date(2024, 1, 1)
+    # One key holds most of the rows.
+    left = [(k, draw.choice(["hot", "hot", "hot", "b", None]), base + dt.timedelta(draw.randrange(60))) for k in range(80)]
+    right = [(k, draw.choice(["hot", "hot", "hot", "b", None]), base + dt.timedelta(draw.randrange(-9, 70))) for k in range(90)]
+    left.append((999, "hot", None))
+    a = spark.createDataFrame(left, "i long, key string, at date")
+    b = spark.createDataFrame(right, "j long, other string, there date")
+    for before, after in ((0, 0), (2, 2), (0, 5), (3, 0)):
+        expected = sorted(
+            (i, j) for i, k, d in left for j, o, e in right
+            if k is not None and k == o and d is not None and -before <= (e - d).days <= after)
+        pairs = near_join(a, b, [("key", "other")], ("at", "there"), before, after)
+        assert sorted((r.i, r.j) for r in pairs.collect()) == expected
+        odd = near_join(a, b, [("key", "other")], ("at", "there"), before, after,
+                        extra=F.col("j") % 2 == 1, how="left_semi")
+        assert sorted(r.i for r in odd.collect()) == sorted({i for i, j in expected if j % 2})
+    with pytest.raises(ValueError):
+        near_join(a, a, [("key", "key")], ("at", "at"))
+
+
+def test_drops_up_to_some_days_around_a_spike(flow_of):
+    rows = []
+    for pipeline, category, special in (("A", "Interconnect", {29: 100.0}), ("B", "LDC", {31: 1.0}), ("C", "LDC", {26: 1.0})):
+        rows += [
+            {"pipeline_name": pipeline, "loc_name": f"at {pipeline}", "category_short": category,
+             "eff_gas_day": day(n), "scheduled_quantity": special.get(n, 10.0 + n % 2)}
+            for n in range(34)
+        ]
+    table = flow_of(rows)
+    assert dicts(questions.spike_codrop_cases(table, "Interconnect")) == []
+    near = dicts(questions.spike_codrop_cases(table, "Interconnect", within_days=2))
+    assert [(r["pipeline_name"], r["drop_pipeline"], r["days_apart"]) for r in near] == [("A", "B", 2)]
+    wide = dicts(questions.spike_codrop_cases(table, "Interconnect", within_days=3))
+    assert sorted((r["drop_pipeline"], r["days_apart"]) for r in wide) == [("B", 2), ("C", -3)]

@@ -6,13 +6,15 @@ import re
 
 import pytest
 
-from flowgauge.operators import anomaly, quality, retrieval
+from flowgauge.operators import anomaly, patterns, quality, retrieval
+from flowgauge.plans import questions
 from registry.flow_view import FLOW_SCHEMA, flow, flow_in_place
 from registry.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 EAGER = {"cluster_assignments", "cluster_statistics", "cluster_quality", "cluster_checks"}
-WITH_P_VALUE = {"before_after_ttest", "winter_summer_ttest"}
+# Sliding quantiles and silhouettes; all else runs in the JVM.
+WITH_ARROW = {"anomaly_percentile_location", "anomaly_percentile_total", "silhouette_by_state"}
 
 
 def plan(df) -> str:
@@ -20,11 +22,11 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - EAGER))
-def test_no_cross_joins_and_no_python_but_the_p_value(spark, name):
+def test_no_cross_joins_and_no_python_but_where_named(spark, name):
     text = plan(all_queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert ("ArrowEvalPython" in text) == (name in WITH_P_VALUE)
-    assert "BatchEvalPython" not in text
+    assert ("MapInArrow" in text) == (name in WITH_ARROW)
+    assert "EvalPython" not in text
 
 
 @pytest.mark.parametrize("name", ["net_flows_by_pipeline", "top_locations_sum",
@@ -74,3 +76,22 @@ def test_rolling_windows_run_on_daily_rows(spark):
 def test_written_distinct_copy_saves_the_whole_row_shuffle(spark):
     text = plan(retrieval.top_by_volume(flow(spark, SF_DIR)))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_sketches_make_no_copies_of_rows(spark):
+    table = flow(spark, SF_DIR)
+    for analysis in (patterns.monthly_trends, patterns.quarterly_activity):
+        assert "Expand" not in plan(analysis(table, approximate=True))
+        exact = plan(analysis(table))
+        # The copies are made of rows that are brought down already.
+        assert exact.index("Expand") < exact.rindex("partial_sum")
+
+
+def test_near_drops_meet_by_equal_bins(spark):
+    text = plan(questions.spike_codrop_cases(flow(spark, SF_DIR), "SMALL", spike_by="pipeline", within_days=2))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "__left_bin" in text
+
+
+def test_stored_order_is_cut_before_the_shuffle(spark):
+    text = plan(quality.rule_violation_examples(flow(spark, SF_DIR), "SMALL", "receipts", stored=True))
+    assert "TakeOrderedAndProject" in text and "row_index" in text

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -31,25 +32,38 @@ def closed_form_p(t: float, df: int) -> float:
     return 1 - sin * total
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.floats(0, 6), st.integers(1, 400))
-def test_p_value_matches_closed_form(t, df):
-    p = stats.two_sided_p(np.array([t]), np.array([df]))[0]
-    assert p == pytest.approx(closed_form_p(t, df), abs=1e-12)
+def p_values(spark, pairs):
+    """By the columns that the analyses use, in one query."""
+    df = spark.createDataFrame([(float(t), n) for t, n in pairs], "t DOUBLE, df BIGINT")
+    return [r.p for r in df.select(stats.p_value(F.col("t"), F.col("df")).alias("p")).collect()]
 
 
-def test_p_value_known_points():
-    p = stats.two_sided_p(np.array([2.228, 0.0, -2.0, 12.706]), np.array([10, 5, 8, 1]))
+def test_p_value_matches_closed_form(spark):
+    draw = random.Random(7)
+    pairs = [(draw.uniform(0, 6), draw.randint(1, 400)) for _ in range(400)]
+    pairs += [(t, df) for t in (1e-9, 1e-3, 1.0, 1.9) for df in (1, 2, 3, 4, 5, 10, 400, 9999)]
+    for (t, df), p in zip(pairs, p_values(spark, pairs), strict=True):
+        assert p == pytest.approx(closed_form_p(t, df), abs=1e-12), (t, df)
+
+
+def test_p_value_known_points(spark):
+    p = p_values(spark, [(2.228, 10), (0.0, 5), (-2.0, 8), (12.706, 1)])
     assert p == pytest.approx([0.05, 1.0, 0.08052, 0.05], abs=2e-5)
 
 
-def test_small_p_values_keep_their_size():
-    p = stats.two_sided_p(np.array([40.0, 400.0]), np.array([30, 30]))
+def test_small_p_values_keep_their_size(spark):
+    p = p_values(spark, [(40.0, 30), (400.0, 30)])
     assert 0 < p[1] < p[0] < 1e-25
 
 
-def test_p_value_of_missing_is_missing():
-    assert np.isnan(stats.two_sided_p(np.array([np.nan]), np.array([5.0]))).all()
+def test_p_value_of_many_periods(spark):
+    # Near the normal distribution: 0.0455 beyond two deviations.
+    assert p_values(spark, [(2.0, 1_000_000)]) == pytest.approx([0.0455], abs=1e-4)
+
+
+def test_p_value_of_missing_is_missing(spark):
+    df = spark.createDataFrame([(None, 5), (1.0, None), (1.0, 0)], "t DOUBLE, df BIGINT")
+    assert [r.p for r in df.select(stats.p_value(F.col("t"), F.col("df")).alias("p")).collect()] == [None] * 3
 
 
 def test_pearson_of_constant_is_null(spark):
