@@ -217,11 +217,12 @@ def prefix_trie(
     leaves = sequences.join(rows.where("proper").select("name").distinct(), "name", "left_anti")
     is_leaf = leaves.select(F.col("conv_id").alias("conv"), F.lit(1).cast("long").alias("leaf"))
     shared = rows.groupBy("name").agg(F.min("conv").alias("conv_id"), F.sum("weight").alias("n_convs"))
-    # A node's own figures are entered once, in the row of the sequence with its smallest member.
-    first = F.col("conv") == F.col("conv_id")
-    entered = rows.join(shared, "name").join(is_leaf, "conv", "left").select(
-        "conv", "depth", "name", "parent", "weight", "conv_id", F.coalesce("leaf", F.lit(0)).alias("leaf"),
-        F.when(first, (F.col("n_convs") - 1) * F.col("words")).otherwise(0).alias("saved"))
+    # A node's own figures are entered once, in the row of the sequence with its smallest member: so a
+    # prefix of a third of all sequences meets one row here.
+    own = shared.select("name", F.col("conv_id").alias("conv"), "n_convs")
+    entered = rows.join(own, ["conv", "name"], "left").join(is_leaf, "conv", "left").select(
+        "conv", "depth", "name", "parent", "weight", F.coalesce("leaf", F.lit(0)).alias("leaf"),
+        F.coalesce((F.col("n_convs") - 1) * F.col("words"), F.lit(0)).alias("saved"))
     nodes = written(_suffix_sums(entered, ("saved",)).groupBy("name").agg(
         F.min("conv").alias("conv_id"), F.sum("weight").alias("n_convs"), F.sum("leaf").alias("n_leaves"),
         F.sum("saved").alias("saved_tokens"), F.first("parent").alias("parent")))
