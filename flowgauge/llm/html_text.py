@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -62,14 +63,14 @@ CLOSES_P = frozenset(
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th article section div main body html ul ol nav aside".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
-)
-_ATTRIBUTE = re.compile(
-    r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE
-)
+#: First parts of names (before a hyphen or underscore) that speak for readers' comments.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes up to the end of the tag; a > between quotes does not end it.
+_INSIDE = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
+_FIRST_PART = re.compile("[^-_]*").match
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
@@ -89,59 +90,106 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
         return False, False
     named = False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+        value, name = "".join(values).lower(), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true":
+            return True, False
+        if name == "style" and "display:none" in value.replace(" ", ""):
             return True, False
         if name in ("class", "id", "role"):
-            named = named or not BOILERPLATE.isdisjoint(value.lower().split())
+            named = named or any(n in BOILERPLATE or _FIRST_PART(n)[0] in COMMENTS for n in value.split())
     return False, named
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, end tag, start tag, attributes) of comments, declarations and tags; names of the
+    kind that it is not are empty. Each character is looked at a bounded number of times: a < that
+    begins nothing, or that no > follows, is text. A tag with a quote that never closes ends at the
+    next >."""
+    at = 0
+    while (less := html.find("<", at)) >= 0:
+        mark = html[less + 1 : less + 2]
+        if html.startswith("<!--", less):
+            end = html.find("-->", less + 4)
+            yield less, (at := end + 3 if end >= 0 else len(html)), "", "", ""
+            continue
+        name = _NAME.match(html, less + 2 if mark == "/" else less + 1)
+        if name is None and mark not in ("!", "?"):
+            at = less + 1
+            continue
+        close = html.find(">", name.end() if name else less + 2)
+        if close < 0:
+            # No tag ends from here on; a comment may still begin.
+            at = html.find("<!--", less + 1)
+            if at < 0:
+                return
+            continue
+        if name is None or mark == "/":
+            yield less, (at := close + 1), name[0] if name else "", "", ""
+            continue
+        inside = _INSIDE.match(html, name.end()).end()
+        if html.startswith(">", inside):
+            close = inside
+        yield less, (at := close + 1), "", name[0], html[name.end() : close]
+
+
 def parse(html: str) -> Node:
     """A forgiving tree of the page: unknown end tags are ignored, open elements are closed."""
     root = node = Node("#root", None, False)
+    is_open: Counter[str] = Counter()
     at = 0
-    while (less := html.find("<", at)) >= 0 and (found := _TOKEN.search(html, less)) is not None:
-        if found.start() > at:
-            node.items.append(unescape(html[at : found.start()]))
-        at = found.end()
-        closing, opening, attributes = found.groups()
+
+    def back_to(outer: Node) -> Node:
+        up = node
+        while up is not outer:
+            is_open[up.tag] -= 1
+            up = up.parent
+        return outer
+
+    for start, end, closing, opening, attributes in tokens(html):
+        if start < at:
+            continue  # inside of an element that is no markup
+        if start > at:
+            node.items.append(unescape(html[at:start]))
+        at = end
         if closing:
             tag, up = closing.lower(), node
+            if not is_open[tag]:
+                continue
             while up is not root and up.tag != tag and not (up.tag in SCOPE and tag not in SCOPE):
                 up = up.parent
             if up is not root and up.tag == tag:
-                node = up.parent
+                node = back_to(up.parent)
         elif opening:
             tag = opening.lower()
-            node = _close_before(node, tag, root)
+            node = back_to(_close_before(node, tag, root, is_open))
             child = Node(tag, node, *_judged(tag, attributes))
             node.items.append(child)
             if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else len(html)
+                found = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
+                at = found.end() if found else len(html)
                 continue
+            is_open[tag] += 1
             node = child
     if at < len(html):
         node.items.append(unescape(html[at:]))
     return root
 
 
-def _close_before(node: Node, tag: str, root: Node) -> Node:
-    if tag in CLOSES_P:
+def _close_before(node: Node, tag: str, root: Node, is_open: Counter[str]) -> Node:
+    if tag in CLOSES_P and is_open["p"]:
         up = node
         while up is not root and up.tag not in SCOPE and up.tag != "p":
             up = up.parent
         if up.tag == "p":
             node = up.parent
-    closed = CLOSED_BY.get(tag)
-    if closed:
+    closed = CLOSED_BY.get(tag, ())
+    if left := sum(is_open[c] for c in closed):
         up, outer = node, None
-        while up is not root and up.tag not in ("ul", "ol", "dl", "table", "select"):
+        while left and up.tag not in ("ul", "ol", "dl", "table", "select"):
             if up.tag in closed:
-                outer = up
+                outer, left = up, left - 1
             up = up.parent
         if outer is not None:
             node = outer.parent
@@ -257,10 +305,10 @@ def _chosen(body: Node, dense: Callable[[Node], bool]) -> list[Node]:
         reaches = dense(node)
         if reaches and node.best is not None and node not in best:
             best.add(node.best)
-            for up in _path(node.best, node):
-                if up in way:
-                    break
+            up = node.best
+            while up not in way:
                 way.add(up)
+                up = up if up is node else up.parent
         if node in best or node.tag in HEADINGS or node.best is None:
             chosen.append(node)
             continue
