@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import ALNUM, LOWER, slices, span_hashes, text_bytes, words
+from flowgauge.llm.common import ALNUM, LOWER, slices, word_hashes, text_bytes, words
 from flowgauge.llm.fm_index import FmIndex
 
 #: Bytes of benchmark text that are broadcast at a time; more comes in further blocks.
@@ -43,7 +44,7 @@ def phrases_of(rows: list[tuple[object, str | None]], width: int) -> Phrases | N
     starts, ends, item = words(data, offsets, ALNUM)
     if not len(starts):
         return None
-    hashes = span_hashes(data, starts, ends)
+    hashes = word_hashes(data, starts, ends)
     vocabulary, number = np.unique(hashes, return_inverse=True)
     names = ["null" if i is None else str(i) for i, _ in rows]
     ids = {name: k for k, name in enumerate(sorted(set(names)))}
@@ -113,7 +114,7 @@ def _scan(texts: DataFrame, phrases: Phrases) -> DataFrame:
         for batch, data, offsets in slices(batches):
             data = LOWER[data]
             starts, ends, doc = words(data, offsets, ALNUM)
-            hashes = span_hashes(data, starts, ends)
+            hashes = word_hashes(data, starts, ends)
             word, window = occurrences(hashes, doc, block)
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             items: list[list[str]] = [[] for _ in range(batch.num_rows)]
@@ -195,13 +196,19 @@ def find_contamination(
     are not read. The benchmark is read in blocks of about ``block_bytes`` of text, each broadcast
     on its own; with one block there is no shuffle, with more one by document.
     """
-    total = benchmark.agg(F.sum(F.octet_length(item_text_col))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
     texts = documents.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
         F.xxhash64(text_col).alias("text_hash"),
     )
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    found = _find(texts, items, width, block_bytes)
+    return found.select(F.col("id").alias(id_col), "n_words", "hits", "items")
+
+
+def _find(texts: DataFrame, items: DataFrame, width: int, block_bytes: int) -> DataFrame:
+    """(id, text_hash, n_words, hits, items) of each row of ``texts`` (id, text, text_hash)."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
     if blocks > 1:
         items = items.distinct()
     # By the text too, so that many rows of one item are spread; items are made distinct later.
@@ -211,29 +218,34 @@ def find_contamination(
         rows = [(r[0], r[1]) for r in items.where(dealt == k).collect()]
         phrases = phrases_of(rows, width)
         scans.append(_scan(texts, phrases or _no_phrases(width)))
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
-    if blocks > 1:
-        found = _merge_blocks(found, blocks)
-    return found.select(F.col("id").alias(id_col), "n_words", "hits", "items")
+    found = reduce(DataFrame.unionByName, scans)
+    return _merge_blocks(found, blocks) if blocks > 1 else found
 
 
 def remove_contamination(
-    documents: DataFrame, benchmark: DataFrame, width: int = 10, *, id_col: str = "doc_id",
-    text_col: str = "text", **columns: str,
+    documents: DataFrame, benchmark: DataFrame, width: int = 10, *, text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``documents`` with each run of hit words replaced by one space; other columns as they are.
-    Ids must be unique; rows without an id keep their text."""
-    found = find_contamination(documents, benchmark, width, id_col=id_col, text_col=text_col, **columns)
-    hits = found.where((F.size("hits") > 0) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_hit_id"), F.col("hits").alias("_hits"))
+
+    What goes depends on a row's text alone: rows that share an id, or have none, are cleaned each by
+    its own text, and there are as many rows after as before. Hits are joined back by the text's
+    SHA-256, from one row for each distinct text that has any.
+    """
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    # The two halves of 128 bits take the places of id and hash in the scan.
+    halves = [F.conv(F.substring(key, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    texts = documents.select(halves[0].alias("id"), F.col(text_col).alias("text"), halves[1].alias("text_hash"))
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    hits = _find(texts, items, width, block_bytes).where(F.size("hits") > 0).groupBy("id", "text_hash").agg(
+        F.any_value("hits").alias("_hits"))
+    hits = hits.withColumnsRenamed({"id": "_hit_a", "text_hash": "_hit_b"})
     raw = F.col(text_col).cast("binary")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("_hits.end"))
     ends = F.concat(F.col("_hits.start"), F.array(F.octet_length(text_col).cast("long")))
     # Runs begin and end with words, so what is left between them is whole characters.
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
-    joined = documents.join(hits, F.col(id_col) == F.col("_hit_id"), "left")
+    joined = documents.join(hits, (halves[0] == F.col("_hit_a")) & (halves[1] == F.col("_hit_b")), "left")
     cleaned = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, " "))
     return joined.withColumn(text_col, cleaned).select(documents.columns)
 

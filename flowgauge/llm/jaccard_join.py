@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import (
-    LOWER, NOT_SPACE, as_long, maybe_in, membership_bitmap, mix, slices, span_hashes,
+    LOWER, NOT_SPACE, as_long, maybe_in, membership_bitmap, mix, slices, word_hashes,
     words, written,
 )
 from flowgauge.llm.components import components
@@ -77,7 +77,7 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.
     sequence is the one shingle; no words: empty."""
     data = LOWER[data]
     starts, ends, doc = words(data, offsets, NOT_SPACE)
-    one = span_hashes(data, starts, ends)
+    one = word_hashes(data, starts, ends)
     first = np.searchsorted(doc, np.arange(len(offsets)))
     grams = np.zeros(max(len(one) - width + 1, 0), np.uint64)
     for k in range(width):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import LOWER, NOT_SPACE, slices, span_hashes, words, written
+from flowgauge.llm.common import LOWER, NOT_SPACE, slices, word_hashes, words, written
 
 MEASURES = (
     "log_words", "word_length", "symbols", "upper", "exclaimed", "digits", "other_letters", "lines",
@@ -57,7 +57,7 @@ def text_measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     upper, lower = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz")
     high = np.zeros(256, np.int32)
     high[0xC0:] = 1
-    names = span_hashes(LOWER[data], starts, ends)
+    names = word_hashes(LOWER[data], starts, ends)
     distinct, top = np.zeros(n_docs), np.zeros(n_docs)
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     for d in range(n_docs):
@@ -159,7 +159,13 @@ def classify(
     )
     measured = written(_measured(texts))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    sample = measured.join(known.where("id IS NOT NULL AND label IN (0, 1)"), "id").where("n_words > 0")
+    known = known.where("id IS NOT NULL AND label IN (0, 1)")
+    # Of many labels only those with small hashes, half as many again as are wanted, go on to be
+    # ordered: tasks would else hand the driver a whole sample each.
+    share_wanted = 1.5 * model.max_sample / max(known.count(), 1)
+    if share_wanted < 1:
+        known = known.where(F.xxhash64("id") < F.lit(int(-(2**63) + 2**64 * share_wanted)))
+    sample = measured.join(known, "id").where("n_words > 0")
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(model.max_sample).select(*MEASURES, "label").toPandas()
     x, y = sample[list(MEASURES)].to_numpy(float), sample["label"].to_numpy(float)
     if len(set(y)) == 2:

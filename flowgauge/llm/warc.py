@@ -24,8 +24,10 @@ from flowgauge.llm.common import maybe_in, membership_bitmap
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in an archive file, which a reader takes as a whole.
+#: Records in an archive file, which a reader takes as a whole; and the payload bytes from which a
+#: record has a file of its own. So a file has about a gigabyte at most, or one record.
 RECORDS_PER_FILE = 2000
+LARGE_PAYLOAD = 1 << 19
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -123,8 +125,13 @@ def write_archives(
                 out.append(record_text(i, url, html, payload_digest(body), len(body), refers, date))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    made = once.unionByName(again).mapInArrow(records, "value string")
-    made.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    every, large_one = once.unionByName(again), F.octet_length("html") >= LARGE_PAYLOAD
+    parts = [(every.where(~large_one), RECORDS_PER_FILE)]
+    if rows.where(F.col("size") >= LARGE_PAYLOAD).limit(1).count():
+        parts.append((every.where(large_one), 1))
+    for mode, (part, most) in zip(("errorifexists", "append"), parts):
+        made = part.mapInArrow(records, "value string")
+        made.write.mode(mode).option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).text(folder)
 
 
 # ---- reading ---------------------------------------------------------------------------------

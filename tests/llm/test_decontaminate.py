@@ -8,6 +8,7 @@ import pytest
 
 from llm_rows import by_id
 from flowgauge.llm import decontaminate
+from flowgauge.llm.common import ALNUM, word_hashes, words
 from flowgauge.llm.decontaminate import find_contamination, remove_contamination
 from flowgauge.llm.fm_index import FmIndex, suffix_array
 
@@ -61,10 +62,43 @@ def test_spans_are_cut_and_the_rest_stays(spark, docs_of):
     out = remove_contamination(docs, benchmark)
     assert out.columns == docs.columns
     got = by_id(out)
-    assert [got[i]["text"] for i in (1, 2, 3, None, 4)] == ["Zero,  ; end.", "é  ", "clean", "one two three", None]
+    assert [got[i]["text"] for i in (1, 2, 3, None, 4)] == ["Zero,  ; end.", "é  ", "clean", " ", None]
     assert by_id(find_contamination(docs, benchmark))[2]["items"] == ["null"]
 
 
+def test_rows_that_share_an_id_are_cleaned_each_by_its_text(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    rows = [(7, "one two three x"), (7, "one two three x"), (7, "another clean text"), (None, "one two three x")]
+    got = sorted((str(r.doc_id), r.text) for r in remove_contamination(docs_of(rows), benchmark).collect())
+    assert got == [("7", "  x"), ("7", "  x"), ("7", "another clean text"), ("None", "  x")]
+
+
+def mirrored_words():
+    """A word over two letters and its mirror image, which sums of powers can't tell apart."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_sums_of_powers_confuse_are_told_apart(spark, docs_of):
+    one, other = mirrored_words()
+    benchmark = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert result(find_contamination(docs_of([(1, other), (2, one)]), benchmark)) == {1: (1, 0, []), 2: (1, 1, ["1"])}
+
+
+def test_word_hashes():
+    rng = random.Random(12)
+    made = {}
+    text = " ".join("".join(rng.choices("ab", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 3000]))) for _ in range(3000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
+    for a, b, h in zip(starts, ends, word_hashes(data, starts, ends).tolist()):
+        assert made.setdefault(text[a:b], h) == h
+    assert len(set(made.values())) == len(made)
+    assert len(word_hashes(data, starts[:0], ends[:0])) == 0
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert result(find_contamination(docs_of([(1, "a b")]), none)) == {1: (2, 0, [])}

@@ -115,3 +115,11 @@ def test_components_of_chains_and_stars(spark):
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 160)} == {100}
     assert found[300] == found[200] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_that_sums_of_powers_confuse_are_not_linked(docs_of):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    got = by_id(jaccard_components(docs_of([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)])))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 2, 3: 1}
