@@ -1,11 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-All n-grams of the training texts are counted by one shuffle. The filter holds each n-gram with
-its quantised count: a count of level q is entered q times, under the levels 1 to q, and is found by
-probing level after level until one is missing. It is built chunk by chunk and grows with what it
-holds. While it is small it is gathered and broadcast, and scoring is a scan; else the distinct
-n-grams of the texts are sent to the chunks, and the levels joined back. The base score uses exact
-counts: frequent words come from a bounded table, all others from a join.
+The filter holds each n-gram of the training texts with its quantised count: a count of level q is
+entered q times, under the levels 1 to q, and is found by probing level after level until one is
+missing. It grows with what it holds.
+
+Texts are packed into batches. Each batch sends its distinct n-grams, in order and as small
+differences, to slices of the name space, once: there counts are summed, the slice's part of the
+filter is built and probed. Answers need no names, as they come back in the order of the question:
+exact counts of words, for the base score, and levels. As long as the filter has a size fit for it, it
+is gathered and broadcast to the workers, which probe it themselves; beyond it the levels that the
+slices found are taken. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -15,12 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import (
-    LOWER, NOT_SPACE, as_long, as_unsigned, mix, slices, span_hashes, words, written,
+    LOWER, NOT_SPACE, as_unsigned, mix, slices, word_hashes, text_bytes, words, written,
 )
 
 #: Names of the start and the end of a text.
@@ -28,23 +31,23 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Bits of a chunk of the filter; all probes of an n-gram fall into one chunk.
 CHUNK_BITS = 1 << 19
 PROBES = 3
-#: Distinct n-grams that a task holds before it sends them on.
-HELD_GRAMS = 1_000_000
-#: Words in the broadcast table of exact counts (16 MB).
-TABLE_WORDS = 1 << 20
+#: Bytes of text in a batch; a longer text is a batch of its own.
+BATCH_BYTES = 4_000_000
+#: Bytes of text to a slice of the name space: what one task sums up at a time.
+SLICE_TEXT = 16_000_000
 
 
 @dataclass(frozen=True)
 class LogBloom:
-    """``base``: step of the count levels. ``bits_per_entry``: size of the filter by what it holds.
-    ``max_bytes``: largest filter that is broadcast; n-grams are sent to a larger one. The scores
-    are the same. ``min_pairs``: pairs of words seen less often are not in the model.
-    ``prior``: weight of the single-word model in the smoothing."""
+    """``base``: step of the count levels. ``bits_per_entry``: size of the filter by what it holds,
+    at least. ``max_bytes``: largest filter that is broadcast; a larger one stays in its slices. The
+    scores are the same. ``min_pairs``: pairs of words seen less often are not in the model (1: all
+    are). ``prior``: weight of the single-word model in the smoothing."""
 
     base: float = 2.0
     bits_per_entry: int = 12
     max_bytes: int = 1 << 26
-    min_pairs: int = 2
+    min_pairs: int = 1
     prior: float = 50.0
 
     def __post_init__(self) -> None:
@@ -69,7 +72,7 @@ def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(offsets) - 1
     first = np.searchsorted(doc, np.arange(n + 1))
     out = np.empty(len(starts) + 2 * n, np.uint64)
-    out[np.arange(len(starts)) + 2 * doc + 1] = span_hashes(data, starts, ends)
+    out[np.arange(len(starts)) + 2 * doc + 1] = word_hashes(data, starts, ends)
     out[first[:-1] + 2 * np.arange(n)] = START
     out[first[1:] + 2 * np.arange(n) + 1] = END
     return out, np.repeat(np.arange(n), np.diff(first) + 2)
@@ -86,16 +89,23 @@ def probe_bits(grams: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
     return [((x >> np.uint64(19 * k)) & np.uint64(CHUNK_BITS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def chunk_of(grams: np.ndarray, chunks: int) -> np.ndarray:
-    return (((grams >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)).astype(np.int64)
+def slice_of(grams: np.ndarray, n_slices: int) -> np.ndarray:
+    """Slices are ranges of names, so that names in order are in order of slices."""
+    return (((grams >> np.uint64(32)) * np.uint64(n_slices)) >> np.uint64(32)).astype(np.int64)
 
 
-def lookup(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, most: int) -> np.ndarray:
+def chunk_of(grams: np.ndarray, chunks: np.ndarray | int) -> np.ndarray:
+    """The chunk within a slice of ``chunks``, by the half of the name that does not say the slice."""
+    low = grams & np.uint64(0xFFFFFFFF)
+    return ((low * np.asarray(chunks, np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def lookup(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, most: np.ndarray | int) -> np.ndarray:
     """Level of each n-gram, whose chunk begins at bit ``base``: probe level after level until one
     is missing; no n-gram has a level above ``most``."""
     level = np.zeros(len(grams), np.int64)
-    base = np.broadcast_to(base, len(grams))
-    alive = np.arange(len(grams) if most else 0)
+    base, most = np.broadcast_to(base, len(grams)), np.broadcast_to(most, len(grams))
+    alive = np.flatnonzero(most)
     while len(alive):
         there = np.ones(len(alive), bool)
         for at in probe_bits(grams[alive], level[alive] + 1):
@@ -103,245 +113,287 @@ def lookup(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, most: in
             there &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         alive = alive[there]
         level[alive] += 1
-        alive = alive[level[alive] < most]
+        alive = alive[level[alive] < most[alive]]
     return level
 
 
-def enter(bits: np.ndarray, grams: np.ndarray, level: np.ndarray) -> None:
-    """Set the bits of n-grams of one chunk; a byte for each bit."""
+def enter(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, level: np.ndarray) -> None:
+    """Set the bits of n-grams whose chunk begins at bit ``base``; a byte for each bit."""
+    base = np.broadcast_to(base, len(grams))
     for k in range(1, int(level.max(initial=0)) + 1):
-        for at in probe_bits(grams[level >= k], k):
-            bits[at] = 1
+        own = level >= k
+        for at in probe_bits(grams[own], k):
+            bits[at + base[own]] = 1
+
+
+# ---- numbers as bytes ------------------------------------------------------------------------
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    rows = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + rows[:, :width].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return out.reshape(-1).view(np.uint64)
 
 
-def find(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The value of each wanted name by the sorted known names, and whether it is there."""
-    if not len(known):
-        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
-    at = np.searchsorted(known, wanted)
-    at[at == len(known)] = 0
-    return values[at], known[at] == wanted
+def pack_names(names: np.ndarray) -> bytes:
+    """Ascending names by their first and the differences that follow."""
+    return names[:1].tobytes() + pack(np.diff(names))
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(size, gram, n): size 0 for the start, 1 for words and the end, 2 for pairs."""
+def unpack_names(data: bytes) -> np.ndarray:
+    first = np.frombuffer(data, np.uint64, 1)
+    return np.cumsum(np.concatenate([first, unpack(data[8:])]), dtype=np.uint64)
 
+
+# ---- batches ---------------------------------------------------------------------------------
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """(batch, ids, held_out, texts, n_bytes): texts in the order in which they are found. Written,
+    as a batch must be the same texts each time it is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-        starts = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for size, parts in held.items():
-                if parts:
-                    grams, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                    n = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
-                    parts.clear()
-                    yield batch_of(size, grams, n)
-
-        def batch_of(size: int, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(grams), size, np.int8)), pa.array(as_long(grams)), pa.array(n)],
-                ["size", "gram", "n"])
-
-        for batch, data, offsets in slices(batches):
-            tokens, doc = token_rows(data, offsets)
-            pairs = pair_names(tokens)[tokens[:-1] != END]
-            starts += batch.num_rows
-            held[1].append(np.unique(tokens[tokens != START], return_counts=True))
-            held[2].append(np.unique(pairs, return_counts=True))
-            if sum(len(p[0]) for parts in held.values() for p in parts) > HELD_GRAMS:
-                yield from send()
-        yield from send()
-        if starts:
-            yield batch_of(0, np.array([START]), np.array([starts], np.int64))
-
-    parts = texts.mapInArrow(run, "size byte, gram long, n long")
-    return parts.groupBy("size", "gram").agg(F.sum("n").alias("n"))
-
-
-def _chunk(chunks: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(chunks), 32).cast("long").alias("chunk")
-
-
-def _filter(counts: DataFrame, chunks: int, model: LogBloom) -> np.ndarray:
-    """The filter's bits. Each chunk is made in one task; they reach the driver once, at most
-    ``max_bytes`` in all."""
+        for batch, data, _ in slices(batches, size=BATCH_BYTES):
+            one = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.ListArray.from_arrays(one, batch.column(c)) for c in ("id", "held_out", "text")),
+                 pa.array([len(data)])], ["ids", "held_out", "texts", "n_bytes"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.mapInArrow(run, f"ids array<{kind}>, held_out array<boolean>, texts array<string>, n_bytes long")
+    return written(rows.select(F.monotonically_increasing_id().alias("batch"), "*"))
 
+
+def _grams(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a packed row: tokens, the text of each, the names of all pairs but those over the border
+    of two texts, and for every text whether it is learnt from."""
+    data, offsets = text_bytes(row.column("texts").flatten())
+    tokens, doc = token_rows(data, offsets)
+    learnt = ~row.column("held_out").flatten().to_numpy(zero_copy_only=False)
+    return tokens, doc, pair_names(tokens)[tokens[:-1] != END], learnt
+
+
+def _questions(packed: DataFrame, n_slices: int) -> DataFrame:
+    """(slice, batch, size, names, counts): the distinct n-grams of each batch, and how often each
+    occurs in its training texts; size 1 for words, start and end, 2 for pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, bits = None, None
         for batch in batches:
-            chunk, grams, n = (batch.column(c).to_numpy() for c in ("chunk", "gram", "n"))
-            grams, level = as_unsigned(grams), model.level(n)
-            for c in np.unique(chunk).tolist():
-                if c != number:
-                    if number is not None:
-                        yield row(number, bits)
-                    number, bits = c, np.zeros(CHUNK_BITS, np.uint8)
-                own = np.flatnonzero(chunk == c)
-                enter(bits, grams[own], level[own])
-        if number is not None:
-            yield row(number, bits)
-
-    def row(number: int, bits: np.ndarray) -> pa.RecordBatch:
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed])], ["chunk", "bits"])
-
-    dealt = counts.select(_chunk(chunks), "gram", "n").repartition("chunk")
-    out = np.zeros(chunks * CHUNK_BITS // 8, np.uint8)
-    made = dealt.sortWithinPartitions("chunk").mapInArrow(run, "chunk long, bits binary")
-    for number, bits in made.toLocalIterator():
-        out[number * CHUNK_BITS // 8 : (number + 1) * CHUNK_BITS // 8] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def _levels(counts: DataFrame, asked: DataFrame, chunks: int, model: LogBloom, most: int) -> DataFrame:
-    """(gram, n, level) of every n-gram asked for (gram, n), and for each chunk a row without gram
-    whose level is the number of bits set. Chunks are made and read in their tasks; nothing is
-    gathered."""
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                tokens, doc, pairs, learnt = _grams(row)
+                for size, grams, owner in ((1, tokens, doc), (2, pairs, doc[1:][tokens[:-1] != END])):
+                    names, place = np.unique(grams, return_inverse=True)
+                    counts = np.bincount(place, learnt[owner], len(names)).astype(np.uint64)
+                    yield from parts(row.column("batch")[0].as_py(), size, names, counts)
+
+    def parts(number: int, size: int, names: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own, first = np.unique(slice_of(names, n_slices), return_index=True)
+        ends = [*first[1:].tolist(), len(names)]
+        spans = list(zip(first.tolist(), ends, strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own), pa.array(np.full(len(own), number)), pa.array(np.full(len(own), size)),
+             pa.array([pack_names(names[a:b]) for a, b in spans], pa.binary()),
+             pa.array([pack(counts[a:b]) for a, b in spans], pa.binary())],
+            ["slice", "batch", "size", "names", "counts"])
+
+    return packed.select("batch", "held_out", "texts").mapInArrow(
+        run, "slice long, batch long, size long, names binary, counts binary")
+
+
+# ---- slices ----------------------------------------------------------------------------------
+
+
+class Slice:
+    """All questions of one slice of the name space, summed up."""
+
+    def __init__(self, batches: list[int], sizes: list[int], names: list[bytes], counts: list[bytes]):
+        self.asked = {}
+        for size in (1, 2):
+            own = [k for k, s in enumerate(sizes) if s == size]
+            parts = [unpack_names(names[k]) for k in own]
+            every = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            grams, place = np.unique(every, return_inverse=True)
+            # Sums of whole numbers below 2**53 are exact.
+            n = np.bincount(place, np.concatenate([unpack(counts[k]) for k in own]) if own else None, len(grams))
+            places = np.split(place, np.cumsum([len(p) for p in parts])[:-1]) if own else []
+            self.asked[size] = (grams, n.astype(np.int64), places, [batches[k] for k in own])
+
+    def entered(self, model: LogBloom) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of the model and their levels."""
+        grams, levels = [], []
+        for size, least in ((1, 1), (2, model.min_pairs)):
+            names, n, _, _ = self.asked[size]
+            grams.append(names[n >= least])
+            levels.append(model.level(n[n >= least]))
+        return np.concatenate(grams), np.concatenate(levels)
+
+    def part(self, model: LogBloom) -> tuple[dict[str, int], np.ndarray]:
+        """This slice's part of the filter, and what must be known of it: training tokens and distinct
+        ones among its names, its chunks, largest level and bits set."""
+        names, n, _, _ = self.asked[1]
+        own = n[names != START]
+        grams, levels = self.entered(model)
+        chunks = max(1, -(-int(levels.sum()) * model.bits_per_entry // CHUNK_BITS))
+        bits = np.zeros(chunks * CHUNK_BITS, np.uint8)
+        enter(bits, chunk_of(grams, chunks) * CHUNK_BITS, grams, levels)
+        facts = {
+            "total": int(own.sum()), "distinct": int((own > 0).sum()), "chunks": chunks,
+            "most": int(levels.max(initial=0)), "ones": int(bits.sum(dtype=np.int64)),
+        }
+        return facts, np.packbits(bits, bitorder="little")
+
+    def answers(self, facts: dict[str, int], bits: np.ndarray) -> Iterator[tuple[int, int, bytes | None, bytes]]:
+        """(batch, size, counts, levels) to each question, in its order: exact counts of words, and the
+        levels that probing finds."""
+        for size in (1, 2):
+            grams, n, places, batches = self.asked[size]
+            base = chunk_of(grams, facts["chunks"]) * CHUNK_BITS
+            levels = lookup(bits, base, grams, facts["most"]).astype(np.uint8)
+            for place, batch in zip(places, batches, strict=True):
+                counts = pack(n[place].astype(np.uint64)) if size == 1 else None
+                yield batch, size, counts, levels[place].tobytes()
+
+
+_ANSWER = (
+    "batch long, slice long, size long, counts binary, levels binary, "
+    "total long, distinct long, chunks long, most long, ones long, bits binary"
+)
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _answered(questions: DataFrame, model: LogBloom) -> DataFrame:
+    """Answers to all questions, and for each slice a row without a batch: its facts and its part of
+    the filter. Questions meet in the task of their slice, which holds one slice at a time."""
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    shape = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _ANSWER.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, bits = None, None
+        number, held = None, []
         for batch in batches:
-            chunk, grams, n, ask = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "gram", "n", "ask"))
-            names = as_unsigned(grams)
-            for c in np.unique(chunk).tolist():
-                if c != number:
-                    if number is not None:
-                        yield row([None], [0], [bits.sum(dtype=np.int64)])
-                    number, bits = c, np.zeros(CHUNK_BITS, np.uint8)
-                own = np.flatnonzero((chunk == c) & ~ask)
-                enter(bits, names[own], model.level(n[own]))
-                own = np.flatnonzero((chunk == c) & ask)
-                if len(own):
-                    packed = np.packbits(bits, bitorder="little")
-                    yield row(grams[own], n[own], lookup(packed, 0, names[own], most))
-        if number is not None:
-            yield row([None], [0], [bits.sum(dtype=np.int64)])
-
-    def row(grams, n, level) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in (grams, n, level)], ["gram", "n", "level"])
+            columns = [batch.column(c) for c in ("batch", "size", "names", "counts")]
+            own = batch.column("slice").to_numpy()
+            for start in [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist()] if len(own) else []:
+                if own[start] != number:
+                    if held:
+                        yield from rows(number, held)
+                    number, held = int(own[start]), []
+                end = start + int(np.searchsorted(own[start:], number, "right"))
+                held.append([c.slice(start, end - start).to_pylist() for c in columns])
+        if held:
+            yield from rows(number, held)
+
+    def rows(number: int, held: list) -> Iterator[pa.RecordBatch]:
+        whole = Slice(*([x for part in held for x in part[k]] for k in range(4)))
+        held.clear()
+        facts, bits = whole.part(model)
+        out = [{"slice": number, **facts, "bits": bits.tobytes()}]
+        out += [
+            {"batch": batch, "slice": number, "size": size, "counts": counts, "levels": levels}
+            for batch, size, counts, levels in whole.answers(facts, bits)
+        ]
+        yield pa.RecordBatch.from_pylist(out, shape)
+
+    dealt = questions.repartition("slice").sortWithinPartitions("slice", "size", "batch")
+    return written(dealt.mapInArrow(run, _ANSWER))
 
-    both = counts.select("gram", "n", F.lit(False).alias("ask")).unionByName(
-        asked.select("gram", "n", F.lit(True).alias("ask")))
-    dealt = both.select(_chunk(chunks), "gram", "n", "ask").repartition("chunk")
-    return dealt.sortWithinPartitions("chunk", "ask").mapInArrow(run, "gram long, n long, level long")
 
+@dataclass(frozen=True)
+class Filter:
+    """The whole filter: the bits of all slices end to end, and by slice where they begin, how many
+    chunks they are and the largest level."""
 
-def _by_name(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
-    names = as_unsigned(table.column("gram").to_numpy())
-    order = np.argsort(names)
-    return names[order], table.column(value).to_numpy()[order]
+    bits: np.ndarray
+    first: np.ndarray
+    chunks: np.ndarray
+    most: np.ndarray
 
+    def levels(self, names: np.ndarray) -> np.ndarray:
+        own = slice_of(names, len(self.first))
+        base = (self.first[own] + chunk_of(names, self.chunks[own])) * CHUNK_BITS
+        return lookup(self.bits, base, names, self.most[own])
 
-def _with_levels(texts: DataFrame, levels: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """The texts with ``found``, the levels of their own distinct n-grams but for the most frequent,
-    which come as a table: so no n-gram is joined to many texts."""
-    _, least = _table(levels)
-    table = _by_name(levels.where(F.col("n") >= least).select("gram", F.col("level").cast("byte")).toArrow(), "level")
-    shared = texts.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch, data, offsets in slices(batches):
-            tokens, doc = token_rows(data, offsets)
-            scored = tokens[1:] != START
-            grams = np.concatenate([tokens, pair_names(tokens)[scored]])
-            owner = np.concatenate([doc, doc[1:][scored]])
-            rare = ~find(*shared.value, grams)[1]
-            grams, owner = grams[rare], owner[rare]
-            order = np.lexsort((grams, owner))
-            grams, owner = grams[order], owner[order]
-            first = np.ones(len(grams), bool)
-            first[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-            n = batch.num_rows
-            ends = np.cumsum(np.bincount(owner[first], minlength=n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), *(batch.column(c) for c in ("id", "held_out", "text")),
-                 pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(as_long(grams[first])))],
-                ["row", "id", "held_out", "text", "asked"])
-            row += n
-
-    # Written: the numbers of rows must not change between the two uses.
-    numbered = written(texts.select("id", "held_out", "text").mapInArrow(
-        run, "row long, id long, held_out boolean, text string, asked array<long>"))
-    found = numbered.select("row", F.explode("asked").alias("gram")).join(
-        levels.where(F.col("n") < least).select("gram", F.col("level").cast("byte").alias("level")), "gram"
-    ).groupBy("row").agg(F.collect_list(F.struct("gram", "level")).alias("found"))
-    return numbered.drop("asked").join(found, "row", "left").drop("row"), table
-
-
-def _table(singles: DataFrame, base: float = 2.0**0.125) -> tuple[DataFrame, int]:
-    """The most frequent words, as many whole frequency classes as fit into the table, and the
-    least count among them."""
-    grade = F.floor(F.log(F.col("n").cast("double")) / float(np.log(base)))
-    classes = singles.groupBy(grade.alias("grade")).agg(
-        F.count(F.lit(1)).alias("words"), F.min("n").alias("least")
-    ).orderBy(F.desc("grade")).collect()  # some hundreds of rows
-    total, least = 0, 2**62
-    for _, size, low in classes:
-        total += size
-        if total > TABLE_WORDS:
-            break
-        least = low
-    return singles.where(F.col("n") >= least).select("gram", "n"), least
-
-
-_SCORES = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
-
-
-def _scan(texts: DataFrame, bits: np.ndarray | None, frequent: tuple[np.ndarray, np.ndarray] | None,
-          table: pa.Table, total: int, distinct: int, model: LogBloom, most: int) -> DataFrame:
-    """Levels come from the filter's bits, or without them from the table of frequent n-grams and
-    the column ``found``."""
-    shared = texts.sparkSession.sparkContext.broadcast((bits, frequent, *_by_name(table, "n")))
-
-    def levels_of(wanted: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        bits, frequent, _, _ = shared.value
-        if bits is not None:
-            base = chunk_of(wanted, len(bits) * 8 // CHUNK_BITS) * CHUNK_BITS
-            return lookup(bits, base, wanted, most)
-        level, there = find(*frequent, wanted)
-        own = batch.column("found").flatten()
-        names, at = np.unique(as_unsigned(own.field("gram").to_numpy()), return_index=True)
-        other, _ = find(names, own.field("level").to_numpy()[at], wanted)
-        return np.where(there, level, other).astype(np.int64)
+def _gathered(parts: DataFrame, n_slices: int) -> Filter:
+    """The filter on the driver, once; it was found to be small enough."""
+    held = {r.slice: r for r in parts.select("slice", "chunks", "most", "bits").toLocalIterator()}
+    chunks = np.array([held[k].chunks if k in held else 0 for k in range(n_slices)], np.int64)
+    most = np.array([held[k].most if k in held else 0 for k in range(n_slices)], np.int64)
+    bits = np.frombuffer(b"".join(held[k].bits for k in sorted(held)), np.uint8)
+    return Filter(bits, np.cumsum(chunks) - chunks, chunks, most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, grams, numbers = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch, data, offsets in slices(batches):
-            tokens, doc = token_rows(data, offsets)
-            scored = tokens != START
-            # The model: every distinct n-gram of the slice is probed once.
-            single, place = np.unique(tokens, return_inverse=True)
-            one = model.count(levels_of(single, batch))
-            before = one[place[:-1]][scored[1:]]
-            word = (one[place[1:]][scored[1:]] + 1) / (total + distinct + 1)
-            pair, pair_place = np.unique(pair_names(tokens)[scored[1:]], return_inverse=True)
-            both = np.minimum(model.count(levels_of(pair, batch))[pair_place], before)
-            log_p = np.log10((both + model.prior * word) / (before + model.prior))
-            # The base: exact counts of the words in the table.
-            number, found = find(grams, numbers, single)
-            log_one = np.where(found, np.log10((number + 1) / (total + distinct + 1)), 0.0)
-            here, owner = place[scored], doc[scored]
-            n = batch.num_rows
-            rest = ~found[here]
-            rest_size = np.bincount(owner[rest], minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), batch.column("id"), batch.column("held_out"),
-                 pa.array(np.bincount(owner, minlength=n)),
-                 pa.array(np.bincount(owner, found[here], n).astype(np.int64)),
-                 pa.array(np.bincount(owner, log_one[here], n)),
-                 pa.array(np.bincount(owner, log_p, n)),
-                 pa.ListArray.from_arrays(
-                     pa.array(np.append(0, np.cumsum(rest_size)), pa.int32()),
-                     pa.array(as_long(single[here][rest])))],
-                ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"])
-            row += n
 
-    return texts.mapInArrow(run, _SCORES)
+# ---- scores ----------------------------------------------------------------------------------
+
+_SCORES = "held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(packed: DataFrame, answers: DataFrame, whole: Filter | None, total: int, distinct: int,
+            model: LogBloom) -> DataFrame:
+    """Each batch meets its answers, which come first and in the order of its n-grams. With the
+    ``whole`` filter its levels are probed here."""
+    shared = packed.sparkSession.sparkContext.broadcast(whole and tuple(vars(whole).values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], list[bytes]] = {}
+        for batch in batches:
+            asked = batch.column("texts").is_null().to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                if not asked[k]:
+                    yield scores(row, held)
+                    held = {}
+                    continue
+                size = row.column("size")[0].as_py()
+                for what in ("counts", "levels"):
+                    if (data := row.column(what)[0].as_py()) is not None:
+                        held.setdefault((size, what), []).append(data)
+
+    def levels_of(names: np.ndarray, size: int, held: dict) -> np.ndarray:
+        if shared.value is not None:
+            return Filter(*shared.value).levels(names)
+        return np.frombuffer(b"".join(held[size, "levels"]), np.uint8).astype(np.int64)
+
+    def scores(row: pa.RecordBatch, held: dict) -> pa.RecordBatch:
+        tokens, doc, pairs, learnt = _grams(row)
+        n = len(learnt)
+        single, place = np.unique(tokens, return_inverse=True)
+        count = np.concatenate([unpack(part) for part in held[1, "counts"]]).astype(np.float64)
+        one = model.count(levels_of(single, 1, held))
+        scored = tokens != START
+        here, owner = place[scored], doc[scored]
+        before = one[place[:-1]][tokens[:-1] != END]
+        word = (one[here] + 1) / (total + distinct + 1)
+        names, pair_place = np.unique(pairs, return_inverse=True)
+        both = np.minimum(model.count(levels_of(names, 2, held))[pair_place], before)
+        log_p = np.log10((both + model.prior * word) / (before + model.prior))
+        log_one = np.log10((count + 1) / (total + distinct + 1))[here]
+        return pa.RecordBatch.from_arrays(
+            [row.column("ids").flatten(), pa.array(~learnt), pa.array(np.bincount(owner, minlength=n)),
+             pa.array(np.bincount(owner, count[here] > 0, n).astype(np.int64)),
+             pa.array(np.bincount(owner, log_one, n)), pa.array(np.bincount(owner, log_p, n))],
+            ["id", *_names(_SCORES)])
+
+    kind = packed.schema["ids"].dataType.elementType.simpleString()
+    # The texts come after all slices and sizes.
+    last = packed.select("batch", F.lit(1).alias("texts_after"), F.lit(None).cast("long").alias("size"),
+                         F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("counts"),
+                         F.lit(None).cast("binary").alias("levels"), "ids", "held_out", "texts")
+    levels = F.lit(None).cast("binary").alias("levels") if whole else F.col("levels")
+    first = answers.where("batch IS NOT NULL").select(
+        "batch", F.lit(0).alias("texts_after"), "size", "slice", "counts", levels,
+        *(F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in ("ids", "held_out", "texts")))
+    met = last.unionByName(first).repartition("batch").sortWithinPartitions("batch", "texts_after", "size", "slice")
+    return met.mapInArrow(run, f"id {kind}, {_SCORES}")
 
 
 def score_texts(
@@ -363,43 +415,21 @@ def score_texts(
     """
     model = model or LogBloom()
     texts = documents.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    counts = written(
-        _counts(texts.where("NOT held_out").select("text"))
-        .where((F.col("size") < 2) | (F.col("n") >= model.min_pairs))
-    )
-    levels = F.floor(F.log(F.col("n").cast("double")) / float(np.log(model.base)) + 1e-9) + 1
-    is_single = F.col("size") == 1
-    total, distinct, entries, most = counts.agg(
-        F.coalesce(F.sum(F.when(is_single, F.col("n"))), F.lit(0)),
-        F.count(F.when(is_single, True)), F.coalesce(F.sum(levels), F.lit(0)),
-        F.coalesce(F.max(levels), F.lit(0)),
-    ).first()
-    chunks = max(1, -(-int(entries) * model.bits_per_entry // CHUNK_BITS))
-    bits = frequent = None
-    if chunks * CHUNK_BITS <= model.max_bytes * 8:
-        bits = _filter(counts, chunks, model)
-        ones = int(np.bitwise_count(bits).sum(dtype=np.int64))
-    else:
-        asked = _counts(texts.select("text")).groupBy("gram").agg(F.sum("n").alias("n"))
-        answers = written(_levels(counts, asked, chunks, model, int(most)))
-        ones = answers.where("gram IS NULL").agg(F.sum("level")).first()[0]
-        texts, frequent = _with_levels(texts, answers.where("gram IS NOT NULL"))
-    false_rate = float((ones / (chunks * CHUNK_BITS)) ** PROBES)
-    singles = counts.where(is_single).select("gram", "n")
-    table, least = _table(singles)
-    scanned = written(_scan(texts, bits, frequent, table.toArrow(), total, distinct, model, int(most)))
-    rest = scanned.select("row", F.explode("rest").alias("gram")).join(
-        singles.where(F.col("n") < least), "gram", "left"
-    )
-    log_rest = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    rest = rest.groupBy("row").agg(F.count("n").alias("more"), F.sum(log_rest).alias("more_base"))
-    return scanned.join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score", F.lit(false_rate).alias("false_rate"),
+    packed = _packed(texts)
+    size = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    n_slices = 1 << max(0, (-(-size // SLICE_TEXT) - 1).bit_length())
+    answers = _answered(_questions(packed, n_slices), model)
+    parts = answers.where("batch IS NULL")
+    total, distinct, chunks, ones = (
+        int(x or 0) for x in parts.agg(*(F.sum(c) for c in ("total", "distinct", "chunks", "ones"))).first())
+    false_rate = float((ones / max(chunks * CHUNK_BITS, 1)) ** PROBES)
+    whole = _gathered(parts, n_slices) if chunks * CHUNK_BITS <= model.max_bytes * 8 else None
+    scored = _scored(packed, answers, whole, total, distinct, model)
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        F.lit(false_rate).alias("false_rate"),
     )

@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -122,6 +123,59 @@ def test_held_out_accuracy(spark):
     assert sum(bool(q) == k for q, k in held) >= 0.95 * len(held)
 
 
+def strength_by_hand(groups, over):
+    """``groups``: lists of doc_probs; ``over``: the share above each."""
+    total = sum(map(len, groups))
+    spread = sum(len(g) * (sum(g) / len(g) - o) ** 2 for g, o in zip(groups, over))
+    noise = sum(sum(p * (1 - p) for p in g) / len(g) for g in groups)
+    chance = sum(len(g) * max(o * (1 - o), 1e-6) for g, o in zip(groups, over))
+    between = max(spread / total - noise / total, 0.0)
+    return min(max(chance / total / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+
+def test_shares_are_shrunken_as_defined(spark):
+    """Site and section shares and posteriors, worked out from the evidence of the texts."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        site = rng.choice(["a", "a", "a", "b", "c", None])
+        good = rng.random() < {"a": 0.9, "b": 0.2, "c": 0.6, None: 0.5}[site]
+        words = "".join(rng.choices("abcdefgh", k=6)) if good else "$$$ ### x"
+        rows.append((i, " ".join([words, "and the"] * rng.randrange(5, 30)), rng.choice(["en", "fr"]), site))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("$" not in t)) for i, t, _, _ in rows[::2]], "doc_id long, quality int")
+    got = by_id(site_quality.classify(docs, labels))
+    prob = {i: got[i]["doc_prob"] for i, *_ in rows}
+    sites, sections = {}, {}
+    for i, _, lang, site in rows:
+        sites.setdefault(site, []).append(prob[i])
+        sections.setdefault((site, lang), []).append(prob[i])
+    share = sum(prob.values()) / len(prob)
+    of_site = strength_by_hand(list(sites.values()), [share] * len(sites))
+    above = [sum(sites[site]) / len(sites[site]) for site, _ in sections]
+    of_section = strength_by_hand(list(sections.values()), above)
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for i, _, lang, site in rows:
+        own, near = sites[site], sections[site, lang]
+        site_prob = (of_site * share + sum(own) - prob[i]) / (of_site + len(own) - 1)
+        path_prob = (of_section * site_prob + sum(near) - prob[i]) / (of_section + len(near) - 1)
+        posterior = 1 / (1 + math.exp(-(odds(prob[i]) + odds(path_prob) - odds(share))))
+        found = got[i]
+        assert (found["site_prob"], found["path_prob"], found["posterior"]) == pytest.approx((site_prob, path_prob, posterior))
+        assert found["kept"] == (found["posterior"] >= 0.5)
+
+
+def test_the_labelled_sample_is_bounded_and_the_same(spark, monkeypatch):
+    """Fitting on part of the labels takes those with the smallest hashes, whatever is sent."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    few = site_quality.SiteQuality(max_sample=40)
+    taken = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40)
+    assert by_id(site_quality.classify(docs, labels, few)).keys() == by_id(docs).keys()
+    one, other = (by_id(site_quality.classify(docs, of, few)) for of in (labels, taken))
+    assert all(one[i]["doc_prob"] == pytest.approx(other[i]["doc_prob"]) for i in one)
+
+
 # ---- WARC ------------------------------------------------------------------------------------
 
 
@@ -148,6 +202,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert payloads["<urn:page:1>"].decode() == rows[0][2]
 
 
+def test_large_records_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_PAYLOAD", 1000)
+    rows = [(i, "u", f"{i} " + "x" * (2000 if i % 3 == 0 else 10)) for i in range(9)] + [(20, "u", "0 " + "x" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    sizes = [len(p.read_text().split("WARC/1.1")) - 1 for p in (tmp_path / "a").glob("*.txt") if p.stat().st_size > 1000]
+    assert sizes.count(1) >= 3
+    got = {r["record_id"]: (r["record_type"], r["payload_bytes"]) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert len(got) == 10 and got["<urn:page:0>"] == ("revisit", 2002) and got["<urn:page:20>"] == ("response", 2002)
+
+
 def test_smaller_payloads_are_all_responses_and_empty_tables(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")],
                                   "page_id long, url string, html string")
@@ -274,6 +339,76 @@ def test_names_are_evidence_only(html, words):
     assert set(" ".join(html_text.extract(f"<html><body>{html}</body></html>")).split()) == words
 
 
+@pytest.mark.parametrize("mark", [
+    'aria-hidden="false"', 'data-hidden="false"', 'title="hidden gems"', "title='a > b'", "data-class=ad", "CLASS = content",
+])
+def test_only_whole_attribute_names_count(mark):
+    page = f"<html><body><div {mark}>{paragraphs('one', 5)}<p title='The hidden truth'>two</p></div>{LINKS}</body></html>"
+    assert set(" ".join(html_text.extract(page)).split()) == {"one", "two"}
+
+
+@pytest.mark.parametrize("mark", ["hidden", "HIDDEN=''", 'aria-hidden="true"', "style='color:red; display: none'"])
+def test_hidden_parts_go(mark):
+    page = f"<html><body><article>{paragraphs('one', 5)}<div {mark}>{paragraphs('two', 2)}</div></article></body></html>"
+    assert set(" ".join(html_text.extract(page)).split()) == {"one"}
+
+
+@pytest.mark.parametrize("name", ["comment-list", "comments_area", "reply-form", "disqus_thread"])
+def test_readers_comments_go(name):
+    page = f"<html><body><article>{paragraphs('one', 5)}<ol class='x {name}'>{paragraphs('two', 2)}</ol></article></body></html>"
+    assert set(" ".join(html_text.extract(page)).split()) == {"one"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href='", '<a "', "<!", "<!--x", "</", "</b ", "<b>", "</i>", "<p>", "<", "<li>", "&lt"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    start = time.perf_counter()
+    html_text.extract("<html><body><p>text</p>" + piece * (300_000 // len(piece)))
+    html_text.extract("<b>" * 10_000 + piece * (30_000 // len(piece)) + ">")
+    assert time.perf_counter() - start < 20
+
+
+def density_by_hand(node):
+    """(chars, tags, link chars, link tags) from the definition, by walking down."""
+    if isinstance(node, str):
+        return len(" ".join(node.split())), 0, 0, 0
+    parts = [(i, density_by_hand(i)) for i in node.items if isinstance(i, str) or not i.skip]
+    chars = sum(p[0] for _, p in parts)
+    tags = sum(p[1] + (not isinstance(i, str)) for i, p in parts)
+    if node.tag == "a":
+        return chars, tags, chars, tags
+    links = sum(p[2] for _, p in parts)
+    link_tags = sum(p[3] + (not isinstance(i, str) and i.tag == "a") for i, p in parts)
+    return chars, tags, links, link_tags
+
+
+def test_densities_follow_their_definition():
+    rng = random.Random(6)
+    for _ in range(60):
+        page = "<html><body>"
+        for _ in range(rng.randrange(2, 30)):
+            page += rng.choice(["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<b>", "</b>", "<ul><li>", "</ul>"])
+            page += "word " * rng.randrange(12)
+        root = html_text.parse(page)
+        order = html_text._in_order(root)
+        body = next(n for n in order if n.tag == "body")
+        html_text.measure(order, body)
+        chars, _, links, _ = density_by_hand(body)
+        share = links / max(chars, 1)
+        for node in order:
+            c, t, lc, lt = density_by_hand(node)
+            expected = 0.0
+            if c:
+                value = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+                base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+                expected = c / max(t, 1) * math.log(value) / base if value > 1 and base > 0 else 0.0
+            assert node.density == pytest.approx(expected)
+        for node in order:
+            inline = [i for i in node.items if not isinstance(i, str) and i.tag in html_text.INLINE and i.tag != "a"]
+            own = sum(density_by_hand(i)[0] for i in [*inline, *(i for i in node.items if isinstance(i, str))])
+            blocks = [i for i in node.items if not isinstance(i, str) and i.tag not in html_text.INLINE]
+            assert node.total == pytest.approx(own + sum(i.density for i in blocks))
+
+
 def test_page_tables(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE % ARTICLE, "t"), (1, "u", PAGE % ARTICLE, "t"), (None, None, None, None)]
@@ -285,11 +420,12 @@ def test_page_tables(spark):
 # ---- LM scoring ------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("table_words", [1 << 20, 3])
-def test_lm_scores(docs_of, monkeypatch, table_words):
-    """Base scores are exact, also where most words come from the join; the model's are near those
-    of exact counts."""
-    monkeypatch.setattr(lm_scoring, "TABLE_WORDS", table_words)
+@pytest.mark.parametrize("batch_bytes, slice_text", [(4_000_000, 16_000_000), (900, 100_000)])
+def test_lm_scores(docs_of, monkeypatch, batch_bytes, slice_text):
+    """Base scores are exact, also over many batches and slices; the model's are near those of exact
+    counts of all pairs."""
+    monkeypatch.setattr(lm_scoring, "BATCH_BYTES", batch_bytes)
+    monkeypatch.setattr(lm_scoring, "SLICE_TEXT", slice_text)
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(200)] + ["Ä", "X"]
     texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(202)], k=rng.randrange(0, 80))) for _ in range(60)]
@@ -313,7 +449,7 @@ def test_lm_scores(docs_of, monkeypatch, table_words):
         exact = 0.0
         for before, t in zip(["\0start", *own], own):
             c, h = pairs[before, t], starts if before == "\0start" else counts[before]
-            exact += math.log10(((c if c > 1 else 0) + 50 * (counts[t] + 1) / (total + distinct + 1)) / (h + 50))
+            exact += math.log10((c + 50 * (counts[t] + 1) / (total + distinct + 1)) / (h + 50))
         assert r["score"] / len(own) == pytest.approx(exact / len(own), abs=0.25)
     assert got[0]["false_rate"] < 0.05
 
@@ -337,10 +473,10 @@ def test_lm_filter_grows_with_the_corpus(docs_of, monkeypatch):
     texts = ["the end " + " ".join(f"v{rng.randrange(3000)}" for _ in range(400)) for _ in range(300)]
     docs = docs_of(list(enumerate(texts)) + [(300, None), (301, ""), (302, LONG), (None, "unseen words")])
     held = F.col("doc_id").isNull() | (F.col("doc_id") % 7 == 2)
-    wide = by_id(lm_scoring.score_texts(docs, held, lm_scoring.LogBloom(min_pairs=1)))
-    for table_words in (1 << 20, 3):
-        monkeypatch.setattr(lm_scoring, "TABLE_WORDS", table_words)
-        got = by_id(lm_scoring.score_texts(docs, held, lm_scoring.LogBloom(min_pairs=1, max_bytes=1 << 16)))
+    for slice_text in (1 << 24, 1 << 17):
+        monkeypatch.setattr(lm_scoring, "SLICE_TEXT", slice_text)
+        wide = by_id(lm_scoring.score_texts(docs, held))
+        got = by_id(lm_scoring.score_texts(docs, held, lm_scoring.LogBloom(max_bytes=1 << 16)))
         assert len(got) == len(wide) and got[0]["false_rate"] == wide[0]["false_rate"] < 0.02
         for i, r in wide.items():
             assert got[i].pop("score") == pytest.approx(r["score"])
@@ -376,6 +512,14 @@ def test_lookup_of_a_full_filter_ends():
 # ---- BPE -------------------------------------------------------------------------------------
 
 
+def test_numbers_as_bytes():
+    for values in ([], [0], [5, 0, 255], [256, 2**40], [2**64 - 1]):
+        whole = np.array(values, np.uint64)
+        assert lm_scoring.unpack(lm_scoring.pack(whole)).tolist() == values
+        if values:
+            assert lm_scoring.unpack_names(lm_scoring.pack_names(np.sort(whole))).tolist() == sorted(values)
+
+
 def test_bpe_is_exact():
     from tokenizers import Tokenizer
 
@@ -388,6 +532,11 @@ def test_bpe_is_exact():
     texts = ["".join(rng.choices(letters, k=rng.randrange(0, 80))) for _ in range(1500)]
     texts += ["".join(rng.choices(tokens, k=rng.randrange(1, 5))) for _ in range(3000)]
     texts += ["", " \n", "a" * 5000, "ab" * 2000, "<|endoftext|>x<|startoftext|>", "</w></w>", "don't I'LL 's 's", "\x00"]
+    marks = [chr(c) for c in (*range(0x300, 0x370), 0xC3C, 0x1715, 0x10940, 0x1C89, 0xA7CB, 0x1100, 0x1161, 0x11A8)]
+    texts += ["".join(rng.choices(marks + list("aéΣ 1"), k=rng.randrange(1, 20))) for _ in range(1500)]
+    # Every code point but surrogates, some hundreds to a text.
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["a".join(points[k : k + 300]) for k in range(0, len(points), 300)]
     for text in texts:
         expected = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == expected, text
