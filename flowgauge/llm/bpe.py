@@ -11,24 +11,36 @@ pointers from the end of the word gives the exact ids.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
+from array import array
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import slices
 
-#: Distinct words whose ids a task remembers at a time; beyond it forgets them and goes on.
-REMEMBERED_WORDS = 250_000
+#: Distinct pieces, and distinct words, whose ids a worker remembers at a time, and as many from
+#: before; beyond it forgets and goes on.
+REMEMBERED_WORDS = 150_000
 #: Pairs of tokens whose compatibility a task remembers at a time.
 REMEMBERED_PAIRS = 500_000
 
 
+# Unicode's white space. str.split() takes four control characters for it as well.
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NOT_WHITE_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_cut = re.compile(f"[^{WHITE_SPACE}]+").findall
+# The accented letters of Latin-1, which are in composed form as they are.
+SMALL = "\xdf-\xf6\xf8-\xff"
+_is_plain = re.compile(f"[\x00-\x7f\xc0-\xd6\xd8-\xde{SMALL}]*").fullmatch
+
+
 def byte_letters() -> dict[int, str]:
     """The usual letters for bytes: printable Latin-1 stands for itself, the others move up."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,11 +58,19 @@ class WordBpe:
         self.mark: str = model["end_of_word_suffix"]
         self.id_of: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # What all special tokens begin with.
+        self.special_begin = commonprefix(list(self.special)) if self.special else "\0\0"
         self.text_of = {i: t for t, i in self.id_of.items()} | {i: t for t, i in self.special.items()}
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words_of = regex.compile(pattern, regex.V0).findall
+        # What is not ASCII is normalized and cut by the file's own rules, with the Unicode tables
+        # that the library has.
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        whole = json.dumps(spec | {"pre_tokenizer": split, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
+        rules = tokenizers.Tokenizer.from_str(whole)
+        self.normalize, self.pre_tokenize = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        letters = split["pattern"]["Regex"].replace(r"\p{L}", f"a-z{SMALL}").replace(r"\p{N}", "0-9").replace(r"\s", "\t-\r ")
+        self.plain_words = re.compile(letters).findall
         self.special_of = (
-            regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split
+            re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")").split
             if self.special else lambda text: [text]
         )
         self.letters = byte_letters()
@@ -64,31 +84,39 @@ class WordBpe:
 
     # -- words -------------------------------------------------------------------------------
 
-    def normalize(self, text: str) -> str:
-        if text.isascii():
-            return regex.sub(r"\s+", " ", text).lower()
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
-        # Letter by letter: a final sigma is lower-cased like any other.
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
-    def parts(self, text: str) -> list[int | str]:
-        """Ids of special tokens, which are cut out of the raw text first, and words."""
-        if not any(map(text.__contains__, self.special)):
-            return self.words_of(self.normalize(text))
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """What stands between white space."""
+        if any(map(text.__contains__, NOT_WHITE_SPACE)):
+            return _cut(text)
+        return text.split()
+
+    def words(self, part: str) -> list[str]:
+        """Words of a piece without special tokens, normalized."""
+        if part.isascii() or _is_plain(part):
+            return self.plain_words(part.lower())
+        return [word for word, _ in self.pre_tokenize(self.normalize(part))]
+
+    def parts(self, piece: str) -> list[int | str]:
+        """Ids of special tokens, which are cut out first, and words."""
+        if self.special_begin not in piece:
+            return self.words(piece)
         found: list[int | str] = []
-        for k, part in enumerate(self.special_of(text)):
-            found += [self.special[part]] if k % 2 else self.words_of(self.normalize(part))
+        for k, part in enumerate(self.special_of(piece)):
+            found += [self.special[part]] if k % 2 else self.words(part)
         return found
 
     # -- one word ----------------------------------------------------------------------------
 
     def _suffix_automaton(self) -> ahocorasick.Automaton:
-        """Every token under its symbols. The mark of a token that ends a word is one symbol."""
+        """Every token of two symbols or more under its symbols; single symbols match anywhere. The mark
+        of a token that ends a word is one symbol."""
         automaton = ahocorasick.Automaton()
         for token, number in self.id_of.items():
             ends = token.endswith(self.mark) and len(token) > len(self.mark)
             symbols = token[: -len(self.mark)] + "\0" if ends else token
-            automaton.add_word(symbols, (number, len(symbols)))
+            if len(symbols) > 1:
+                automaton.add_word(symbols, (number, len(symbols)))
         automaton.make_automaton()
         return automaton
 
@@ -116,19 +144,22 @@ class WordBpe:
             text = word + "\0"
         else:
             text = "".join(map(self.letters.__getitem__, word.encode("utf-8"))) + "\0"
+        whole = self.id_of.get(text[:-1] + self.mark)
+        if whole is not None:
+            return [whole]  # the longest match that ends there, with nothing before it
         n, pairs = len(text), self.pairs
-        last = [-1] * (n + 1)
-        lengths = last[:]
+        # Where nothing longer fits, the last token is the single symbol.
+        last = [-1, *map(self.id_of.get, text)]
+        lengths = [1] * (n + 1)
         # Matches come by their end, at one end the longest first: the first that fits is the one.
+        found = 0
         for at, (token, length) in self.automaton.iter(text):
             end = at + 1
-            if last[end] >= 0 or end == n - 1:  # the mark belongs to the last letter
+            if end == found or end == n - 1:  # the mark belongs to the last letter
                 continue
             start = end - length
             if start:
                 before = last[start]
-                if before < 0:
-                    continue
                 pair = before << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
@@ -137,7 +168,7 @@ class WordBpe:
                     fits = pairs[pair] = self._compatible(self.text_of[before], self.text_of[token])
                 if not fits:
                     continue
-            last[end], lengths[end] = token, length
+            last[end], lengths[end], found = token, length, end
         ids, end = [], n
         while end:
             ids.append(last[end])
@@ -149,29 +180,67 @@ class WordBpe:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        for part in self.parts(text):
-            ids.extend((part,) if isinstance(part, int) else self.encode_word(part))
+        for piece in self.pieces(text):
+            for part in self.parts(piece):
+                ids.extend((part,) if isinstance(part, int) else self.encode_word(part))
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces (the file names no decoder)."""
-        return " ".join(self.text_of[i] for i in ids)
+        return " ".join([self.text_of[i] for i in ids])
 
 
 class _Remembered(dict):
-    """Ids and decoded text of the words seen lately."""
+    """What was made of the keys seen lately. When it is full, it becomes the older half, from which
+    keys that are seen again come back; the others are forgotten at the next time."""
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
+    def __init__(self, make):
+        self.make, self.older = make, {}
 
-    def __missing__(self, part: int | str) -> tuple[bytes, str]:
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= REMEMBERED_WORDS:
+            self.older = dict(self)
             self.clear()
-        ids = [part] if isinstance(part, int) else self.bpe.encode_word(part)
-        self[part] = found = (np.array(ids, np.int32).tobytes(), self.bpe.decode(ids))
+        self[key] = found
         return found
 
 
+def remembering(bpe: WordBpe) -> _Remembered:
+    """Piece -> (ids as bytes, decoded text), by way of its words."""
+    def of_word(part: int | str) -> tuple[bytes, str]:
+        ids = [part] if isinstance(part, int) else bpe.encode_word(part)
+        return array("i", ids).tobytes(), bpe.decode(ids)
+
+    words = _Remembered(of_word)
+
+    def of_piece(piece: str) -> tuple[bytes, str]:
+        parts = bpe.parts(piece)
+        if len(parts) == 1:
+            return words[parts[0]]
+        found = [words[part] for part in parts]
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+
+    return _Remembered(of_piece)
+
+
+class _Shared:
+    """The vocabulary file, and in each worker process what is made of it, once for all its tasks."""
+
+    def __init__(self, spec_json: str):
+        self.spec_json, self.pieces, self.known = spec_json, WordBpe.pieces, None
+
+    def __reduce__(self):
+        return _Shared, (self.spec_json,)
+
+    def remembered(self) -> _Remembered:
+        if self.known is None:
+            self.known = remembering(WordBpe(self.spec_json))
+        return self.known
+
+
 def encode_decode(
     documents: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -183,17 +252,16 @@ def encode_decode(
     file). The work is per row, texts are never cut: no shuffle.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        spec = documents.sparkSession.sparkContext.broadcast(file.read())
+        spec = documents.sparkSession.sparkContext.broadcast(_Shared(file.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(spec.value)
-        known = _Remembered(bpe)
+        known, pieces = spec.value.remembered(), spec.value.pieces
         for batch, _, _ in slices(batches):
             coded, decoded = [], []
             for text in batch.column("text").to_pylist():
-                found = list(map(known.__getitem__, bpe.parts(text or "")))
+                found = [known[piece] for piece in pieces(text or "")]
                 coded.append(b"".join([f[0] for f in found]))
-                decoded.append(" ".join([f[1] for f in found]))
+                decoded.append(" ".join([f[1] for f in found if f[0]]))
             offsets = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(
                 pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32))
