@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
+    least = written(least.select("a", F.least("a", "least").alias("least")))
     return (
         both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         .where("a <> b").distinct()
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("least")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that occurs in ``edges`` (a, b; longs, no nulls);
     ``component`` is the smallest node reachable. A node with any number of neighbours is
     aggregated on the map side; the rows never outnumber the edges. Each round is written, so
-    the plan stays small; the rounds end when a round changes nothing.
+    the plan stays small; the least nodes are written by themselves, so that the join's other side,
+    in which a node may hold most rows, can be split. The rounds end when a round changes nothing.
     """
     edges = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

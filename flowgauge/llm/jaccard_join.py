@@ -488,7 +488,8 @@ def jaccard_components(
         reached.join(smallest, "component").select("code", "smallest").join(links, "code"),
         "code", "left",
     )
-    return docs.join(of_set, "code", "left").select(
+    # Written, so that the documents' side, in which a set may hold most rows, can be split.
+    return docs.join(written(of_set), "code", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("smallest", "least")).otherwise(F.col("id"))
         .alias("component_id"),

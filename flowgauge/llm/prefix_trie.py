@@ -226,9 +226,9 @@ def prefix_trie(
     nodes = written(_suffix_sums(entered, ("saved",)).groupBy("name").agg(
         F.min("conv").alias("conv_id"), F.sum("weight").alias("n_convs"), F.sum("leaf").alias("n_leaves"),
         F.sum("saved").alias("saved_tokens"), F.first("parent").alias("parent")))
-    # A parent that a large share of all nodes hang from meets them as one row.
     children = nodes.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"))
-    inner = nodes.select("name", "conv_id").join(children.withColumnRenamed("parent", "name"), "name")
+    # Written, so that the nodes' side, in which most may have one parent, can be split.
+    inner = written(nodes.select("name", "conv_id").join(children.withColumnRenamed("parent", "name"), "name"))
     below = nodes.join(
         inner.select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id")), "parent", "left")
     return (
