@@ -74,7 +74,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
     near = near_groups(named, corpus_pipeline.NEAR)
     single = {i: texts[i] for i, _ in named if near[i][1] == i}
     assert {80, 81} & set(single) == set()
-    assert {r["doc_id"] for r in results[1].collect()} == set(single) | {None}
+    # The row without an id is a near copy of 83, which stays.
+    assert 83 in single and {r["doc_id"] for r in results[1].collect()} == set(single)
     plain = {i: r[3].decode("utf-8", "ignore") for i, r in without_repeats(list(single.items()), 100).items()}
     plain = {i: t for i, t in plain.items() if t.strip()}
     assert {i: r["text"] for i, r in by_id(results[2]).items() if i is not None} == plain
@@ -97,3 +98,23 @@ def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_ids_go_through_all_stages(spark, tmp_path):
+    rows, items = write(spark, str(tmp_path / "with_ids"))
+    docs = spark.read.parquet(f"{tmp_path}/with_ids/documents.parquet").where("doc_id IS NOT NULL")
+    own = "a text that only this row has and that reads like the others do in this small corpus of ours"
+    more = [rows[65][1], rows[3][1], own, own, f"{own} {items[2]} {own[::-1]}"]  # junk, a copy, twins, benchmark
+    extra = spark.createDataFrame(
+        [(None, t, "en", f"src{k % 4}", len(t)) for k, t in enumerate(more)], docs.schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/with_ids/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)))
+        left.append(sorted(r.text for r in docs.where("doc_id IS NULL").collect()))
+    assert left[0] == sorted(more[1:])
+    assert left[1] == sorted([own, more[4]])
+    assert not any(items[2] in t for t in left[3]) and len(left[3]) == 2
+    assert docs.where("doc_id = 3").count() == 1
