@@ -2,9 +2,10 @@
 
 ``documents`` goes through quality classifier, n-gram Jaccard join, suffix-array dedup, benchmark
 decontamination, and BPE encoding and decoding. All stages but the last return the columns of
-documents. Rows that share a doc_id are one document, of which the second stage leaves one; rows
-without a doc_id can't be named in an operator's result and reach the last stage as they are. Null
-texts have no words and are rejected by the first stage if they have an id.
+documents. Rows that share a doc_id are one document, of which the second stage leaves one. Each row
+without a doc_id is a document of its own; within a stage it goes by a number beyond all ids, so of
+copies the one with an id stays, and keeps its null. Null texts have no words and are rejected by the
+first stage.
 """
 
 from __future__ import annotations
@@ -28,30 +29,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids from here on are those of rows that have none.
+_UNNAMED = 1 << 62
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number in the place of missing ids; written if there are any, so that a row
+    has one number for the whole stage."""
+    if not docs.where("doc_id IS NULL").limit(1).count():
+        return docs.select(*COLUMNS)
+    number = F.lit(_UNNAMED) + F.monotonically_increasing_id()
+    return written(docs.withColumn("doc_id", F.coalesce("doc_id", number)).select(*COLUMNS))
+
+
+def _as_they_came(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.when(F.col("doc_id") < _UNNAMED, F.col("doc_id"))).select(*COLUMNS)
+
+
 def _with_text(docs: DataFrame) -> DataFrame:
     """Documents that still have a word, with their new length."""
-    left = docs.where(F.col("doc_id").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
+    docs = _named(docs)
     judged = site_quality.classify(docs, _table(spark, sf_dir, "labels"))
     good = judged.where("kept").select("doc_id").distinct()
-    named = docs.join(good, "doc_id", "left_semi")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return _as_they_came(docs.join(good, "doc_id", "left_semi"))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: one document of each group stays."""
-    return jaccard_join.one_per_component(docs.select(*COLUMNS), NEAR)
+    return _as_they_came(jaccard_join.one_per_component(_named(docs), NEAR))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes of repeated strings go, and documents that are left empty."""
-    cut = suffix_dedup.remove_repeats(docs, as_text=True).where("doc_id IS NOT NULL")
+    docs = _named(docs)
+    cut = suffix_dedup.remove_repeats(docs, as_text=True)
     named = docs.drop("text").join(cut.select("doc_id", F.col("kept").alias("text")), "doc_id")
-    return _with_text(named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)))
+    return _as_they_came(_with_text(named))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
