@@ -447,6 +447,10 @@ _EVENTS: dict[str, Query] = {
 }
 
 
+#: Queries that write what they read anew each time.
+WRITING = frozenset(_GROWN) | {n for n in _ROBUST if n.startswith("text_times") or n.endswith("stored_order")}
+
+
 @cache
 def all_queries() -> dict[str, Query]:
     return {**_RETRIEVAL, **_PATTERNS, **_QUALITY, **_QUESTIONS, **_ROBUST, **_GROWN, **_IN_PLACE, **_EVENTS}
