@@ -6,12 +6,12 @@ from __future__ import annotations
 import uuid
 from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowgauge import FlowSchema, FlowTable
 from flowgauge.session import shared_folder
-from flowgauge.sources import as_flow_table, read_flow_table, write_distinct
+from flowgauge.sources import as_flow_table, read_flow_table
 
 # The columns read from each table; stating them saves a schema job per table and query.
 SCHEMAS = {
@@ -33,10 +33,11 @@ def flow_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
+    # Customers meet the orders, of which there are fewer than lines.
+    orders = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined = (
         table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -77,22 +78,34 @@ _lock = Lock()
 
 
 def write_flow_table(spark: SparkSession, sf_dir: str) -> str:
-    """Derive the flow table and its distinct copy once and write both to the shared folder:
-    the joins and the whole-row shuffle are then not repeated by every analysis."""
+    """Derive the flow table once and write it to the shared folder, the first row of each kind apart
+    from its copies: the joins and the whole-row shuffle are then not repeated by every analysis."""
     folder = f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
     # The joins run once; what looks at the rows again, as ranging does, reads what they made.
     flow_rows(spark, sf_dir).write.parquet(f"{folder}/joined")
     joined = spark.read.schema(FLOW_SCHEMA).parquet(f"{folder}/joined")
-    # Both copies are laid out by time, so that a year filter skips files.
-    ranged = joined.repartitionByRange("eff_gas_day", F.xxhash64("loc_name", "pipeline_name"))
-    ranged.sortWithinPartitions("eff_gas_day").write.parquet(f"{folder}/rows")
-    rows = spark.read.schema(FLOW_SCHEMA).parquet(f"{folder}/rows")
-    write_distinct(as_flow_table(rows), f"{folder}/distinct")
+    told_apart(joined).write.partitionBy("again").parquet(f"{folder}/rows")
     return folder
 
 
+#: Rows of a range, about: so many fit into the memory of a task at any size of the table.
+RANGE_ROWS = 500_000
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """The rows and ``again``: whether there is an equal one before. They are laid out by time, so that
+    a year filter skips files. Equal rows have one time and one hash, so they lie in one range and are
+    numbered there: this takes no other shuffle."""
+    columns, ranges = rows.columns, 1 + rows.count() // RANGE_ROWS
+    ranged = rows.withColumn("name", F.xxhash64(*columns)).repartitionByRange(ranges, "eff_gas_day", "name")
+    others = [c for c in columns if c != "eff_gas_day"]
+    equal = Window.partitionBy("eff_gas_day", "name", *others).orderBy("eff_gas_day")
+    marked = ranged.select(*columns, (F.row_number().over(equal) > 1).alias("again"))
+    return marked.sortWithinPartitions("again", "eff_gas_day")
+
+
 def flow(spark: SparkSession, sf_dir: str) -> FlowTable:
-    """The flow table of an application and its distinct copy, written at first use and again
+    """The flow table of an application and its distinct rows, written at first use and again
     when the given tables have changed."""
     key = (spark.sparkContext.applicationId, sf_dir, _state_of(spark, sf_dir))
     with _lock:
@@ -100,7 +113,7 @@ def flow(spark: SparkSession, sf_dir: str) -> FlowTable:
             _written[key] = write_flow_table(spark, sf_dir)
     read = spark.read.schema(FLOW_SCHEMA).parquet
     return as_flow_table(
-        read(f"{_written[key]}/rows"), distinct=read(f"{_written[key]}/distinct")
+        read(f"{_written[key]}/rows/again=*"), distinct=read(f"{_written[key]}/rows/again=false")
     )
 
 

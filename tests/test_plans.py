@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowgauge.operators import anomaly, patterns, quality, retrieval
 from flowgauge.plans import questions
@@ -95,3 +96,33 @@ def test_near_drops_meet_by_equal_bins(spark):
 def test_stored_order_is_cut_before_the_shuffle(spark):
     text = plan(quality.rule_violation_examples(flow(spark, SF_DIR), "SMALL", "receipts", stored=True))
     assert "TakeOrderedAndProject" in text and "row_index" in text
+
+
+def test_equal_rows_are_told_apart_in_one_shuffle(spark, monkeypatch):
+    from registry import flow_view
+
+    monkeypatch.setattr(flow_view, "RANGE_ROWS", 1000)
+    rows = flow_view.flow_rows(spark, SF_DIR).localCheckpoint()
+    marked = flow_view.told_apart(rows)
+    text = plan(marked)
+    assert text.count("Exchange ") == 1 and "Exchange rangepartitioning" in text
+    assert marked.where("not again").count() == rows.dropDuplicates().count()
+    assert marked.count() == rows.count() > marked.where("not again").count()
+
+
+def test_flow_table_is_written_by_ranges_of_bounded_size(spark, monkeypatch):
+    from registry import flow_view
+
+    monkeypatch.setattr(flow_view, "RANGE_ROWS", 500)
+    rows = flow_view.flow_rows(spark, SF_DIR).localCheckpoint()
+    sizes = [r["count"] for r in flow_view.told_apart(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > rows.count() // 600 and max(sizes) < 1500
+
+
+def test_customers_meet_orders_before_lines(spark):
+    from registry.flow_view import flow_rows
+
+    text = flow_rows(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    depth = {t: next(len(x) - len(x.lstrip(" :")) for x in text.splitlines() if k in x and "Relation" in x)
+             for t, k in (("lines", "l_orderkey"), ("orders", "o_orderkey"), ("customers", "c_custkey"))}
+    assert depth["orders"] == depth["customers"] > depth["lines"]
