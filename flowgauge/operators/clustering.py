@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -33,15 +34,23 @@ SUMMER_PEAKS = {"monthly": (6, 7, 8), "quarterly": (3,)}
 @dataclass(frozen=True)
 class Clustering:
     """``assignments``: entity -> cluster; ``statistics``: one row per cluster, over unscaled
-    volumes; ``quality``: one row, with mean silhouettes by Euclidean (which the label goes by) and by
-    squared Euclidean distance, and the iterations of the chosen fit and whether it settled
-    before the most allowed; ``members``: entity, profile, scaled features and cluster. Cluster 0
-    has the largest mean volume."""
+    volumes; ``members``: entity, profile, scaled features and cluster, where cluster 0 has the largest
+    mean volume; ``by``: the entity's column; ``iterations`` of the chosen fit, and whether it
+    ``converged`` before the most allowed."""
 
     assignments: DataFrame
     statistics: DataFrame
-    quality: DataFrame
     members: DataFrame
+    by: str
+    iterations: int
+    converged: bool
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        """One row, with mean silhouettes by Euclidean (which the label goes by) and by squared
+        Euclidean distance, and how the fit ended. Runs Spark jobs when first asked for: distances
+        grow with the square of the entities, and nothing else here needs them."""
+        return _quality(self.members, self.by, self.iterations, self.converged)
 
 
 def seasonal_profiles(
@@ -210,16 +219,16 @@ def _describe(
         .alias("coefficient_of_variation"),
         _usage(peak, grain).alias("usage_pattern"),
     ).join(members, "cluster")
-    return Clustering(assignments, statistics, _quality(predicted, by, *fit), clustered)
+    return Clustering(assignments, statistics, clustered, by, *fit)
 
 
-def _quality(predicted: DataFrame, by: str, iterations: int, converged: bool) -> DataFrame:
-    spark = predicted.sparkSession
+def _quality(members: DataFrame, by: str, iterations: int, converged: bool) -> DataFrame:
+    spark = members.sparkSession
     mean, squared = 0.0, 0.0
-    if predicted.select("prediction").distinct().count() > 1:
-        mean = silhouettes(predicted, by, "prediction", "features").agg(F.avg("silhouette")).first()[0]
-        vectors = predicted.withColumn("features", array_to_vector("features"))
-        squared = ClusteringEvaluator().evaluate(vectors)
+    if members.select("cluster").distinct().count() > 1:
+        mean = silhouettes(members, by, "cluster", "features").agg(F.avg("silhouette")).first()[0]
+        vectors = members.withColumn("features", array_to_vector("features"))
+        squared = ClusteringEvaluator(predictionCol="cluster").evaluate(vectors)
     return spark.range(1).select(
         F.lit(float(mean)).alias("silhouette"), F.lit(float(squared)).alias("silhouette_sq_euclidean"),
         F.lit(iterations).alias("iterations"), F.lit(converged).alias("converged"),

@@ -23,8 +23,26 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Points in a block, about.
 BLOCK_POINTS = 4096
-#: Points of a block whose distances a task holds at a time.
-_STRIP = 256
+#: Distances that a task holds at a time, about: few enough to stay in the cache of a core.
+_HELD = 1 << 15
+
+
+def add_distances(mine: np.ndarray, theirs: np.ndarray, sums: np.ndarray) -> None:
+    """Add to ``sums`` the distances of each of my points to all of theirs. Points are axes x points."""
+    n = theirs.shape[1]
+    if not n:
+        return
+    step = max(1, _HELD // n)
+    squares, gaps = np.empty((step, n)), np.empty((step, n))
+    for start in range(0, mine.shape[1], step):
+        strip = mine[:, start : start + step, None]
+        total, gap = squares[: strip.shape[1]], gaps[: strip.shape[1]]
+        total.fill(0.0)
+        for axis in range(len(mine)):
+            np.subtract(strip[axis], theirs[axis], out=gap)
+            np.multiply(gap, gap, out=gap)
+            np.add(total, gap, out=total)
+        sums[start : start + step] += np.sqrt(total, out=total).sum(axis=1)
 
 
 def silhouettes(
@@ -55,7 +73,7 @@ def silhouettes(
     # Each block is sent to the tasks of all blocks.
     meetings = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
         "keys", F.lit(None).cast(own.schema["keys"].dataType))
-    met = own.unionByName(meetings.select(own.columns)).repartition(blocks, "block").sortWithinPartitions("block", "other")
+    met = own.unionByName(meetings.select(own.columns)).repartitionByRange(blocks, "block").sortWithinPartitions("block", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = None
@@ -68,31 +86,25 @@ def silhouettes(
                 if one.column("other")[0].as_py() < 0:
                     if here is not None:
                         yield finished(here)
-                    here = (one.column("keys").flatten(), clusters, x, np.zeros((len(x), len(numbers))), block)
+                    here = (one.column("keys").flatten(), clusters, x.T.copy(), np.zeros((len(x), len(numbers))), block)
                     continue
                 if here is None or here[-1] != block:
                     continue  # a block that no point fell into
                 _, _, mine, sums, _ = here
                 for c, number in enumerate(numbers):
-                    theirs = x[clusters == number]
-                    for start in range(0, len(mine), _STRIP):
-                        strip = mine[start : start + _STRIP]
-                        squares = np.zeros((len(strip), len(theirs)))
-                        for axis in range(x.shape[1]):
-                            squares += (strip[:, axis, None] - theirs[None, :, axis]) ** 2
-                        sums[start : start + _STRIP, c] += np.sqrt(squares).sum(axis=1)
+                    add_distances(mine, x[clusters == number].T.copy(), sums[:, c])
         if here is not None:
             yield finished(here)
 
     def finished(here: tuple) -> pa.RecordBatch:
-        keys, clusters, x, sums, _ = here
+        keys, clusters, _, sums, _ = here
         n = np.array([sizes[number] for number in numbers], float)
         place = np.searchsorted(numbers, clusters)
-        rows = np.arange(len(x))
+        rows = np.arange(len(sums))
         inside = sums[rows, place] / np.maximum(n[place] - 1, 1)
         means = sums / n
         means[rows, place] = np.inf
-        outside = means.min(axis=1) if len(numbers) > 1 else np.zeros(len(x))
+        outside = means.min(axis=1) if len(numbers) > 1 else np.zeros(len(sums))
         largest = np.maximum(inside, outside)
         score = np.where(largest > 0, (outside - inside) / np.where(largest > 0, largest, 1), 0.0)
         score[(n[place] == 1) | (len(numbers) == 1)] = 0.0

@@ -180,3 +180,22 @@ def test_silhouettes_are_exact(spark, block_points):
 def test_one_cluster_has_no_silhouette(spark):
     df = spark.createDataFrame([("a", 1, [0.0]), ("b", 1, [3.0])], "key string, label int, x array<double>")
     assert [r.silhouette for r in silhouettes(df, "key", "label", "x").collect()] == [0.0, 0.0]
+
+
+def test_only_quality_measures_silhouettes(two_blocks, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("distances were asked for")
+
+    monkeypatch.setattr(clustering, "silhouettes", refuse)
+    result = clustering.perform_clustering(two_blocks, n_clusters=2)
+    checks = {(r["check_name"], r["period"]): r["value"] for r in dicts(clustering.cluster_checks(result, "loc_name"))}
+    assert result.assignments.count() == 6 and checks["entities", 0] == 6
+    with pytest.raises(AssertionError):
+        result.quality  # noqa: B018
+
+
+def test_each_block_has_a_task_of_its_own(spark):
+    points = spark.range(400).selectExpr(
+        "cast(id as string) as key", "cast(id % 3 as int) as cluster", "array(cast(id as double), 1.0D) as features")
+    scored = silhouettes(points, "key", "cluster", "features", block_points=20)
+    assert scored.select(F.spark_partition_id()).distinct().count() == 20
