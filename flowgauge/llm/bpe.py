@@ -10,6 +10,7 @@ pointers from the end of the word gives the exact ids.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 
 from flowgauge.llm.common import slices
 
-#: Distinct pieces, and distinct words, whose ids a worker remembers at a time, and as many from
-#: before; beyond it forgets and goes on.
+#: Distinct words, and distinct pieces, whose ids a worker remembers at a time, and as many from
+#: before; beyond it forgets and goes on. A new piece of known words costs little.
 REMEMBERED_WORDS = 150_000
+REMEMBERED_PIECES = 110_000
+#: Characters of the longest of them: longer ones hardly come again, and have no bound in memory.
+REMEMBERED_LENGTH = 40
 #: Pairs of tokens whose compatibility a task remembers at a time.
 REMEMBERED_PAIRS = 500_000
 
@@ -194,14 +198,16 @@ class _Remembered(dict):
     """What was made of the keys seen lately. When it is full, it becomes the older half, from which
     keys that are seen again come back; the others are forgotten at the next time."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make, most):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= REMEMBERED_WORDS:
+            if isinstance(key, str) and len(key) > REMEMBERED_LENGTH:
+                return found
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = found
@@ -214,7 +220,7 @@ def remembering(bpe: WordBpe) -> _Remembered:
         ids = [part] if isinstance(part, int) else bpe.encode_word(part)
         return array("i", ids).tobytes(), bpe.decode(ids)
 
-    words = _Remembered(of_word)
+    words = _Remembered(of_word, REMEMBERED_WORDS)
 
     def of_piece(piece: str) -> tuple[bytes, str]:
         parts = bpe.parts(piece)
@@ -223,7 +229,7 @@ def remembering(bpe: WordBpe) -> _Remembered:
         found = [words[part] for part in parts]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
-    return _Remembered(of_piece)
+    return _Remembered(of_piece, REMEMBERED_PIECES)
 
 
 class _Shared:
@@ -255,6 +261,9 @@ def encode_decode(
         spec = documents.sparkSession.sparkContext.broadcast(_Shared(file.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What earlier stages left in this worker goes back first.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         known, pieces = spec.value.remembered(), spec.value.pieces
         for batch, _, _ in slices(batches):
             coded, decoded = [], []

@@ -552,3 +552,24 @@ def test_bpe_tables(docs_of):
     assert kept[1]["decoded"] == "hello</w> world</w>" and kept[2]["ids"] == [] and kept[None]["decoded"] == ""
     assert len(kept[3]["ids"]) > 120_000
     assert bpe.encode_decode(docs_of([]), tokenizer_path()).count() == 0
+
+
+def test_long_pieces_are_encoded_but_not_remembered():
+    from flowgauge.llm import bpe
+    from flowgauge.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        known = bpe.remembering(bpe.WordBpe(file.read()))
+    long = [f"{k}" * 5_000 for k in range(10, 60)]
+    assert all(known[piece][0] for piece in long) and known["short"][0]
+    assert [*known] == ["short"] and not known.older
+
+
+def test_remembered_pieces_stay_below_their_bound(monkeypatch):
+    from flowgauge.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED_PIECES", 10)
+    made = []
+    known = bpe._Remembered(lambda key: made.append(key) or key, bpe.REMEMBERED_PIECES)
+    assert [known[f"{k % 25}"] for k in range(200)] == [f"{k % 25}" for k in range(200)]
+    assert len(known) <= 10 and len(known.older) <= 10 and len(set(made)) == 25
