@@ -2,10 +2,11 @@
 
 The store keeps, in batches, the distinct rows and beside them a ledger of their fingerprints in hash
 buckets. When files are added to the table, only these are read; their rows are named by fingerprint,
-compared with the ledger in the buckets they fall into, and those that are new are appended. A batch
-counts from the moment its commit is written: a job that dies leaves files that nobody reads.
+these names alone are compared with the ledger in the buckets they fall into, and the rows that are new are
+appended: whole rows are shuffled once a batch. A batch counts from the moment its commit is written: a job
+that dies leaves files that nobody reads.
 
-Folders of a store: rows/<batch> (the columns of the table and the fingerprint, ranged by time),
+Folders of a store: rows/<batch> (the columns of the table, ranged by time),
 prints/<batch>/bucket=<b> (fingerprints), files/<batch> (source files), commits (one row per batch).
 """
 
@@ -15,7 +16,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,9 @@ from flowgauge.table import FlowTable
 
 #: Name of the fingerprint column in the store.
 PRINT = "__print"
+_KNOWN = "__known"
+#: Rows of a range, about: so many fit into the memory of a task, however large the batch.
+RANGE_ROWS = 300_000
 _COMMIT = ("batch_no long, batch string, buckets int, columns string, files long, rows_read long, "
            "rows_new long, buckets_touched long")
 _FILES = "path string, size long, modified timestamp"
@@ -50,11 +54,26 @@ def _text_of(value: Column, kind: T.DataType) -> Column:
         return F.unix_micros(value).cast("string")  # not by the time zone of the session
     if isinstance(kind, T.BinaryType):
         return F.hex(value)
-    if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(_zeros_alike(value, kind).alias("v"))))
     return value.cast("string")
 
 
+def _zeros_alike(value: Column, kind: T.DataType) -> Column:
+    """0.0 for -0.0 inside arrays, structs and maps; maps as their entries in order."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value + F.lit(0.0).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _zeros_alike(item, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_zeros_alike(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return F.array_sort(_zeros_alike(F.map_entries(value), T.ArrayType(entry)))
+    return value
+
+
 @dataclass(frozen=True)
 class DistinctStore:
     """The distinct rows of the Parquet table at ``table_path``, kept at ``path``. ``buckets`` is
@@ -111,31 +130,41 @@ class DistinctStore:
         columns = _ddl(read.schema)
         if commits and commits[0].columns != columns:
             raise ValueError(f"the new files have other columns or types than the store at {self.path}")
-        rows = read.dropDuplicates().withColumn(PRINT, fingerprint(read))
-        touched = buckets
+        rows_read, touched, known = read.count(), buckets, None
         if commits:
-            rows = cut_lineage(rows)
-            prints = rows.select(PRINT, _bucket(buckets))
-            numbers = [r.bucket for r in prints.select("bucket").distinct().collect()]  # at most `buckets`
+            time = F.col(self.roles.time)
+            names = cut_lineage(read.select(time, fingerprint(read).alias(PRINT))).withColumn("bucket", _bucket(buckets))
+            numbers = [r.bucket for r in names.select("bucket").distinct().collect()]  # at most `buckets`
             ledger = self._read("prints", f"`{PRINT}` binary, bucket int", commits)
-            known = ledger.where(F.col("bucket").isin(numbers)).join(prints, ["bucket", PRINT], "left_semi")
-            rows = rows.join(known.drop("bucket"), PRINT, "left_anti")
-            touched = len(numbers)
+            known = ledger.where(F.col("bucket").isin(numbers)).join(names, ["bucket", PRINT]).drop("bucket")
+            known, touched = cut_lineage(known.distinct()), len(numbers)
         batch = uuid.uuid4().hex
         target = f"{self.path}/rows/{batch}"
-        time = F.col(self.roles.time)
-        cut_lineage(rows).repartitionByRange(time, PRINT).sortWithinPartitions(time).write.parquet(target)
-        appended = self.spark.read.schema(f"`{PRINT}` binary").parquet(target)
-        appended.select(PRINT, _bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(
-            f"{self.path}/prints/{batch}")
+        self._first_of_each(read, known, 1 + rows_read // RANGE_ROWS).write.parquet(target)
+        appended = self.spark.read.schema(read.schema).parquet(target)
+        names = appended.select(fingerprint(appended).alias(PRINT)).withColumn("bucket", _bucket(buckets))
+        names.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/prints/{batch}")
         self.spark.createDataFrame(files, _FILES).coalesce(1).write.parquet(f"{self.path}/files/{batch}")
         commit = Row(
             batch_no=len(commits), batch=batch, buckets=buckets, columns=columns, files=len(files),
-            rows_read=read.count(), rows_new=appended.count(), buckets_touched=touched)
+            rows_read=rows_read, rows_new=appended.count(), buckets_touched=touched)
         self.spark.createDataFrame([commit], _COMMIT).coalesce(1).write.mode("append").parquet(
             f"{self.path}/commits")
         return commit
 
+    def _first_of_each(self, read: DataFrame, known: DataFrame | None, ranges: int) -> DataFrame:
+        """One of each kind of rows that is not known, ranged by time. Equal rows have one time and one
+        fingerprint, and known names come with both, so all of a kind meet in one range. There copies
+        are dropped as they come, so that a row with any number of them takes no more memory."""
+        columns, keys = read.columns, [self.roles.time, PRINT]
+        rows = read.withColumns({PRINT: fingerprint(read), _KNOWN: F.lit(False)})
+        if known is not None:
+            rows = rows.unionByName(known.withColumn(_KNOWN, F.lit(True)), allowMissingColumns=True)
+        rows = rows.repartitionByRange(ranges, *keys).dropDuplicates()
+        if known is not None:
+            rows = rows.withColumn(_KNOWN, F.max(_KNOWN).over(Window.partitionBy(*keys))).where(~F.col(_KNOWN))
+        return rows.select(columns).sortWithinPartitions(self.roles.time)
+
     # -- parts -------------------------------------------------------------------------------
 
     def _raw(self, names: list[str] | None = None) -> DataFrame:
@@ -146,7 +175,7 @@ class DistinctStore:
 
     def _rows(self, commits: list[Row]) -> DataFrame:
         raw = self._raw()
-        return self._read("rows", f"{_ddl(raw.schema)}, `{PRINT}` binary", commits).select(*raw.columns)
+        return self._read("rows", _ddl(raw.schema), commits)
 
     def _commits(self) -> DataFrame:
         if not _exists(self.spark, f"{self.path}/commits"):
@@ -180,7 +209,7 @@ class DistinctStore:
 
 def _bucket(buckets: int) -> Column:
     """By the first four bytes of the fingerprint."""
-    return F.pmod(F.conv(F.hex(F.substring(PRINT, 1, 4)), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket")
+    return F.pmod(F.conv(F.hex(F.substring(PRINT, 1, 4)), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
 def _ddl(schema: T.StructType) -> str:

@@ -16,7 +16,7 @@ from flowgauge.operators import anomaly, clustering, patterns, profile, quality,
 from flowgauge.plans import questions
 from flowgauge.session import shared_folder
 from flowgauge.sources import DistinctStore, ParsedTimes, parse_times, table_size
-from registry.flow_view import FLOW_SCHEMA, events, flow, flow_in_place, stored_flow, text_time_rows
+from registry.flow_view import FLOW_SCHEMA, events, flow, flow_in_place, flow_rows, stored_flow, text_time_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -356,7 +356,7 @@ _QUESTIONS: dict[str, Query] = {
 def _grown(spark: SparkSession, sf_dir: str) -> DistinctStore:
     """The distinct copy of a table that came in two parts; the second repeats rows of the first."""
     folder = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
-    rows = flow(spark, sf_dir).raw
+    rows = flow_rows(spark, sf_dir)
     store = DistinctStore(spark, f"{folder}/rows", f"{folder}/store", schema=FLOW_SCHEMA)
     rows.where(F.col("eff_gas_day") < CUTOFF).write.parquet(f"{folder}/rows")
     store.grow()

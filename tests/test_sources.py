@@ -178,6 +178,29 @@ def test_other_columns_are_refused(spark, growing, tmp_path):
         store.grow()
 
 
+def test_whole_rows_are_shuffled_once_and_never_checkpointed(spark, flow_of, growing, monkeypatch):
+    store, path = growing
+    append(flow_of, path, [{"pipeline_name": "P2", "scheduled_quantity": 2.0}]
+           + [{"pipeline_name": "P9", "scheduled_quantity": 9.0}] * 50)
+    seen, cut = [], distinct_store.cut_lineage
+    monkeypatch.setattr(distinct_store, "RANGE_ROWS", 10)
+    monkeypatch.setattr(distinct_store, "cut_lineage", lambda df: (seen.append(df), cut(df))[1])
+    first, made = distinct_store.DistinctStore._first_of_each, []
+    monkeypatch.setattr(distinct_store.DistinctStore, "_first_of_each", lambda *a: (made.append(first(*a)), made[-1])[1])
+    store.grow()
+    assert seen and all(set(df.columns) <= {"eff_gas_day", distinct_store.PRINT} for df in seen)
+    text = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1 and "Exchange rangepartitioning" in text
+    assert in_store(store) == [("P1", 1.0), ("P2", 2.0), ("P3", 3.0), ("P9", 9.0)]
+
+
+def test_zeros_inside_arrays_and_structs_are_alike(spark):
+    rows = spark.createDataFrame(
+        [([0.0, 1.0], (0.0,)), ([-0.0, 1.0], (-0.0,)), ([1.0, 0.0], (0.0,)), (None, None)],
+        "a array<double>, s struct<x: double>")
+    assert rows.select(fingerprint(rows)).distinct().count() == rows.dropDuplicates().count() == 3
+
+
 # ---- text for times --------------------------------------------------------------------------
 
 
