@@ -28,6 +28,10 @@ SCHEMAS = {
 }
 
 
+#: Lines that a task of the first join takes, about, however large the tables.
+JOIN_ROWS = 500_000
+
+
 def flow_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The flow columns and, on request, ``more`` of the given tables' columns or the copy number."""
     def table(name: str) -> DataFrame:
@@ -35,8 +39,14 @@ def flow_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
     # Customers meet the orders, of which there are fewer than lines.
     orders = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table("lineitem")
+    tasks = lines.count() // JOIN_ROWS  # from the footers
+    if tasks > spark.sparkContext.defaultParallelism:
+        # By bytes of a shuffle a task would get millions of these short rows, which it sorts, widens
+        # and in some queries groups or sorts again.
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
     joined = (
-        table("lineitem")
+        lines
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -126,3 +126,16 @@ def test_customers_meet_orders_before_lines(spark):
     depth = {t: next(len(x) - len(x.lstrip(" :")) for x in text.splitlines() if k in x and "Relation" in x)
              for t, k in (("lines", "l_orderkey"), ("orders", "o_orderkey"), ("customers", "c_custkey"))}
     assert depth["orders"] == depth["customers"] > depth["lines"]
+
+
+@pytest.mark.parametrize("rows_a_task", [100, 10**9])
+def test_lines_meet_orders_in_tasks_of_bounded_size(spark, monkeypatch, rows_a_task):
+    from registry import flow_view
+
+    whole = flow_view.flow_rows(spark, SF_DIR)
+    monkeypatch.setattr(flow_view, "JOIN_ROWS", rows_a_task)
+    rows = flow_view.flow_rows(spark, SF_DIR)
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    dealt = re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", plan(rows))
+    assert (int(dealt.group(1)) >= lines // 100) if rows_a_task == 100 else dealt is None
+    assert rows.exceptAll(whole).isEmpty() and whole.exceptAll(rows).isEmpty()
