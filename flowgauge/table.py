@@ -84,6 +84,21 @@ class FlowTable:
         return F.coalesce(F.sum(F.when(self.sign == direction, self.measure)), F.lit(0.0))
 
 
+#: Rows that a task of a stored table groups, about, where it is dealt out before grouping.
+TASK_ROWS = 500_000
+
+
+def in_small_tasks(table: FlowTable, rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` of a stored table dealt out by ``keys``, for groupings by keys that hardly repeat: a
+    split of well compressed files holds millions of rows, and a task would keep nearly all of them.
+    A table without a distinct copy is left as it is; what it is grouped from comes out of a shuffle,
+    and counting it would run its whole plan."""
+    if table.distinct is None:
+        return rows
+    tasks = table.raw.count() // TASK_ROWS  # from the footers
+    return rows if tasks < 2 else rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def missing(table: FlowTable, column: str, *, empty_is_missing: bool = False) -> Column:
     """Null, or NaN in a float column; on request also the empty string in a string column."""
     value = F.col(column)

@@ -139,3 +139,18 @@ def test_lines_meet_orders_in_tasks_of_bounded_size(spark, monkeypatch, rows_a_t
     dealt = re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", plan(rows))
     assert (int(dealt.group(1)) >= lines // 100) if rows_a_task == 100 else dealt is None
     assert rows.exceptAll(whole).isEmpty() and whole.exceptAll(rows).isEmpty()
+
+
+def test_activity_is_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    from flowgauge import table as tables
+
+    table = flow(spark, SF_DIR)
+    for analysis in (patterns.monthly_trends, patterns.quarterly_activity):
+        monkeypatch.setattr(tables, "TASK_ROWS", 10**9)
+        whole = analysis(table, last=None)
+        monkeypatch.setattr(tables, "TASK_ROWS", 100)
+        dealt = analysis(table, last=None)
+        text = plan(dealt)
+        # Nothing is grouped where files are read.
+        assert "REPARTITION_BY_NUM" in text and "Aggregate" not in text[text.rindex("REPARTITION_BY_NUM"):]
+        assert dealt.exceptAll(whole).isEmpty() and dealt.count() == whole.count() > 0
