@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgauge.functions.predicates import apply_filters, direction_sign
-from flowgauge.table import FlowTable, missing, with_keys
+from flowgauge.table import FlowTable, in_small_tasks, missing, with_keys
 
 Filters = Mapping[str, Any] | None
 
@@ -86,6 +86,10 @@ def completeness_examples(
     return examples.orderBy(*keys, "missing_fields").limit(limit)
 
 
+#: Entities shown that are sent to all tasks; more of them meet the rows as Spark chooses.
+MAX_BROADCAST_ENTITIES = 10_000
+
+
 def entity_conflicts(
     table: FlowTable, entity: Sequence[str], dimensions: Sequence[str], filters: Filters = None
 ) -> DataFrame:
@@ -123,9 +127,12 @@ def entity_conflict_details(
     )).alias("dimension"))
     position = F.row_number().over(Window.partitionBy("dimension").orderBy(*keys))
     examples = conflicts.withColumn("position", position).where(F.col("position") <= limit)
-    # Only the values of these few entities are looked at.
-    values = _entity_values(table, entity, dimensions, filters).where("value IS NOT NULL")
-    chosen = values.join(examples.drop("position"), ["dimension", *keys])
+    # Only the rows of these few entities, ``limit`` per dimension, are looked at.
+    rows = apply_filters(table, table.raw, filters).select(*dict.fromkeys([*keys, *names]))
+    few = examples.drop("position")
+    rows = rows.join(F.broadcast(few) if limit * len(names) <= MAX_BROADCAST_ENTITIES else few, keys)
+    value = F.coalesce(*[F.when(F.col("dimension") == d, F.col(d).cast("string")) for d in names])
+    chosen = rows.select("dimension", *keys, value.alias("value")).where("value IS NOT NULL").distinct()
     of_entity = Window.partitionBy("dimension", *keys)
     # Numbered and counted in windows, which can spill; no list is longer than asked for.
     placed = chosen.withColumns({
@@ -211,6 +218,8 @@ def _conflicting(
     and largest value tell, so no values are gathered and rows are not multiplied."""
     keys = [table.column(c) for c in entity]
     rows = with_keys(apply_filters(table, table.raw, filters), *keys)
+    # Dealt out by time as well, so that an entity with a large share of all rows is spread.
+    rows = in_small_tasks(table, rows, *dict.fromkeys([*keys, *names, table.roles.time]))
     return rows.groupBy(*keys).agg(*[
         F.coalesce(
             F.min(F.col(d).cast("string")) != F.max(F.col(d).cast("string")), F.lit(False)

@@ -154,3 +154,25 @@ def test_activity_is_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
         # Nothing is grouped where files are read.
         assert "REPARTITION_BY_NUM" in text and "Aggregate" not in text[text.rindex("REPARTITION_BY_NUM"):]
         assert dealt.exceptAll(whole).isEmpty() and dealt.count() == whole.count() > 0
+
+
+def test_conflict_values_are_those_of_the_shown_entities_only(spark, monkeypatch):
+    from flowgauge import table as tables
+
+    table, keys = flow(spark, SF_DIR), ["pipeline", "location"]
+    monkeypatch.setattr(tables, "TASK_ROWS", 10**9)
+    whole = quality.entity_conflict_details(table, keys, ["state", "county_name"], limit=3, max_values=2)
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    dealt = quality.entity_conflict_details(table, keys, ["state", "county_name"], limit=3, max_values=2)
+    text = plan(dealt)
+    # Rows are cut to these entities before they are brought down to their values.
+    assert "BroadcastHashJoin" in text[text.rindex("HashAggregate(keys=[dimension"):]
+    assert "REPARTITION_BY_NUM" in text
+    listed = quality.entity_conflict_values(table, keys, ["state", "county_name"])
+    shown = {(r.dimension, r.pipeline_name, r.loc_name): (r.n_values, r["values"]) for r in dealt.collect()}
+    assert shown == {(r.dimension, r.pipeline_name, r.loc_name): (r.n_values, r["values"]) for r in whole.collect()}
+    for (dimension, pipeline, location), (n, values) in shown.items():
+        of_entity = sorted(r.value for r in listed.where(
+            (F.col("dimension") == dimension) & (F.col("pipeline_name") == pipeline) & (F.col("loc_name") == location)
+        ).collect())
+        assert n == len(of_entity) > 1 and values == of_entity[:2]
