@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flowgauge.functions.sketches import LOG_REGISTERS
+from flowgauge.functions.sketches import distinct_sketch
 from flowgauge.table import FlowTable
 
 _SYNONYMS = {"average": "mean"}
@@ -48,7 +48,7 @@ def period_metric(table: FlowTable, metric: str, approximate: bool = False) -> C
     if metric in distinct_of:
         column = F.col(table.roles.require(distinct_of[metric]))
         if approximate:
-            return F.hll_sketch_estimate(F.hll_sketch_agg(column.cast("string"), LOG_REGISTERS))
+            return F.hll_sketch_estimate(distinct_sketch(column))
         return F.count_distinct(column)
     plain = {"volume": "sum", "transaction_count": "count", "average_quantity": "mean"}
     if metric in plain:

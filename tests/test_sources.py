@@ -9,7 +9,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.operators import quality, retrieval
+from flowgauge.functions.sketches import LOG_REGISTERS, distinct_sketch, relative_error
+from flowgauge.operators import patterns, quality, retrieval
 from flowgauge.sources import DistinctStore, distinct_store, parse_times, read_flow_table, write_distinct
 from flowgauge.sources.distinct_store import fingerprint
 
@@ -67,6 +68,33 @@ def test_approximate_results_are_near(flow_of):
     assert retrieval.unique_count(table, approximate=True).first()[0] == 7
 
 
+def test_estimates_count_the_empty_string_and_no_nulls(flow_of):
+    """Exact numbers of active partners count the empty string as one; few values are not estimated."""
+    table = flow_of([
+        {"connecting_entity": e, "eff_gas_day": f"2024-{month:02d}-{d:02d}"}
+        for month, entities in ((1, ("",)), (2, ("", "A", "ÿ", None)), (3, (None,)), (4, ("A", "B")))
+        for d in (1, 2) for e in entities
+    ])
+    for analysis in (patterns.monthly_trends, patterns.quarterly_activity):
+        exact, near = ({r["period"]: r["active_partners"] for r in analysis(table, approximate=approximate).collect()}
+                       for approximate in (False, True))
+        assert near == exact
+    points = [sorted(patterns.correlation_points(
+        table, "unique_entities", "volume", grain="monthly", approximate=approximate).collect())
+        for approximate in (False, True)]
+    assert points[0] == points[1]
+    assert [p["x"] for p in points[1]] == [1, 3, 0, 2]
+
+
+def test_values_go_into_sketches_by_their_text(spark):
+    """Apart from the empty string, estimates are those of the values' texts."""
+    rows = spark.range(20_000).select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("name"))
+    plain = F.hll_sketch_estimate(F.hll_sketch_agg("name", LOG_REGISTERS))
+    ours = F.hll_sketch_estimate(distinct_sketch(F.col("name")))
+    near = rows.agg(plain.alias("plain"), ours.alias("ours")).first()
+    assert near["plain"] == near["ours"] and abs(near["ours"] - 20_000) < 20_000 * 3 * relative_error()
+
+
 # ---- the copy that grows ---------------------------------------------------------------------
 
 
