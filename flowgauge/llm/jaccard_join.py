@@ -8,7 +8,10 @@ that can reach the threshold are ever touched:
    that link share some columns among the rarest of each; how many follows from their sizes.
    Only these incidences are shuffled, by column.
 3. Columns with few rows yield pairs within the size bounds; those that meet in enough columns
-   are candidates, whose overlaps are counted. The rows of a column with many rows are gathered into families; a family is cut into
+   are candidates, whose overlaps are counted. Pairs may meet in columns with many rows as well: as
+   many as the one of the two that has fewer of these columns. Only sets that could link by such
+   columns alone stay in them, and columns that are left with few rows yield pairs in their turn. The
+   rows of those that still have many are gathered into families; a family is cut into
    blocks of similar sizes, and the product runs block by block: overlaps are accumulated over
    slices of columns, and a pair is discarded as soon as what it has and what is left lie below
    its bound. A block returns a spanning forest of its links, never all pairs.
@@ -20,11 +23,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import (
@@ -38,6 +42,8 @@ COUNT_CELLS = 1 << 20
 _CHUNK = 1 << 14
 #: A column with more rows than this among the rarest goes to the blocked product.
 FEW_ROWS = 16
+#: How often sets are taken out of columns with many rows before what is left of these makes families.
+ROUNDS = 2
 #: Documents in a block, and columns multiplied at a time.
 BLOCK_ROWS, BLOCK_COLUMNS = 256, 2048
 
@@ -59,6 +65,10 @@ class Similarity:
         links with: more than one, so that a chance meeting in one column is no candidate."""
         return min(1 + n // 32, -(-self.num * n // self.den))
 
+    def alone(self, n: int) -> bool:
+        """Whether a set of this size is too small to link with any other."""
+        return self.den * n < self.num * (n + 1)
+
     def probe_length(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + self.common(n)
 
@@ -155,8 +165,8 @@ def _column_counts(survey: DataFrame) -> np.ndarray:
 
 
 def _incidences(texts: DataFrame, counts: np.ndarray, like: Similarity) -> DataFrame:
-    """(gram, code, n, core) of the rarest columns of each set; ``core``: rare enough for a
-    smaller partner. A set that a task has seen already is left out there."""
+    """(gram, code, n, core) of the rarest columns of each set that can link; ``core``: rare enough
+    for a smaller partner. A set that a task has seen already is left out there."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +175,7 @@ def _incidences(texts: DataFrame, counts: np.ndarray, like: Similarity) -> DataF
             out, codes, sizes, core = [], [], [], []
             for grams in gram_sets(data, offsets, like.width):
                 n = len(grams)
-                if not n or (code := set_code(grams)) in seen:
+                if like.alone(n) or (code := set_code(grams)) in seen:
                     continue
                 seen.add(code)
                 key = cells[(grams >> np.uint64(44)).astype(np.int64)]
@@ -184,17 +194,18 @@ def _incidences(texts: DataFrame, counts: np.ndarray, like: Similarity) -> DataF
 
 
 def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
-    """(a, b, many, n): pairs of rows of columns with few of them, with the smaller size, and for
-    columns with many a star that holds their rows together. Rows come sorted by column and size; a task keeps at most
-    FEW_ROWS + 1 of them from one batch to the next."""
+    """(a, b, many, columns, n, core): pairs of rows of columns with few of them, in how many of these
+    they meet, with the smaller size; for columns with many the incidences (gram, code) themselves.
+    Rows come sorted by column and size; a task keeps at most FEW_ROWS + 1 of them from one batch to
+    the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
-        hub: tuple[int, int] | None = None  # column with many rows that is still open, its first row
+        hot: int | None = None  # column with many rows that is still open
         names = ("gram", "code", "n", "core")
 
         def emit(columns: list[np.ndarray], last: bool) -> Iterator[tuple[np.ndarray, ...]]:
-            nonlocal kept, hub
+            nonlocal kept, hot
             gram, code, n, core = columns
             fresh = np.ones(len(gram), bool)  # a set that several tasks have sent counts once
             fresh[1:] = (gram[1:] != gram[:-1]) | (code[1:] != code[:-1])
@@ -203,37 +214,32 @@ def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
             first = np.concatenate([[0], edges])
             size = np.diff(np.concatenate([first, [len(gram)]]))
             open_end = first[-1] if not last else len(gram)
-            many = size > FEW_ROWS
             run_of = np.repeat(np.arange(len(first)), size)
-            star = many[run_of]
-            if hub is not None and gram[0] == hub[0]:
-                star |= run_of == 0
-            hubs = code[first[run_of]]
-            if hub is not None and gram[0] == hub[0]:
-                hubs = np.where(run_of == 0, hub[1], hubs)
-            take = star & (hubs != code)
-            yield hubs[take], code[take], np.ones(int(take.sum()), bool), n[take]
-            closed = ~star & (np.arange(len(gram)) < open_end)
+            many = (size > FEW_ROWS)[run_of]
+            if hot is not None and gram[0] == hot:
+                many |= run_of == 0
+            yield gram[many], code[many], np.ones(int(many.sum()), bool), n[many], core[many]
+            closed = ~many & (np.arange(len(gram)) < open_end)
             for d in range(1, FEW_ROWS):
                 left = np.flatnonzero(closed[:-d] & (run_of[:-d] == run_of[d:])) if len(gram) > d else []
                 if not len(left):
                     break
                 right = left + d
                 ok = core[left] & (like.den * n[left].astype(np.int64) >= like.num * n[right].astype(np.int64))
-                yield code[left[ok]], code[right[ok]], np.zeros(int(ok.sum()), bool), n[left[ok]]
+                a, b = code[left[ok]], code[right[ok]]
+                no = np.zeros(len(a), bool)
+                yield np.minimum(a, b), np.maximum(a, b), no, n[left[ok]], no
             if last:
-                kept = hub = None
-            elif star[-1]:
-                hub, kept = (int(gram[-1]), int(hubs[-1])), [c[-1:] for c in (gram, code, n, core)]
+                kept = hot = None
+            elif many[-1]:
+                hot, kept = int(gram[-1]), [c[-1:] for c in (gram, code, n, core)]
             else:
-                hub, kept = None, [c[open_end:] for c in (gram, code, n, core)]
+                hot, kept = None, [c[open_end:] for c in (gram, code, n, core)]
 
         def rows(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            for a, b, many, n in parts:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(many), pa.array(n)],
-                        ["a", "b", "many", "n"])
+            for part in parts:
+                if len(part[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["a", "b", "many", "n", "core"])
 
         for batch in batches:
             if batch.num_rows:
@@ -245,10 +251,60 @@ def _column_pairs(incidences: DataFrame, like: Similarity) -> DataFrame:
             yield from rows(emit(kept, True))
 
     ordered = incidences.repartition("gram").sortWithinPartitions("gram", "n", "code")
-    pairs = ordered.mapInArrow(run, "a long, b long, many boolean, n int").groupBy("a", "b").agg(
-        F.max("many").alias("many"), F.count(F.lit(1)).alias("columns"), F.max("n").alias("n"))
-    common = F.expr(f"least(1 + n div 32, (n * {like.num} + {like.den - 1}) div {like.den})")
-    return pairs.where(F.col("many") | (F.col("columns") >= common)).select("a", "b", "many")
+    return ordered.mapInArrow(run, "a long, b long, many boolean, n int, core boolean").groupBy("a", "b", "many").agg(
+        F.count(F.lit(1)).alias("columns"), F.max("n").alias("n"), F.max("core").alias("core"))
+
+
+def _hot(found: DataFrame) -> DataFrame:
+    """(gram, code, n, core): the incidences in columns with many rows."""
+    return found.where("many").select(F.col("a").alias("gram"), F.col("b").alias("code"), "n", "core")
+
+
+def _common(like: Similarity, n: str) -> Column:
+    """``Similarity.common`` of a column of sizes."""
+    return F.expr(f"least(1 + ({n}) div 32, (({n}) * {like.num}L + {like.den - 1}) div {like.den})")
+
+
+def _candidates(found: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the pairs that may link, and (code, family) of the sets of which any two of a family may.
+    ``found``: what ``_column_pairs`` makes of all incidences.
+
+    Two sets that link meet in as many columns as ``like.common`` says. If one of these has few rows,
+    they are a pair, and the others are at most the columns with many rows that either of them has. If
+    none has, each of them has so many columns with many rows, and stays in these in every round.
+    """
+    hot, few = _hot(found), found.where("NOT many").drop("core")
+    slack = written(hot.groupBy("code").agg(F.count(F.lit(1)).alias("slack")))
+    enough = F.col("columns") >= _common(like, "n")
+    lifted = (
+        few.where(~enough)
+        .join(slack.select(F.col("code").alias("a"), F.col("slack").alias("of_a")), "a")
+        .join(slack.select(F.col("code").alias("b"), F.col("slack").alias("of_b")), "b")
+        .where(F.col("columns") + F.least("of_a", "of_b") >= _common(like, "n"))
+    )
+    least_partner = f"(n * {like.num}L + {like.den - 1}) div {like.den}"
+    late = []
+    for _ in range(ROUNDS):
+        own = hot.groupBy("code").agg(F.count(F.lit(1)).alias("columns"), F.max("n").alias("n"))
+        able = written(own.where(F.col("columns") >= _common(like, least_partner)).select("code"))
+        again = written(_column_pairs(hot.join(able, "code", "left_semi"), like))
+        late.append(again.where("NOT many").select("a", "b", "columns", "n"))
+        hot = _hot(again)
+    met = reduce(DataFrame.unionByName, late).groupBy("a", "b").agg(
+        F.sum("columns").alias("columns"), F.max("n").alias("n")).where(enough)
+    first = hot.groupBy("gram").agg(F.min("code").alias("a"))
+    family = written(
+        components(hot.join(first, "gram").select("a", F.col("code").alias("b")))
+        .select(F.col("node").alias("code"), F.col("component").alias("family"))
+    )
+    pairs = (
+        few.where(enough).select("a", "b").unionByName(lifted.select("a", "b"))
+        .unionByName(met.select("a", "b")).distinct()
+        .join(family.select(F.col("code").alias("a"), F.col("family").alias("fa")), "a", "left")
+        .join(family.select(F.col("code").alias("b"), F.col("family").alias("fb")), "b", "left")
+        .where("NOT (fa <=> fb) OR fa IS NULL").select("a", "b")
+    )
+    return written(pairs), family
 
 
 def _sets(texts: DataFrame, codes: DataFrame, like: Similarity) -> DataFrame:
@@ -451,16 +507,7 @@ def jaccard_components(
     docs = survey.where("chunk IS NULL").select("id", "code", "n")
     counts = _column_counts(survey)
     found = written(_column_pairs(_incidences(texts, counts, like), like))
-    family = components(found.where("many").select("a", "b")).select(
-        F.col("node").alias("code"), F.col("component").alias("family")
-    )
-    family = written(family)
-    pairs = (
-        found.where("NOT many")
-        .join(family.select(F.col("code").alias("a"), F.col("family").alias("fa")), "a", "left")
-        .join(family.select(F.col("code").alias("b"), F.col("family").alias("fb")), "b", "left")
-        .where("NOT (fa <=> fb) OR fa IS NULL").select("a", "b")
-    )
+    pairs, family = _candidates(found, like)
     wanted = (
         pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code")))
         .unionByName(family.select("code")).distinct()

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from llm_rows import by_id
+from flowgauge.llm import jaccard_join
 from flowgauge.llm.components import components
 from flowgauge.llm.jaccard_join import Similarity, block_links, jaccard_components, one_per_component
 
@@ -123,3 +124,24 @@ def test_words_that_sums_of_powers_confuse_are_not_linked(docs_of):
         one += one.translate(str.maketrans("ab", "ba"))
     got = by_id(jaccard_components(docs_of([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)])))
     assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_no_family_by_a_few_common_columns(docs_of, monkeypatch):
+    """Different texts with some passages in common, which lie among the rarest columns if these are
+    ordered by chance, are no family: each would meet all others."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(4)) for _ in range(30)]
+    texts = []
+    for _ in range(40):
+        parts = [*passages, *(" ".join(f"u{rng.randrange(10**9)}" for _ in range(8)) for _ in range(30))]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [f"{t} more" for t in texts[:3]]
+    members = []
+    links = jaccard_join._family_links
+    monkeypatch.setattr(jaccard_join, "_column_counts", lambda survey: np.zeros(jaccard_join.COUNT_CELLS, np.int32))
+    monkeypatch.setattr(jaccard_join, "_family_links", lambda m, like: members.append(m.count()) or links(m, like))
+    rows = list(enumerate(texts))
+    got = by_id(jaccard_components(docs_of(rows)))
+    assert members == [0]
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute(rows, Similarity())
