@@ -10,8 +10,10 @@ Almost all suffixes stand alone in their first bucket and need no refinement. To
 cheaply, each string is filed under its least q-gram; texts are packed into shards, each shard
 sends its least q-grams once, and only strings whose least q-gram occurs twice are refined. Strings
 that follow each other under one q-gram form a stretch: where whole stretches are equal, one name
-stands for all their strings, and only stretches that differ within one q-gram are refined string by
-string. Names are sorted, and every string but the first of its bucket marks its bytes.
+stands for all their strings, and only stretches that differ within one q-gram are refined. Strings with
+their least q-gram at about the same offset share a core of most of their bytes; cores are the buckets of
+the next round, and only strings whose core another shard has as well are refined string by string. Names
+are sorted, and every string but the first of its bucket marks its bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from flowgauge.llm.common import (
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 1_000_000
 _NO_ID = 2**63 - 1
+#: Cores of the strings around a q-gram.
+CORES = 4
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
@@ -114,6 +118,27 @@ def first_buckets(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> tu
     return grams, least
 
 
+def _least_places(grams: np.ndarray, least: np.ndarray, length: int, q: int) -> np.ndarray:
+    """Places of the q-grams that are least in some string: those around which no string has a lesser one."""
+    width = length - q + 1
+    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+    return np.flatnonzero(grams == _sliding(padded, width, np.maximum)[: len(grams)])
+
+
+def core_starts(grams: np.ndarray, least: np.ndarray, places: np.ndarray, length: int, q: int) -> tuple[np.ndarray, int]:
+    """Where the core of each string begins, and the length of all cores. A core lies within its string, at
+    a place that follows from the first of its least q-grams, so equal strings have equal cores; strings
+    at ``length`` - q + 1 places in a row share CORES of them."""
+    step = -(-(length - q + 1) // CORES)
+    used = _least_places(grams, least, length, q)
+    names, rank = np.unique(grams[used], return_inverse=True)
+    span = len(grams) + 1
+    keys = np.sort(rank * span + used)
+    row = np.searchsorted(names, least[places]) * span
+    first = keys[np.searchsorted(keys, row + places)] - row
+    return first - (first - places) // step * step, length - step + 1
+
+
 def refine(grams: np.ndarray, positions: np.ndarray, q: int, length: int) -> np.ndarray:
     """Names of the buckets of ``length`` bytes at the positions, refined from q-gram buckets: in
     each round the name at a position is paired with the name at a later offset."""
@@ -137,11 +162,7 @@ def _least_grams(shards: DataFrame, length: int, q: int) -> DataFrame:
             for shard, ends, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "ends", "body"))):
                 data = np.frombuffer(unpacker.decompress(body), np.uint8)
                 grams, least = first_buckets(data, np.frombuffer(ends, np.int64), length, q)
-                # A q-gram is least in some string if no string around it has a lesser one.
-                width = length - q + 1
-                padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-                used = grams[grams == _sliding(padded, width, np.maximum)[: len(grams)]]
-                found, count = np.unique(used, return_counts=True)
+                found, count = np.unique(grams[_least_places(grams, least, length, q)], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(as_long(found)), pa.array(np.full(len(found), shard, np.int64)),
                      pa.array(count > 1)], ["gram", "shard", "many"])
@@ -206,29 +227,54 @@ def _first_of_name(names: np.ndarray) -> np.ndarray:
     return first
 
 
+def _contested_strings(row: dict, length: int, q: int) -> tuple[np.ndarray, ...]:
+    """Of a shard: its q-grams, the places of the strings in the given stretches, and the name of the core
+    of each."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"].as_py()), np.uint8)
+    pairs = row["stretches"].values
+    first, size = (pairs.field(f).to_numpy().astype(np.int64) for f in ("at", "run"))
+    order = np.argsort(first)
+    first, size = first[order], size[order]
+    places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    grams, least = first_buckets(data, np.frombuffer(row["ends"].as_py(), np.int64), length, q)
+    starts, size = core_starts(grams, least, places, length, q)
+    cores, core_of = np.unique(starts, return_inverse=True)
+    return grams, places, refine(grams, cores, q, size)[core_of]
+
+
+def _cores(contested: DataFrame, length: int, q: int) -> DataFrame:
+    """(core, shard): the cores of the strings in the given stretches, each once in a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, 1):
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                _, _, cores = _contested_strings(row, length, q)
+                found = np.unique(cores)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(as_long(found)), pa.array(np.full(len(found), row["shard"].as_py(), np.int64))],
+                    ["core", "shard"])
+
+    return contested.mapInArrow(run, "core long, shard long")
+
+
 def _strings(contested: DataFrame, length: int, q: int) -> DataFrame:
-    """(name, id, shard, at) of the strings in the given stretches, the first of each name in the
-    shard; its other places are known as repeats already."""
+    """(name, id, shard, at) of the strings in the given stretches whose core is wanted, the first of each
+    name in the shard; its other places are known as repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for shard, ids, ends, body, stretches in zip(
-                *(batch.column(c) for c in ("shard", "ids", "ends", "body", "stretches"))
-            ):
-                data = np.frombuffer(unpacker.decompress(body.as_py()), np.uint8)
-                ends = np.frombuffer(ends.as_py(), np.int64)
-                ids = np.frombuffer(ids.as_py(), np.int64)
-                pairs = stretches.values
-                first, size = (pairs.field(f).to_numpy().astype(np.int64) for f in ("at", "run"))
-                order = np.argsort(first)
-                first, size = first[order], size[order]
-                places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                names = refine(window_hashes(data, q) | np.uint64(1), places, q, length)
+        for batch in in_parts(batches, 1):
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                grams, places, cores = _contested_strings(row, length, q)
+                wanted = np.ascontiguousarray(row["cores"].values.to_numpy()).view(np.uint64)
+                places = places[np.isin(cores, wanted)]
+                names = refine(grams, places, q, length)
                 own = _first_of_name(names)
+                ids, ends = (np.frombuffer(row[c].as_py(), np.int64) for c in ("ids", "ends"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(as_long(names[own])), pa.array(ids[np.searchsorted(ends, places[own], "right")]),
-                     pa.array(np.full(int(own.sum()), shard.as_py(), np.int64)),
+                     pa.array(np.full(int(own.sum()), row["shard"].as_py(), np.int64)),
                      pa.array(places[own].astype(np.int32))],
                     ["name", "id", "shard", "at"])
 
@@ -371,7 +417,15 @@ def remove_repeats(
     several = firsts.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     contested = firsts.join(several, "gram", "left_semi").groupBy("shard").agg(
         F.collect_list(F.struct("at", "run")).alias("stretches"))
-    strings = _strings(packed.join(written(contested), "shard"), length, q)
+    contested = written(contested)
+    # Strings that a shard has several times are known; others repeat only if another shard has their core.
+    around = Window.partitionBy("core").orderBy("shard")
+    shared = _cores(packed.drop("ids").join(contested, "shard"), length, q).select(
+        "core", "shard",
+        (F.lag("shard").over(around).isNotNull() | F.lead("shard").over(around).isNotNull()).alias("twice"),
+    ).where("twice").groupBy("shard").agg(F.collect_list("core").alias("cores"))
+    wanted = contested.join(written(shared), "shard")
+    strings = _strings(packed.join(wanted, "shard"), length, q)
     bucket = Window.partitionBy("name").orderBy("id", "shard", "at")
     repeats = strings.select(
         "shard", "at", F.lit(1).alias("run"), F.lag("at").over(bucket).isNotNull().alias("later")

@@ -72,3 +72,15 @@ def test_a_very_long_text(docs_of):
     long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2_500_000))
     got = result(remove_repeats(docs_of([(1, long), (2, "z" + long[1_000_000:1_000_500])])))
     assert got[1][1] == 0 and got[2][:3] == (501, 500, 1)
+
+
+def test_strings_around_a_common_phrase_are_not_sent(docs_of, monkeypatch):
+    """A phrase shorter than the strings puts those around it under one q-gram, but their cores differ."""
+    rng = random.Random(11)
+    phrase = "".join(rng.choices("abcdefghij", k=40))
+    rows = [(i, phrase.join("".join(rng.choices("klmnopqrst", k=300)) for _ in range(2))) for i in range(20)]
+    sent, strings = [], suffix_dedup._strings
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "_strings", lambda *a: sent.append(strings(*a)) or sent[-1])
+    assert result(remove_repeats(docs_of(rows))) == brute(rows, 100)
+    assert [s.count() for s in sent] == [0]
