@@ -16,19 +16,24 @@ from flowgauge.session import shared_folder
 #: Bytes of text that a task works on at a time; a longer single text is taken alone.
 SLICE_BYTES = 1_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs
-    nothing, and the shuffle files of the finished step can go."""
+    nothing, and the shuffle files of the finished step can go. ``batch_bytes``: what an Arrow batch
+    holds on its way to Python, and one row more; else it may be 256 MB, twice that outside the heap."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

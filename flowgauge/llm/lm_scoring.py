@@ -35,6 +35,10 @@ PROBES = 3
 BATCH_BYTES = 4_000_000
 #: Bytes of text to a slice of the name space: what one task sums up at a time.
 SLICE_TEXT = 16_000_000
+#: N-grams that are entered or probed at a time.
+PIECE = 1 << 18
+#: Bytes of an Arrow batch of questions, or of answers and texts.
+ARROW_BYTES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -103,8 +107,11 @@ def chunk_of(grams: np.ndarray, chunks: np.ndarray | int) -> np.ndarray:
 def lookup(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, most: np.ndarray | int) -> np.ndarray:
     """Level of each n-gram, whose chunk begins at bit ``base``: probe level after level until one
     is missing; no n-gram has a level above ``most``."""
-    level = np.zeros(len(grams), np.int64)
     base, most = np.broadcast_to(base, len(grams)), np.broadcast_to(most, len(grams))
+    if len(grams) > PIECE:
+        cuts = [slice(k, k + PIECE) for k in range(0, len(grams), PIECE)]
+        return np.concatenate([lookup(bits, base[c], grams[c], most[c]) for c in cuts])
+    level = np.zeros(len(grams), np.int64)
     alive = np.flatnonzero(most)
     while len(alive):
         there = np.ones(len(alive), bool)
@@ -121,9 +128,10 @@ def enter(bits: np.ndarray, base: np.ndarray | int, grams: np.ndarray, level: np
     """Set the bits of n-grams whose chunk begins at bit ``base``; a byte for each bit."""
     base = np.broadcast_to(base, len(grams))
     for k in range(1, int(level.max(initial=0)) + 1):
-        own = level >= k
-        for at in probe_bits(grams[own], k):
-            bits[at + base[own]] = 1
+        every = np.flatnonzero(level >= k)
+        for own in (every[start : start + PIECE] for start in range(0, len(every), PIECE)):
+            for at in probe_bits(grams[own], k):
+                bits[at + base[own]] = 1
 
 
 # ---- numbers as bytes ------------------------------------------------------------------------
@@ -304,7 +312,7 @@ def _answered(questions: DataFrame, model: LogBloom) -> DataFrame:
         yield pa.RecordBatch.from_pylist(out, shape)
 
     dealt = questions.repartition("slice").sortWithinPartitions("slice", "size", "batch")
-    return written(dealt.mapInArrow(run, _ANSWER))
+    return written(dealt.mapInArrow(run, _ANSWER), ARROW_BYTES)
 
 
 @dataclass(frozen=True)
@@ -340,7 +348,7 @@ _SCORES = "held_out boolean, n_tokens long, n_known long, base_score double, sco
 def _scored(packed: DataFrame, answers: DataFrame, whole: Filter | None, total: int, distinct: int,
             model: LogBloom) -> DataFrame:
     """Each batch meets its answers, which come first and in the order of its n-grams. With the
-    ``whole`` filter its levels are probed here."""
+    ``whole`` filter its levels are probed here. Written, as the size of Arrow batches holds only then."""
     shared = packed.sparkSession.sparkContext.broadcast(whole and tuple(vars(whole).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +401,7 @@ def _scored(packed: DataFrame, answers: DataFrame, whole: Filter | None, total:
         "batch", F.lit(0).alias("texts_after"), "size", "slice", "counts", levels,
         *(F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in ("ids", "held_out", "texts")))
     met = last.unionByName(first).repartition("batch").sortWithinPartitions("batch", "texts_after", "size", "slice")
-    return met.mapInArrow(run, f"id {kind}, {_SCORES}")
+    return written(met.mapInArrow(run, f"id {kind}, {_SCORES}"), ARROW_BYTES)
 
 
 def score_texts(

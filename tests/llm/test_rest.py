@@ -12,6 +12,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,6 +461,22 @@ def test_lm_without_training_and_without_rows(docs_of):
     assert lm_scoring.score_texts(docs_of([]), F.lit(False)).count() == 0
 
 
+def test_arrow_batches_of_questions_and_texts_are_bounded(docs_of, spark, monkeypatch):
+    key, bounds, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], lm_scoring.written
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    texts = spark.range(0, 60, 1, 1).selectExpr("repeat(cast(id % 10 as string), 100000) AS text").repartition(1)
+    assert write(texts.mapInArrow(sizes, "n long"), 500_000).agg(F.max("n")).first()[0] < 1_000_000
+    assert spark.conf.get(key, None) == before
+    monkeypatch.setattr(lm_scoring, "written", lambda df, *bound: bounds.append(bound) or write(df, *bound))
+    assert lm_scoring.score_texts(docs_of([(1, "a b"), (2, "b c")]), F.lit(False)).count() == 2
+    assert bounds == [(), (lm_scoring.ARROW_BYTES,), (lm_scoring.ARROW_BYTES,)]
+
+
 def test_levels_hold_what_was_entered():
     model = lm_scoring.LogBloom()
     count = np.array([1, 2, 3, 4, 7, 8, 1000, 10**6])
